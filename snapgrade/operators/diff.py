@@ -19,10 +19,26 @@ INSERT, UPDATE, DELETE, UNCHANGED = "INSERT", "UPDATE", "DELETE", "UNCHANGED"
 CHANGE_COLUMNS = ("change_type", "field_name", "old_value", "new_value")
 
 
-def _scaled(c: Column, scale: tuple[int, int] | None, dtype: T.DataType) -> Column:
-    if scale is None or not isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return c
-    return c.try_cast(T.DecimalType(*scale))
+def _fractional(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType))
+
+
+def _differs(
+    before: Column,
+    after: Column,
+    before_type: T.DataType,
+    after_type: T.DataType,
+    compare: str,
+    scale: tuple[int, int] | None,
+) -> Column:
+    if scale is not None and _fractional(before_type) and _fractional(after_type):
+        stored_type = T.DecimalType(*scale)
+        before, after = before.try_cast(stored_type), after.try_cast(stored_type)
+    elif before_type != after_type and compare == "text":
+        before, after = value_to_text(before, before_type), value_to_text(after, after_type)
+    elif before_type != after_type:
+        after = after.try_cast(before_type)
+    return ~before.eqNullSafe(after)
 
 
 def pair_snapshots(
@@ -33,47 +49,36 @@ def pair_snapshots(
     *,
     compare: str = "text",
     scale: tuple[int, int] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per key of either side with ``old``/``new`` structs, changed fields and a status.
+    """One row per key of either side with ``old``/``new`` structs, changed flags and a status.
 
     ``compare="text"`` compares the log texts, ``"typed"`` the values (sides of different type
     are then cast to the stored type). Equal values of one type have equal texts and the other
     way round, so texts are only built where the two types differ. ``scale=(p, s)`` compares
-    fractional numbers after rounding both sides to the stored decimal.
+    fractional numbers after rounding both sides to the stored decimal. ``carry`` names stored
+    columns that are not compared but belong to the next state.
     """
     if compare not in ("text", "typed"):
         raise ValueError("compare must be 'text' or 'typed'")
-    old_types = {f: stored.schema[f].dataType for f in fields}
-    new_types = {f: incoming.schema[f].dataType for f in fields}
-
-    def side(df: DataFrame, types: dict[str, T.DataType], name: str) -> DataFrame:
-        values = [_scaled(F.col(f), scale, types[f]).alias(f) for f in fields]
-        return df.select(*keys, F.struct(*values).alias(name))
-
-    old = side(stored, old_types, "old")
-    new = side(incoming, new_types, "new")
-    paired = old.join(new, list(keys), "full_outer")
-
-    def differs(field: str) -> Column:
-        before, after = F.col(f"old.{field}"), F.col(f"new.{field}")
-        before_type = old.schema["old"].dataType[field].dataType
-        after_type = new.schema["new"].dataType[field].dataType
-        if before_type != after_type:
-            if compare == "text":
-                before, after = value_to_text(before, before_type), value_to_text(after, after_type)
-            else:
-                after = after.try_cast(before_type)
-        return ~before.eqNullSafe(after)
-
-    changed = reduce(lambda a, b: a | b, [differs(f) for f in fields])
+    old = stored.select(*keys, F.struct(*fields).alias("old"), *([F.struct(*carry).alias("carried")] if carry else []))
+    new = incoming.select(*keys, F.struct(*fields).alias("new"))
+    flags = {
+        f: _differs(
+            F.col(f"old.{f}"), F.col(f"new.{f}"),
+            stored.schema[f].dataType, incoming.schema[f].dataType, compare, scale,
+        )
+        for f in fields
+    }
     status = (
         F.when(F.col("old").isNull(), INSERT)
         .when(F.col("new").isNull(), DELETE)
-        .when(changed, UPDATE)
+        .when(reduce(lambda a, b: a | b, flags.values()), UPDATE)
         .otherwise(UNCHANGED)
     )
-    flags = F.struct(*[differs(f).alias(f) for f in fields])
-    return paired.withColumn("changed", flags).withColumn("status", status)
+    return old.join(new, list(keys), "full_outer").withColumns(
+        {"status": status, "changed": F.struct(*[flag.alias(f) for f, flag in flags.items()])}
+    )
 
 
 def changes_of(paired: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -149,9 +154,9 @@ def diff_counts(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], fie
     return counts_of(pair_snapshots(stored, incoming, keys, fields, **how))
 
 
-def apply_snapshot(
-    stored: DataFrame,
-    incoming: DataFrame,
+def state_of(
+    paired: DataFrame,
+    stored_schema: T.StructType,
     keys: Sequence[str],
     fields: Sequence[str],
     *,
@@ -160,41 +165,45 @@ def apply_snapshot(
     updated: str | None = None,
     delete_mode: str = "keep",
 ) -> DataFrame:
-    """The next stored state, with the columns of ``stored``.
+    """The next stored state from pairs that carry all other stored columns.
 
-    New keys are added, changed keys take all incoming fields and a new ``updated`` time, all
-    other stored columns stay. ``delete_mode="keep"`` leaves keys that are not incoming in
-    place, ``"drop"`` removes them. Write the result to a new path: the input is read lazily.
+    New keys are added, present keys take all incoming fields (and a new ``updated`` time if
+    one differs), all other stored columns stay. ``delete_mode="keep"`` leaves keys that are
+    not incoming in place, ``"drop"`` removes them.
     """
     if delete_mode not in ("keep", "drop"):
         raise ValueError("delete_mode must be 'keep' or 'drop'")
     now = F.current_timestamp() if now is None else now
-    carried = [c for c in stored.columns if c not in keys and c not in fields]
-    old = stored.select(*keys, F.struct(*fields).alias("old"), *[F.col(c).alias(f"_{c}") for c in carried])
-    new = incoming.select(*keys, F.struct(*fields).alias("new"))
-    paired = old.join(new, list(keys), "right_outer" if delete_mode == "drop" else "full_outer")
-
-    is_new = F.col("old").isNull()
-    is_gone = F.col("new").isNull()
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(f"old.{f}").eqNullSafe(F.col(f"new.{f}").cast(stored.schema[f].dataType)) for f in fields],
-    )
+    status = F.col("status")
 
-    def column(name: str) -> Column:
-        dtype = stored.schema[name].dataType
+    def column(field: T.StructField) -> Column:
+        name, dtype = field.name, field.dataType
         if name in keys:
             return F.col(name)
         if name in fields:
-            return F.when(is_gone, F.col(f"old.{name}")).otherwise(F.col(f"new.{name}").cast(dtype)).alias(name)
-        before = F.col(f"_{name}")
-        if name == created:
-            return F.when(is_new, now.cast(dtype)).otherwise(before).alias(name)
-        if name == updated:
-            return F.when(is_gone, before).when(is_new | ~same, now.cast(dtype)).otherwise(before).alias(name)
-        return before.alias(name)
-
-    return paired.select(*[column(c) for c in stored.columns])
+            value = F.when(status == DELETE, F.col(f"old.{name}")).otherwise(F.col(f"new.{name}").cast(dtype))
+        elif name == created:
+            value = F.when(status == INSERT, now.cast(dtype)).otherwise(F.col(f"carried.{name}"))
+        elif name == updated:
+            value = F.when(status.isin(INSERT, UPDATE), now.cast(dtype)).otherwise(F.col(f"carried.{name}"))
+        else:
+            value = F.col(f"carried.{name}")
+        return value.alias(name)
+
+    kept = paired if delete_mode == "keep" else paired.filter(status != DELETE)
+    return kept.select(*[column(field) for field in stored_schema.fields])
+
+
+def carried_columns(stored: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> list[str]:
+    return [c for c in stored.columns if c not in keys and c not in fields]
+
+
+def apply_snapshot(
+    stored: DataFrame, incoming: DataFrame, keys: Sequence[str], fields: Sequence[str], **how
+) -> DataFrame:
+    """The next stored state. Write it to a new path: the stored table is read lazily."""
+    paired = pair_snapshots(stored, incoming, keys, fields, carry=carried_columns(stored, keys, fields))
+    return state_of(paired, stored.schema, keys, fields, **how)
 
 
 def run_result(fetched: DataFrame, counts: DataFrame) -> DataFrame:

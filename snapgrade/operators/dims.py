@@ -118,7 +118,13 @@ def star_with_system(stars: DataFrame, systems: DataFrame) -> DataFrame:
 
 
 def labelled_change_report(
-    planets: DataFrame, links: DataFrame, stars: DataFrame, changes: DataFrame, limit: int = 30
+    planets: DataFrame,
+    links: DataFrame,
+    stars: DataFrame,
+    changes: DataFrame,
+    *,
+    limit: int = 30,
+    order: Sequence[str] = ("planet_name", "detected_at"),
 ) -> DataFrame:
     """Labelled planets with host and change rows, the first ``limit`` by name and time."""
     return (
@@ -126,6 +132,6 @@ def labelled_change_report(
         .join(links, planets["id"] == links["planet_id"])
         .join(stars.select(F.col("id").alias("star_id"), F.col("name").alias("host_star")), "star_id")
         .join(changes, "planet_name")
-        .orderBy("planet_name", "detected_at")
+        .orderBy(*order)
         .limit(limit)
     )

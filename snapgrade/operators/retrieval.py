@@ -30,7 +30,8 @@ NO_SIMILARITY = -2.0  # below every cosine; shown as null
 
 BROADCAST_BYTES = 32 << 20
 MAX_PIVOTS = 256
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
+MATRIX_CELLS = 4 << 20
 _SLACK = 1e-6  # radians; covers rounding of angles and of ranked similarities
 
 
@@ -52,18 +53,37 @@ def _similarities(queries: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return sims
 
 
-def _best(sims: np.ndarray, ref_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise k best (similarity down, id up) as (row, column) index arrays."""
-    k = min(k, sims.shape[1])
-    by_id = np.argsort(ref_ids, kind="stable")
-    cols = by_id[np.argsort(-sims[:, by_id], axis=1, kind="stable")[:, :k]]
-    rows = np.repeat(np.arange(sims.shape[0]), k)
-    return rows, cols.ravel()
+def _nearest(
+    query_ids: np.ndarray, queries: np.ndarray, ref_ids: np.ndarray, refs: np.ndarray, k: int
+) -> pd.DataFrame:
+    """The k best references (similarity down, id up) of every query among the given ones.
 
-
-def _pairs(query_ids: np.ndarray, ref_ids: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
-    rows, cols = _best(sims, ref_ids, k)
-    return pd.DataFrame({"query_id": query_ids[rows], "ref_id": ref_ids[cols], "score": sims[rows, cols]})
+    Rounded similarity and id order are packed into one whole number per pair, so a partial
+    sort settles ties exactly. Queries are taken in slices to bound the matrix in memory.
+    """
+    count = len(ref_ids)
+    k = min(k, count)
+    if not k or not len(query_ids):
+        return pd.DataFrame({"query_id": query_ids[:0], "ref_id": ref_ids[:0], "score": np.zeros(0)})
+    id_order = np.empty(count, dtype=np.int64)
+    id_order[np.argsort(ref_ids, kind="stable")] = np.arange(count)
+    step = max(1, MATRIX_CELLS // count)
+    parts = []
+    for start in range(0, len(query_ids), step):
+        sims = _similarities(queries[start : start + step], refs)
+        keys = -np.rint(sims * 10**RANK_DECIMALS).astype(np.int64) * count + id_order
+        cols = np.argpartition(keys, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(cols, np.argsort(np.take_along_axis(keys, cols, axis=1), axis=1), axis=1)
+        parts.append(
+            pd.DataFrame(
+                {
+                    "query_id": np.repeat(query_ids[start : start + step], k),
+                    "ref_id": ref_ids[best.ravel()],
+                    "score": np.take_along_axis(sims, best, axis=1).ravel(),
+                }
+            )
+        )
+    return pd.concat(parts)
 
 
 def _ids(column: pd.Series) -> np.ndarray:
@@ -98,8 +118,8 @@ def _rank_against_refs(queries: DataFrame, refs: DataFrame, k: int, schema: T.St
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ref_ids, ref_units = shared.value
         for batch in batches:
-            sims = _similarities(_unit(_matrix(batch["vector"])), ref_units)
-            yield _pairs(_ids(batch["query_id"]), ref_ids, sims, k)
+            if len(batch):
+                yield _nearest(_ids(batch["query_id"]), _unit(_matrix(batch["vector"])), ref_ids, ref_units, k)
 
     return queries.select("query_id", "vector").mapInPandas(rank, schema)
 
@@ -111,8 +131,9 @@ def _rank_for_queries(queries: DataFrame, refs: DataFrame, k: int, schema: T.Str
         query_ids, query_units = shared.value
         best: pd.DataFrame | None = None
         for batch in batches:
-            sims = _similarities(query_units, _unit(_matrix(batch["vector"])))
-            found = _pairs(query_ids, _ids(batch["ref_id"]), sims, k)
+            if not len(batch):
+                continue
+            found = _nearest(query_ids, query_units, _ids(batch["ref_id"]), _unit(_matrix(batch["vector"])), k)
             best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["query_id", "score", "ref_id"], ascending=[True, False, True])
             best = best.groupby("query_id", sort=False).head(k)
@@ -240,8 +261,10 @@ def _pivot_search(
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "ref_id": [], "score": []})
-        sims = _similarities(_unit(_matrix(left["vector"])), _unit(_matrix(right["vector"])))
-        return _pairs(_ids(left["query_id"]), _ids(right["ref_id"]), sims, k)
+        return _nearest(
+            _ids(left["query_id"]), _unit(_matrix(left["vector"])),
+            _ids(right["ref_id"]), _unit(_matrix(right["vector"])), k,
+        )
 
     at = ("cell", "block", "chunk")
     return query_side.groupBy(*at).cogroup(ref_side.groupBy(*at)).applyInPandas(rank, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -83,6 +83,16 @@ def batch_text(
     )
 
 
+def variant_texts(texts: DataFrame, *, batch: str, headers: Mapping[str, str]) -> DataFrame:
+    """The same batch bodies under every variant's header (a handful of parameters)."""
+    variants = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(h).alias("header")) for v, h in headers.items()])
+    return texts.select(batch, "text", F.explode(variants).alias("v")).select(
+        F.col("v.variant").alias("variant"),
+        batch,
+        F.concat(F.col("v.header"), F.lit("\n"), F.col("text")).alias("text"),
+    )
+
+
 def change_line(entity: str) -> Column:
     """Report line of a change row."""
     shown = lambda c: F.coalesce(c, F.lit("null"))
