@@ -30,19 +30,15 @@ def last_runs(spark: SparkSession, sf: str) -> DataFrame:
     return drift.last_completed(event_runs(spark, sf), 28)
 
 
-# The runs looked at, and which of the days' scores count: late days before noon have none,
-# so that some recent runs are without a score.
+# Two unscored runs, a run with a drop, and a run that does not exist are among those looked at.
 _LOOKED_AT = (3, 15, 28, 30, 99)
 
 
-def _purchases(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores with two runs without any, and a drop by half in another."""
-    run = F.col("ingest_run_id")
-    return (
-        event_days(spark, sf)
-        .filter((F.col("eval_type") == "purchase") & ~run.isin(27, 29))
-        .withColumn("score", F.when(run == 30, F.floor(F.col("score") / 4).cast("int")).otherwise(F.col("score")))
-    )
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores per day: those of two days are missing, those of one are a quarter."""
+    run, score = F.col("ingest_run_id"), F.col("score")
+    given = F.when(run == 30, F.floor(score / 4).cast("int")).when(~run.isin(27, 29), score)
+    return event_days(spark, sf).withColumn("score", given)
 
 
 def _drift_sql(prior_only: bool) -> str:
@@ -57,8 +53,8 @@ def _drift_sql(prior_only: bool) -> str:
                   ORDER BY ingest_run_id DESC LIMIT 5) r LEFT JOIN a USING (ingest_run_id)"""
         )
     return f"""WITH {EVENT_DAYS_SQL}, a AS (
-        SELECT ingest_run_id, avg(CASE WHEN ingest_run_id = 30 THEN score // 4 ELSE score END) AS avg_score FROM days
-        WHERE eval_type = 'purchase' AND ingest_run_id NOT IN (27, 29) GROUP BY 1),
+        SELECT ingest_run_id, avg(CASE WHEN ingest_run_id = 30 THEN score // 4
+          WHEN ingest_run_id NOT IN (27, 29) THEN score END) AS avg_score FROM days WHERE eval_type = 'purchase' GROUP BY 1),
       s AS ({" UNION ALL ".join(parts)})
       SELECT run_id, round(current_avg, 6) AS current_avg, recent_runs, scored_runs, round(rolling_avg, 6) AS rolling_avg,
         round(rolling_avg - current_avg, 6) AS drop,
@@ -68,7 +64,7 @@ def _drift_sql(prior_only: bool) -> str:
 
 
 def _drift(spark: SparkSession, sf: str, prior_only: bool) -> DataFrame:
-    evals, runs = _purchases(spark, sf), event_runs(spark, sf)
+    evals, runs = _scores(spark, sf), event_runs(spark, sf)
     rows = [
         drift.drift_check(evals, runs, run, eval_type="purchase", prior_only=prior_only) for run in _LOOKED_AT
     ]
