@@ -72,26 +72,31 @@ def value_to_text(c: Column, dtype: T.DataType) -> Column:
 def fixed(c: Column, decimals: int) -> Column:
     """Fixed-point text, halves away from zero, judged on the exact binary value.
 
-    ``format_string`` rounds the shortest decimal text, which turns 1.005 (stored a little
-    below) into 1.01. Where the scaled value rounds to an exact half although the stored
-    number lies below it, the number is moved down by an ulp first. The rounding error of the
-    scaling is had exactly by splitting both factors into halves of the mantissa.
+    1.005 is stored a little below its text and gives 1.00; 2.125 is exact and gives 2.13.
+    The rounding error of ``size * 10^decimals`` is had exactly by splitting the number into
+    two halves of its mantissa, and decides where the product looks like a half. All of it is
+    plain arithmetic; only very large or non-finite numbers go through ``format_string``.
     """
     c = c.cast("double")
-    factor = float(10 ** (decimals + 1))
-    split = F.lit(134217729.0)  # 2^27 + 1
+    factor = float(10**decimals)  # few enough digits to need no splitting itself
     size = F.abs(c)
     scaled = size * F.lit(factor)
-    size_hi = split * size - (split * size - size)
-    size_lo = size - size_hi
-    factor_hi = 134217729.0 * factor - (134217729.0 * factor - factor)
-    factor_lo = factor - factor_hi
-    error = (
-        ((size_hi * factor_hi - scaled) + size_hi * factor_lo) + size_lo * factor_hi
-    ) + size_lo * factor_lo
-    below_half = (F.pmod(scaled, F.lit(10.0)) == 5.0) & (error < 0) & (size < 1e15)
-    nudged = F.when(below_half, c * F.lit(1.0 - 2.0**-50)).otherwise(c)
-    return F.format_string(f"%.{decimals}f", nudged)
+    spread = size * F.lit(134217729.0)  # 2^27 + 1
+    high = spread - (spread - size)
+    error = (high * F.lit(factor) - scaled) + (size - high) * F.lit(factor)
+    whole = F.floor(scaled)
+    rest = scaled - whole
+    up = (rest > 0.5) | ((rest == 0.5) & (error >= 0))
+    units = whole + F.when(up, 1).otherwise(0)
+    sign = F.when(c < 0, F.lit("-")).when((c == 0) & c.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    if decimals:
+        power = F.lit(10**decimals).cast("long")
+        before = F.floor(units / F.lit(factor)).cast("long")
+        after = F.lpad((units - before * power).cast("string"), decimals, "0")
+        digits = F.concat(before.cast("string"), F.lit("."), after)
+    else:
+        digits = units.cast("string")
+    return F.when(size < 1e12, F.concat(sign, digits)).otherwise(F.format_string(f"%.{decimals}f", c))
 
 
 def fixed_or(c: Column, decimals: int, default: str = UNKNOWN) -> Column:

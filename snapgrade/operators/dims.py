@@ -126,12 +126,29 @@ def labelled_change_report(
     limit: int = 30,
     order: Sequence[str] = ("planet_name", "detected_at"),
 ) -> DataFrame:
-    """Labelled planets with host and change rows, the first ``limit`` by name and time."""
-    return (
+    """Labelled planets with host and change rows, the first ``limit`` by name, then time.
+
+    Every planet with a host and a change gives at least one row and names come first in the
+    order, so the ``limit`` lowest such names hold the whole result. They are found with semi
+    joins over key columns; the wide rows are then met by at most ``limit`` broadcast planets,
+    and a planet with very many change rows is never shuffled.
+    """
+    if order[0] != "planet_name":
+        raise ValueError("the report is ordered by planet_name first")
+    hosts = stars.select(F.col("id").alias("star_id"), F.col("name").alias("host_star"))
+    hosted = links.join(hosts.select("star_id"), "star_id", "left_semi").select(F.col("planet_id").alias("id")).distinct()
+    changed = changes.select("planet_name").distinct()
+    first = (
         planets.filter(F.col("classification").isNotNull())
-        .join(links, planets["id"] == links["planet_id"])
-        .join(stars.select(F.col("id").alias("star_id"), F.col("name").alias("host_star")), "star_id")
-        .join(changes, "planet_name")
+        .join(hosted, "id", "left_semi")
+        .join(changed, "planet_name", "left_semi")
+        .orderBy("planet_name")
+        .limit(limit)
+    )
+    first_links = links.join(F.broadcast(first.select(F.col("id").alias("planet_id"))), "planet_id", "left_semi")
+    return (
+        changes.join(F.broadcast(first), "planet_name")
+        .join(first_links.join(hosts, "star_id"), F.col("id") == F.col("planet_id"))
         .orderBy(*order)
         .limit(limit)
     )

@@ -57,43 +57,57 @@ OK, EMPTY_TEXT, MALFORMED, BROKEN = "ok", "no_text", "malformed", "broken_elemen
 
 
 def _typed_elements(answers: DataFrame, keys: Sequence[str], text: str, fields: Sequence[AnswerField]) -> DataFrame:
-    """``keys`` plus the text's status and its array of typed elements (one row per answer)."""
+    """``keys, status, position``, the fields and ``broken``: one row per element, and one row
+    with a null position for a text without any.
+
+    Elements are exploded before they are looked into: each field is then fetched once per row
+    in generated code, and the window that finds an answer's broken elements spans only the
+    elements of one text.
+    """
     body = strip_fences(F.col(text))
     parsed = F.when(body.startswith("[") & body.endswith("]"), F.try_parse_json(body))
-    elements = F.try_variant_get(parsed, "$", "array<variant>")
-
-    def typed(element: Column) -> Column:
-        values, faults = [], []
-        for field in fields:
-            path = f"$.{field.name}"
-            kind = F.schema_of_variant(F.try_variant_get(element, path, "variant"))
-            value = F.when(
-                kind == _KIND_NAMES[field.kind], F.try_variant_get(element, path, field.kind)
-            )
-            wrong_kind = kind.isNotNull() & ~kind.isin(_KIND_NAMES[field.kind], "VOID")
-            fault = wrong_kind | ((kind == _KIND_NAMES[field.kind]) & value.isNull())
-            if field.required:
-                fault = fault | kind.isNull()
-            if not field.nullable:
-                fault = fault | (kind == "VOID")
-            values.append(value.alias(field.name))
-            faults.append(F.coalesce(fault, F.lit(False)))
-        is_object = F.coalesce(F.schema_of_variant(element).startswith("OBJECT"), F.lit(False))
-        broken = ~is_object | reduce(lambda a, b: a | b, faults)
-        return F.struct(*values, broken.alias("broken"))
-
-    return answers.select(
-        *keys,
-        F.col(text).isNull().alias("no_text"),
-        F.transform(elements, typed).alias("elements"),
-    ).withColumn(
-        "status",
-        F.when(F.col("no_text"), EMPTY_TEXT)
-        .when(F.col("elements").isNull(), MALFORMED)
-        .when(F.exists("elements", lambda e: e["broken"]), BROKEN)
-        .otherwise(OK),
+    elements = answers.select(
+        *keys, F.col(text).isNull().alias("_no_text"), F.try_variant_get(parsed, "$", "array<variant>").alias("_all")
+    ).select(*keys, "_no_text", F.col("_all").isNull().alias("_no_array"), F.posexplode_outer("_all").alias("position", "_e"))
+
+    kinds = elements.select(
+        "*",
+        *[F.schema_of_variant(F.try_variant_get("_e", f"$.{f.name}", "variant")).alias(f"_{f.name}") for f in fields],
+    )
+    values = kinds.select(
+        *keys, "_no_text", "_no_array", "position", *[f"_{f.name}" for f in fields],
+        *[
+            F.when(
+                F.col(f"_{f.name}") == _KIND_NAMES[f.kind], F.try_variant_get("_e", f"$.{f.name}", f.kind)
+            ).alias(f.name)
+            for f in fields
+        ],
     )
 
+    def fault(field: AnswerField) -> Column:
+        kind, wanted = F.col(f"_{field.name}"), _KIND_NAMES[field.kind]
+        found = (kind.isNotNull() & ~kind.isin(wanted, "VOID")) | ((kind == wanted) & F.col(field.name).isNull())
+        if field.required:
+            found = found | kind.isNull()
+        if not field.nullable:
+            found = found | (kind == "VOID")
+        return F.coalesce(found, F.lit(False))
+
+    # an element that is no object has no name, which is a fault of the required name field
+    broken = reduce(lambda a, b: a | b, [fault(f) for f in fields])
+    judged = values.select(
+        *keys, "_no_text", "_no_array", "position", *[f.name for f in fields],
+        (F.col("position").isNotNull() & broken).alias("broken"),
+    )
+    any_broken = F.max("broken").over(Window.partitionBy(*keys))
+    status = (
+        F.when(F.col("_no_text"), EMPTY_TEXT)
+        .when(F.col("_no_array"), MALFORMED)
+        .when(any_broken, BROKEN)
+        .otherwise(OK)
+    )
+    return judged.withColumn("status", status).drop("_no_text", "_no_array")
+
 
 def parse_answers(
     answers: DataFrame,
@@ -105,35 +119,29 @@ def parse_answers(
 ) -> DataFrame:
     """One row per answer and entity: ``keys, name_key, position`` and the fields.
 
-    Names are matched regardless of case and the last element of a repeated name wins. A
-    malformed text gives no rows. An element that lacks a required key or holds a value of
-    another kind voids its whole answer, or with ``on_broken="skip_element"`` only itself.
+    ``keys`` identify an answer. Names are matched regardless of case and the last element of a
+    repeated name wins. A malformed text gives no rows. An element that lacks a required key or
+    holds a value of another kind voids its whole answer, or with
+    ``on_broken="skip_element"`` only itself.
     """
     if on_broken not in ("void_answer", "skip_element"):
         raise ValueError("on_broken must be 'void_answer' or 'skip_element'")
-    typed = _typed_elements(answers, keys, text, fields)
-    usable = typed.filter(F.col("status") == OK) if on_broken == "void_answer" else typed
-    rows = (
-        usable.select(*keys, F.posexplode("elements").alias("position", "element"))
-        .filter(~F.col("element.broken"))
-        .select(*keys, "position", "element.*")
-    )
+    rows = _typed_elements(answers, keys, text, fields)
+    rows = rows.filter(F.col("status") == OK) if on_broken == "void_answer" else rows.filter(~F.col("broken"))
+    rows = rows.filter(F.col("position").isNotNull())
     for field in fields:
         if not field.keep_null:
             rows = rows.filter(F.col(field.name).isNotNull())
-    rows = rows.withColumn("name_key", key_of_name(F.col(NAME_FIELD.name)))
+    rows = rows.drop("broken", "status").withColumn("name_key", key_of_name(F.col(NAME_FIELD.name)))
     rows = first_per_key(rows, [*keys, "name_key"], [F.col("position").desc()])
     defaults = {f.name: F.coalesce(f.name, F.lit(f.default)) for f in fields if f.default is not None}
-    return rows.withColumns(defaults).drop("broken") if defaults else rows.drop("broken")
+    return rows.withColumns(defaults) if defaults else rows
 
 
 def answer_status(answers: DataFrame, keys: Sequence[str], text: str, fields: Sequence[AnswerField]) -> DataFrame:
     """Per answer: status, number of elements and of broken elements."""
-    return _typed_elements(answers, keys, text, fields).select(
-        *keys,
-        "status",
-        F.coalesce(F.size("elements"), F.lit(0)).cast("long").alias("elements"),
-        F.coalesce(F.size(F.filter("elements", lambda e: e["broken"])), F.lit(0)).cast("long").alias("broken"),
+    return _typed_elements(answers, keys, text, fields).groupBy(*keys, "status").agg(
+        F.count("position").alias("elements"), F.count_if("broken").alias("broken")
     )
 
 

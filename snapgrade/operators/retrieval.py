@@ -16,14 +16,19 @@ has no similarity (null) and comes last.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from snapgrade.functions.vectors import cosine_similarity
 
+# Task functions travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOP_K = 3
 RANK_DECIMALS = 9
 NO_SIMILARITY = -2.0  # below every cosine; shown as null

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from snapgrade.functions.text import equals_ignore_case
-from snapgrade.operators import dims, drift  # noqa: F401
+from snapgrade.functions.text import equals_ignore_case, num_to_text
+from snapgrade.operators import dims
 from snapgrade.operators.dedupe import (
     anti_existing, clean_keys, composite_key, first_per_key, key_difference, key_set,
 )
@@ -268,19 +268,15 @@ def get_or_create(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dim_anti_create",
-    """SELECT name, c_mktsegment FROM (SELECT n_name AS name, c_mktsegment,
-        row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS rn
-      FROM customer JOIN nation ON c_nationkey = n_nationkey)
-    WHERE rn = 1 AND name NOT IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9000)""",
+    """SELECT o_custkey, o_orderkey, o_totalprice FROM (
+      SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
+    WHERE rn = 1 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)""",
 )
 def anti_create(spark: SparkSession, sf: str) -> DataFrame:
-    stored = (
-        table(spark, sf, "nation")
-        .join(table(spark, sf, "supplier").filter(F.col("s_acctbal") > 9000), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(F.col("n_name").alias("name"))
-    )
-    candidates = _flat(spark, sf).select(F.col("host").alias("name"), "c_mktsegment", "c_custkey")
-    return dims.get_or_create(candidates, stored, ["name"], ["c_custkey"]).select("name", "c_mktsegment")
+    """The first order of every customer that is not stored yet."""
+    stored = table(spark, sf, "customer").filter(F.col("c_acctbal") > 5000).select(F.col("c_custkey").alias("o_custkey"))
+    new = dims.get_or_create(table(spark, sf, "orders"), stored, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return new.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query(
@@ -334,8 +330,6 @@ def link_once(spark: SparkSession, sf: str) -> DataFrame:
     ORDER BY planet_name, detected_at, star_id, change_type, field_name, new_value LIMIT 30""",
 )
 def four_way(spark: SparkSession, sf: str) -> DataFrame:
-    from snapgrade.functions.text import num_to_text
-
     name = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("planet_name")
     lines = table(spark, sf, "lineitem")
     planets = table(spark, sf, "orders").select(

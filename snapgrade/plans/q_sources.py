@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from snapgrade import schemas
 from snapgrade.functions import rules
@@ -22,16 +22,16 @@ from snapgrade.streaming.landing import landed_stream, reference_job, snapshot_j
 _FILE_ROWS = 5000
 
 
-def _land_arrays(elements: DataFrame, order: list[str], folder: str) -> None:
-    """Write ``element`` texts as JSON array files of ``_FILE_ROWS`` elements each."""
-    placed = assign_batches(elements, order, _FILE_ROWS, batch="chunk")
-    rows = F.array_sort(F.collect_list(F.struct("position", "element")))
+def _land_arrays(rows: DataFrame, order: list[str], element: Column, folder: str) -> None:
+    """Write an element text per row as JSON array files of ``_FILE_ROWS`` elements each."""
+    placed = assign_batches(rows, order, _FILE_ROWS, batch="chunk")
+    rows = F.array_sort(F.collect_list(F.struct("position", element.alias("element"))))
     arrays = placed.groupBy("chunk").agg(rows.alias("rows"))
     text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["element"]), ",\n"), F.lit("]"))
     arrays.select("chunk", text.alias("value")).write.partitionBy("chunk").text(folder)
 
 
-def _part_elements(spark: SparkSession, sf: str) -> DataFrame:
+def _part_element() -> Column:
     """Parts as snapshot elements: a missing key, a JSON null, values of the wrong kind."""
     size, price = F.col("p_size"), F.col("p_retailprice")
     odd = F.when(F.col("p_brand") == "Brand#3", F.lit('"none"')).otherwise(num_to_text(price))
@@ -39,12 +39,11 @@ def _part_elements(spark: SparkSession, sf: str) -> DataFrame:
     method = F.when(
         F.col("p_type") != "PROMO", F.concat(F.lit('"discoverymethod": "'), "p_type", F.lit('", '))
     ).otherwise(F.lit(""))
-    element = F.concat(
+    return F.concat(
         F.lit('{"pl_name": "'), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit('", "hostname": "'),
         "p_brand", F.lit('", '), method, F.lit('"disc_year": '), year, F.lit(', "pl_bmasse": '), odd,
         F.lit(', "extra": [1]}'),
     )
-    return table(spark, sf, "part").select("p_partkey", element.alias("element"))
 
 
 @query(
@@ -56,22 +55,26 @@ def _part_elements(spark: SparkSession, sf: str) -> DataFrame:
 )
 def json_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "json-snapshot")
-    _land_arrays(_part_elements(spark, sf), ["p_partkey"], folder)
+    _land_arrays(table(spark, sf, "part"), ["p_partkey"], _part_element(), folder)
     landed.require_arrays(spark, f"{folder}/*")
     return landed.read_snapshot(spark, folder).select(
         "planet_name", "host_star", "discovery_method", "discovery_year", "planet_mass", "planet_radius"
     )
 
 
-def _part_references(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as references to their part, by their supplier: (part, supplier) repeats."""
-    element = F.concat(
+_REFERENCE_COLUMNS = [
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag",
+]
+
+
+def _reference_element() -> Column:
+    """A line item as reference to its part, by its supplier: (part, supplier) repeats."""
+    return F.concat(
         F.lit('{"pl_name": " part '), F.col("l_partkey").cast("string"), F.lit('", "pl_refname": "supplier '),
         F.col("l_suppkey").cast("string"), F.lit('\\t", "pl_pubdate": "'), F.date_format("l_shipdate", "yyyy-MM"),
         F.lit('", "pl_bmasse": '), num_to_text(F.col("l_quantity")), F.lit(', "discoverymethod": "'),
         "l_returnflag", F.lit('"}'),
     )
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", element.alias("element"))
 
 
 _REFERENCES_SQL = """lines AS (SELECT 'part ' || l_partkey AS planet_name, 'supplier ' || l_suppkey AS reference_name,
@@ -96,7 +99,8 @@ def json_references(spark: SparkSession, sf: str) -> DataFrame:
 
 def _read_part_references(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "json-references")
-    _land_arrays(_part_references(spark, sf), ["l_orderkey", "l_linenumber", "element"], folder)
+    lines = table(spark, sf, "lineitem").select(*_REFERENCE_COLUMNS)
+    _land_arrays(lines, _REFERENCE_COLUMNS, _reference_element(), folder)
     known = table(spark, sf, "part").filter(F.col("p_size") > 10).select(
         F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("planet_name")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from snapgrade.functions.text import content_text, preview, question_text
+from snapgrade.functions.text import content_text, num_to_text, preview, question_text
 from snapgrade.operators import retrieval, texts
 from snapgrade.operators.batches import assign_batches
 from snapgrade.operators.diff import snapshot_diff
@@ -41,9 +41,10 @@ _LINE_SQL = """'name=' || planet_name || ', disc_year=' || discovery_year || ',
     FROM lines GROUP BY 1""",
 )
 def batch_text(spark: SparkSession, sf: str) -> DataFrame:
-    lines = order_entities(spark, sf).select("planet_name", texts.entity_line().alias("line"))
-    placed = assign_batches(lines, ["planet_name"], 50)
-    return texts.batch_text(placed, batch="batch", position="position", line="line", header="HEAD", footer="END")
+    columns = [column for _, column, _ in texts.LINE_FIELDS]
+    placed = assign_batches(order_entities(spark, sf).select(*columns), ["planet_name"], 50)
+    lines = placed.select("batch", "position", texts.entity_line().alias("line"))
+    return texts.batch_text(lines, batch="batch", position="position", line="line", header="HEAD", footer="END")
 
 
 @query(
@@ -92,9 +93,10 @@ def change_batch_text(spark: SparkSession, sf: str) -> DataFrame:
     FROM lines GROUP BY 1""",
 )
 def judge_text(spark: SparkSession, sf: str) -> DataFrame:
-    lines = order_entities(spark, sf).select("o_orderkey", texts.judge_line("planet_name", "classification").alias("line"))
-    placed = assign_batches(lines, ["o_orderkey"], 50)
-    return texts.batch_text(placed, batch="batch", position="position", line="line", header="HEAD", footer="END")
+    columns = ["o_orderkey", "planet_name", "classification", *[column for _, column, _ in texts.JUDGE_LINE_FIELDS]]
+    placed = assign_batches(order_entities(spark, sf).select(*columns), ["o_orderkey"], 50)
+    lines = placed.select("batch", "position", texts.judge_line("planet_name", "classification").alias("line"))
+    return texts.batch_text(lines, batch="batch", position="position", line="line", header="HEAD", footer="END")
 
 
 @query(
@@ -107,19 +109,16 @@ def judge_text(spark: SparkSession, sf: str) -> DataFrame:
 )
 def variant_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The same entities under every variant's header."""
-    lines = table(spark, sf, "customer").select(
-        "c_name", texts.entity_line((("name", "c_name", None), ("balance", "c_acctbal", 2))).alias("line")
-    )
-    placed = assign_batches(lines, ["c_name"], 50)
-    bodies = texts.batch_text(placed, batch="batch", position="position", line="line", header="LIST", footer="END")
+    placed = assign_batches(table(spark, sf, "customer").select("c_name", "c_acctbal"), ["c_name"], 50)
+    line = texts.entity_line((("name", "c_name", None), ("balance", "c_acctbal", 2)))
+    lines = placed.select("batch", "position", line.alias("line"))
+    bodies = texts.batch_text(lines, batch="batch", position="position", line="line", header="LIST", footer="END")
     return texts.variant_texts(bodies, batch="batch", headers={"full": "All rules.", "bare": "No rules."})
 
 
 def _event_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Events as change rows of their day: sign-ups insert, errors delete, the rest update."""
     kind = F.col("event_type")
-    from snapgrade.functions.text import num_to_text
-
     return table(spark, sf, "events").select(
         F.dayofmonth("ts").alias("ingest_run_id"),
         F.when(kind == "signup", "INSERT").when(kind == "error", "DELETE").otherwise("UPDATE").alias("change_type"),
