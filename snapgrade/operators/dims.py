@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snapgrade.operators.dedupe import anti_existing, clean_keys, first_per_key
+from snapgrade.session import materialise
 
 
 def surrogate_id(kind: str, *parts: str) -> Column:
@@ -60,7 +61,8 @@ def normalise_snapshot(
     ``stored_links(planet_id, star_id)``. A system is found through its star's name. Links are
     made for new planets only. Star rows are one per host, so a host with very many planets
     is reduced before the join with the stored stars; the planets' own join with the host's
-    ids has one row per host on the right side.
+    ids has one row per host on the right side. The hosts' ids and the new planets feed several
+    of the four tables and are written once.
     """
     host, planet = layout.host_key, layout.planet_key
     hosts = first_per_key(
@@ -73,11 +75,14 @@ def normalise_snapshot(
     known = stored_stars.select(
         "name", F.col("id").alias("_star_id"), F.col("solar_system_id").alias("_system_id")
     )
-    ids = hosts.join(known, "name", "left").select(
-        hosts["*"],
-        F.col("_star_id").isNull().alias("is_new"),
-        F.coalesce("_star_id", surrogate_id("star", "name")).alias("star_id"),
-        F.coalesce("_system_id", surrogate_id("system", "name")).alias("system_id"),
+    ids = materialise(
+        hosts.join(known, "name", "left").select(
+            hosts["*"],
+            F.col("_star_id").isNull().alias("is_new"),
+            F.coalesce("_star_id", surrogate_id("star", "name")).alias("star_id"),
+            F.coalesce("_system_id", surrogate_id("system", "name")).alias("system_id"),
+        ),
+        "hosts",
     )
     new_hosts = ids.filter("is_new")
     systems = new_hosts.select(
@@ -89,19 +94,20 @@ def normalise_snapshot(
         "name",
         *[F.col(c).alias(n) for c, n in layout.star_fields.items()],
     )
-    new_planets = snapshot.join(
-        stored_planets.select(F.col("planet_name").alias(planet)), planet, "left_anti"
-    ).join(ids.select(F.col("name").alias(host), "star_id", "system_id"), host)
-    planets = new_planets.select(
-        surrogate_id("planet", planet).alias("id"),
-        F.col("system_id").alias("solar_system_id"),
-        F.col(planet).alias("planet_name"),
-        *layout.planet_fields,
-    )
-    links = link_once(
-        new_planets.select(surrogate_id("planet", planet).alias("planet_id"), "star_id"), stored_links
+    new_planets = materialise(
+        snapshot.join(stored_planets.select(F.col("planet_name").alias(planet)), planet, "left_anti")
+        .join(ids.select(F.col("name").alias(host), "star_id", "system_id"), host)
+        .select(
+            surrogate_id("planet", planet).alias("id"),
+            F.col("system_id").alias("solar_system_id"),
+            F.col(planet).alias("planet_name"),
+            *layout.planet_fields,
+            "star_id",
+        ),
+        "new-planets",
     )
-    return NewRows(systems, stars, planets, links)
+    links = link_once(new_planets.select(F.col("id").alias("planet_id"), "star_id"), stored_links)
+    return NewRows(systems, stars, new_planets.drop("star_id"), links)
 
 
 def link_once(pairs: DataFrame, stored_links: DataFrame) -> DataFrame:
@@ -129,22 +135,23 @@ def labelled_change_report(
     """Labelled planets with host and change rows, the first ``limit`` by name, then time.
 
     Every planet with a host and a change gives at least one row and names come first in the
-    order, so the ``limit`` lowest such names hold the whole result. They are found with semi
-    joins over key columns; the wide rows are then met by at most ``limit`` broadcast planets,
-    and a planet with very many change rows is never shuffled.
+    order, so the ``limit`` lowest such planets hold the whole result. They are found with semi
+    joins over key columns and fetched (``limit`` rows at most); the wide rows then meet only
+    these as a broadcast, and a planet with very many change rows is never shuffled.
     """
     if order[0] != "planet_name":
         raise ValueError("the report is ordered by planet_name first")
     hosts = stars.select(F.col("id").alias("star_id"), F.col("name").alias("host_star"))
     hosted = links.join(hosts.select("star_id"), "star_id", "left_semi").select(F.col("planet_id").alias("id")).distinct()
     changed = changes.select("planet_name").distinct()
-    first = (
+    lowest = (
         planets.filter(F.col("classification").isNotNull())
         .join(hosted, "id", "left_semi")
         .join(changed, "planet_name", "left_semi")
         .orderBy("planet_name")
         .limit(limit)
     )
+    first = planets.sparkSession.createDataFrame(lowest.collect(), lowest.schema)
     first_links = links.join(F.broadcast(first.select(F.col("id").alias("planet_id"))), "planet_id", "left_semi")
     return (
         changes.join(F.broadcast(first), "planet_name")

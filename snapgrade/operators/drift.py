@@ -58,25 +58,18 @@ def drift_check(
 ) -> DataFrame:
     """One row: this run's average against the mean of the recent runs' averages.
 
-    The limit on recent runs applies before runs without scores fall out. At most
-    ``window + 1`` run ids are broadcast, which lets a table partitioned by run be pruned
-    to them before its scores are averaged.
+    The limit on recent runs applies before runs without scores fall out. The recent run ids
+    (``window`` numbers at most) are fetched from the ledger first, so that a score table
+    partitioned by run is read in ``window + 1`` partitions only.
     """
-    recent = last_completed(runs, run_id, window, run=run, prior_only=prior_only)
-    wanted = recent.select(run, F.lit(False).alias("is_current")).unionByName(
-        # the run itself, even if its ledger row is missing or not completed
-        runs.sparkSession.range(1).select(
-            F.lit(run_id).cast(runs.schema[run].dataType).alias(run), F.lit(True).alias("is_current")
-        )
-    )
-    scores = evals.filter(F.col("eval_type") == eval_type).join(F.broadcast(wanted.select(run)), run, "left_semi")
-    averages = run_averages(scores, run).select(run, "avg_score")
-    now, before = F.col("is_current"), ~F.col("is_current")
-    summary = wanted.join(averages, run, "left").agg(
-        F.max(F.when(now, F.col("avg_score"))).alias("current_avg"),
-        F.count_if(before).alias("recent_runs"),
-        F.count(F.when(before, F.col("avg_score"))).alias("scored_runs"),
-        F.avg(F.when(before, F.col("avg_score"))).alias("rolling_avg"),
+    ids = [row[0] for row in last_completed(runs, run_id, window, run=run, prior_only=prior_only).collect()]
+    scores = evals.filter((F.col("eval_type") == eval_type) & F.col(run).isin(run_id, *ids))
+    average, now = F.col("avg_score"), F.col(run) == run_id
+    summary = run_averages(scores, run).agg(
+        F.max(F.when(now, average)).alias("current_avg"),
+        F.lit(len(ids)).cast("long").alias("recent_runs"),
+        F.count(F.when(~now, average)).alias("scored_runs"),
+        F.avg(F.when(~now, average)).alias("rolling_avg"),
     )
     return summary.select(
         F.lit(run_id).cast("long").alias("run_id"),
@@ -100,7 +93,6 @@ def variant_scores(
     scored by an inner join on the name; entities without an answer add nothing to the sum, so
     they need only be counted, and no entity × variant product is built.
     """
-    total = entities.agg(F.count(F.lit(1)).alias("entities"))
     scored = (
         entities.select(key_of_name(F.col(name)).alias("name_key"), F.col(expected).alias("_want"))
         .join(answers.select("variant", "name_key", "code"), "name_key")
@@ -112,14 +104,14 @@ def variant_scores(
             F.count(F.lit(1)).alias("answered"),
         )
     )
-    per_variant = variants.select("variant").join(scored, "variant", "left")
-    one = F.lit(1).alias("_one")
+    total = entities.agg(F.count(F.lit(1)))
     return (
-        per_variant.select("*", one)
-        .join(F.broadcast(total.select("*", one)), "_one")
+        variants.select("variant")
+        .join(scored, "variant", "left")
+        .withColumn("entities", total.scalar())
         .select(
             "variant",
-            F.col("entities"),
+            "entities",
             F.coalesce("answered", F.lit(0)).cast("long").alias("answered"),
             F.when(F.col("entities") > 0, F.coalesce("_points", F.lit(0)) / F.col("entities"))
             .otherwise(F.lit(0.0))

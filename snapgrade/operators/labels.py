@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from snapgrade.functions import rules
 from snapgrade.functions.text import key_of_name, strip_fences
 from snapgrade.operators.dedupe import first_per_key
+from snapgrade.session import materialise
 
 
 @dataclass(frozen=True)
@@ -203,15 +204,17 @@ def apply_labels(
     change rows in labelled batches gets n rows; the first carries the stored label as old
     value, each later one the label set just before it. Within a (name, batch) group the label
     is one value, so only the first row of each group looks back, and looking back runs over
-    one row per group instead of over the change rows.
+    one row per group instead of over the change rows. The groups are read by both results
+    and written once.
     """
     now = F.current_timestamp() if now is None else now
     named = changes.select(name, batch, seq)
     groups = named.groupBy(name, batch).agg(F.min(seq).alias("_first"))
-    labelled = (
+    labelled = materialise(
         groups.withColumn("name_key", key_of_name(F.col(name)))
         .join(labels.select(batch, "name_key", F.col("label").alias("_label"), "reason"), [batch, "name_key"])
-        .join(entities.select(name, F.col(label).alias("_stored")), name)
+        .join(entities.select(name, F.col(label).alias("_stored")), name),
+        "labelled",
     )
     chained = previous_value(labelled, name, batch, "_label", "_before")
     before = F.coalesce("_before", "_stored")
@@ -288,12 +291,17 @@ def grade_labels(
     return base.select(name, F.explode(both).alias("grade")).select(name, "grade.*")
 
 
-def judge_rows(entities: DataFrame, judgments: DataFrame, *, name: str) -> DataFrame:
-    """One grade row per entity that has a judgment ``(name_key, score, reasoning)``."""
+def judge_rows(entities: DataFrame, judgments: DataFrame, *, name: str, batch: str | None = None) -> DataFrame:
+    """One grade row per entity that has a judgment ``(name_key, score, reasoning)``.
+
+    With ``batch`` both sides carry it, and only the answer to an entity's own batch counts.
+    """
     points = rules.clamp_score(F.col("score"))
+    keys = ["name_key"] if batch is None else [batch, "name_key"]
     return (
-        entities.select(name, key_of_name(F.col(name)).alias("name_key"))
-        .join(judgments.select("name_key", "score", "reasoning"), "name_key")
+        entities.withColumn("name_key", key_of_name(F.col(name)))
+        .select(name, *keys)
+        .join(judgments.select(*keys, "score", "reasoning"), keys)
         .select(
             name,
             F.lit("LLM_JUDGE").alias("eval_type"),

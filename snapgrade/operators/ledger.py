@@ -26,12 +26,15 @@ def open_run(spark: SparkSession, run_id: int, source: str, url: str | None, fet
 
 def complete_run(opened: DataFrame, counts: DataFrame, at: Column) -> DataFrame:
     """The closing state row: the opening row with the diff counters (both have one row)."""
-    one = F.lit(1).alias("_one")
-    counters = list(counts.columns)
-    joined = opened.drop(*counters).select("*", one).join(F.broadcast(counts.select("*", one)), "_one")
-    return joined.withColumns({"status": F.lit(COMPLETED), "completed_at": at}).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.INGEST_RUN.fields]
+    counters = counts.select(F.struct("*")).scalar()
+    closed = opened.withColumn("_counters", counters).withColumns(
+        {
+            "status": F.lit(COMPLETED),
+            "completed_at": at,
+            **{c: F.col(f"_counters.{c}") for c in counts.columns},
+        }
     )
+    return closed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.INGEST_RUN.fields])
 
 
 def fail_run(opened: DataFrame, message: str, at: Column) -> DataFrame:

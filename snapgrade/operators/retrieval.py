@@ -209,12 +209,9 @@ def _pivot_search(
     pivots = _choose_pivots(refs, pivot_count)
     if not len(pivots):
         # no reference has a direction: every similarity is null and the lowest ids win
-        lowest = refs.select("ref_id").orderBy("ref_id").limit(k)
-        one = F.lit(1).alias("_one")
-        return (
-            queries.select("query_id", one)
-            .join(F.broadcast(lowest.select("ref_id", one)), "_one")
-            .select("query_id", "ref_id", F.lit(NO_SIMILARITY).alias("score"))
+        lowest = refs.select("ref_id").orderBy("ref_id").limit(k).agg(F.collect_list("ref_id")).scalar()
+        return queries.withColumn("_lowest", lowest).select(
+            "query_id", F.explode("_lowest").alias("ref_id"), F.lit(NO_SIMILARITY).alias("score")
         )
     assigned, cells = _cells(refs, pivots, k)
     cell_ids = cells["cell"].to_numpy()
@@ -288,15 +285,18 @@ def topk_cosine(
 
     ``queries(query_id, vector)``, ``refs(ref_id, vector)``.
     """
-    queries = queries.select("query_id", "vector")
-    refs = refs.select("ref_id", "vector")
-    head = refs.select(F.size("vector").alias("n")).head()
     schema = _pair_schema(queries, refs)
-    if head is None:
+    head = refs.filter(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).head()
+    width = head["n"] if head else 1
+    # a missing vector is one without a direction
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), width)
+    queries = queries.select("query_id", F.coalesce("vector", nothing).alias("vector"))
+    refs = refs.select("ref_id", F.coalesce("vector", nothing).alias("vector"))
+    if refs.isEmpty():
         return _ranked(queries.sparkSession.createDataFrame([], schema), k)
-    if _fits(refs, head["n"], broadcast_bytes):
+    if _fits(refs, width, broadcast_bytes):
         pairs = _rank_against_refs(queries, refs, k, schema)
-    elif _fits(queries, head["n"], broadcast_bytes // 8):
+    elif _fits(queries, width, broadcast_bytes // 8):
         pairs = _rank_for_queries(queries, refs, k, schema)
     else:
         pairs = _pivot_search(queries, refs, k, schema, min(pivots, MAX_PIVOTS), block_rows)

@@ -302,13 +302,18 @@ def snapshot_run(spark: SparkSession, sf: str) -> DataFrame:
         expected_code=rules.four_letter_code(F.col("c_acctbal"), none, none, none),
     )
     grades = spark.read.parquet(tables.eval_result)
-    one = F.lit(1).alias("_one")
-    verdict = runs.check_drift(spark, tables, 1).select("verdict", F.round("current_avg", 6).alias("code_avg"), one)
-    total = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).select("*", one)
-    summary = result.select("fetched", "valid_incoming", one)
-    for frame, name in ((changes, "change_rows"), (state, "stored_rows"), (log, "label_rows"), (grades, "grade_rows")):
-        summary = summary.join(total(frame, name), "_one")
-    return summary.join(verdict, "_one").drop("_one")
+    drift = runs.check_drift(spark, tables, 1)
+    total = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return result.select(
+        "fetched",
+        "valid_incoming",
+        total(changes).alias("change_rows"),
+        total(state).alias("stored_rows"),
+        total(log).alias("label_rows"),
+        total(grades).alias("grade_rows"),
+        drift.select(F.round("current_avg", 6)).scalar().alias("code_avg"),
+        drift.select("verdict").scalar().alias("verdict"),
+    )
 
 
 @query(
