@@ -150,6 +150,17 @@ def strip_fences(c: Column) -> Column:
     return F.when(cleaned.startswith("```"), trim_all(bare)).otherwise(cleaned)
 
 
+# What schema_of_variant names a JSON value of the wanted kind.
+_JSON_KINDS = {"string": ("STRING",), "int": ("BIGINT",), "double": ("BIGINT", "DECIMAL", "DOUBLE")}
+
+
+def json_field(document: Column, key: str, kind: str) -> Column:
+    """One field of a parsed JSON object (a variant): missing, null or another kind gives null."""
+    found = F.schema_of_variant(F.try_variant_get(document, f"$.{key}", "variant"))
+    wanted = F.substring_index(found, "(", 1).isin(*_JSON_KINDS[kind])
+    return F.when(wanted, F.try_variant_get(document, f"$.{key}", kind))
+
+
 def split_first_comma(line: Column) -> tuple[Column, Column]:
     """Both sides of the first comma, trimmed, outer quotes removed; null without a comma."""
     at = F.locate(",", line)

@@ -35,7 +35,7 @@ NO_SIMILARITY = -2.0  # below every cosine; shown as null
 
 BROADCAST_BYTES = 32 << 20
 MAX_PIVOTS = 256
-BLOCK_ROWS = 2048
+BLOCK_BYTES = 8 << 20  # of vectors per side of one task
 MATRIX_CELLS = 4 << 20
 _SLACK = 1e-6  # radians; covers rounding of angles and of ranked similarities
 
@@ -279,11 +279,13 @@ def topk_cosine(
     *,
     broadcast_bytes: int = BROADCAST_BYTES,
     pivots: int = MAX_PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(query_id, ref_id, similarity, rank)``: the k nearest of all references for every query.
 
-    ``queries(query_id, vector)``, ``refs(ref_id, vector)``.
+    ``queries(query_id, vector)``, ``refs(ref_id, vector)``. ``block_rows`` is the size the
+    pivot search cuts cells and their queries to; by default as many vectors as fit
+    ``BLOCK_BYTES``. Larger blocks copy vectors to fewer tasks.
     """
     schema = _pair_schema(queries, refs)
     head = refs.filter(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).head()
@@ -299,7 +301,8 @@ def topk_cosine(
     elif _fits(queries, width, broadcast_bytes // 8):
         pairs = _rank_for_queries(queries, refs, k, schema)
     else:
-        pairs = _pivot_search(queries, refs, k, schema, min(pivots, MAX_PIVOTS), block_rows)
+        rows = block_rows or max(1024, BLOCK_BYTES // (4 * width))
+        pairs = _pivot_search(queries, refs, k, schema, min(pivots, MAX_PIVOTS), rows)
     return _ranked(pairs, k)
 
 

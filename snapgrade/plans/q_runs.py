@@ -10,6 +10,7 @@ from snapgrade.operators import checks, drift, ledger
 from snapgrade.operators.batches import with_position
 from snapgrade.plans.registry import query, table
 from snapgrade.plans.standins import EVENT_DAYS_SQL, event_days, event_runs
+from snapgrade.session import materialise
 from snapgrade.sources.landed import changes_of_run
 
 
@@ -64,7 +65,7 @@ def _drift_sql(prior_only: bool) -> str:
 
 
 def _drift(spark: SparkSession, sf: str, prior_only: bool) -> DataFrame:
-    evals, runs = _scores(spark, sf), event_runs(spark, sf)
+    evals, runs = _scores(spark, sf), materialise(event_runs(spark, sf), "runs")
     rows = [
         drift.drift_check(evals, runs, run, eval_type="purchase", prior_only=prior_only) for run in _LOOKED_AT
     ]

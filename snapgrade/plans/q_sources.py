@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from snapgrade import schemas
 from snapgrade.functions import rules
-from snapgrade.functions.text import num_to_text
+from snapgrade.functions.text import json_field, num_to_text
 from snapgrade.functions.vectors import text_to_vector, vector_to_text
 from snapgrade.operators.batches import assign_batches
 from snapgrade.plans import run as runs
@@ -157,6 +157,25 @@ def first_comma_split(spark: SparkSession, sf: str) -> DataFrame:
     return landed.read_two_column_csv(spark, folder)
 
 
+@query(
+    "json_fields",
+    """SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS whole, CAST(props ->> '$.k' AS DOUBLE) AS number,
+      NULL::VARCHAR AS text, event_type AS kind, CASE WHEN value > 20 THEN value END AS high FROM events""",
+)
+def json_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Single fields of JSON texts by kind; a number is no text, and a missing field is null."""
+    high = F.when(F.col("value") > 20, num_to_text(F.col("value"))).otherwise(F.lit("null"))
+    document = F.concat(
+        F.expr("left(props, length(props) - 1)"), F.lit(', "kind": "'), "event_type", F.lit('", "high": '), high, F.lit("}")
+    )
+    parsed = table(spark, sf, "events").select("event_id", F.try_parse_json(document).alias("d"))
+    field = lambda key, kind: json_field(F.col("d"), key, kind)
+    return parsed.select(
+        "event_id", field("k", "int").alias("whole"), field("k", "double").alias("number"),
+        field("k", "string").alias("text"), field("kind", "string").alias("kind"), field("high", "double").alias("high"),
+    )
+
+
 @query(
     "round_trip_sink",
     """SELECT event_id, event_type, CAST(day(ts) AS INTEGER) AS ingest_run_id, 1 AS written FROM events
