@@ -43,21 +43,30 @@ def key_of_name(c: Column) -> Column:
     return F.upper(c)
 
 
-def num_to_text(c: Column) -> Column:
-    """Shortest text of a double: ``5``, ``5.25``, ``0.0001``, ``1E-05``, ``1E+16``."""
-    raw = c.cast("string")
-    size = F.abs(c)
-    plain = F.rtrim(F.rtrim(raw.try_cast("decimal(38,21)").cast("string"), F.lit("0")), F.lit("."))
+def _number_text(x: Column) -> Column:
+    raw = x.cast("string")
+    size = F.abs(x)
+    zeros, point = F.lit("0"), F.lit(".")
+    plain = F.rtrim(F.rtrim(raw.try_cast("decimal(38,21)").cast("string"), zeros), point)
     mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", "")
     power = F.format_string("E%+03d", F.substring_index(raw, "E", -1).try_cast("int"))
     return (
-        F.when(c == 0, F.regexp_replace(raw, r"\.0$", ""))
-        .when(F.isnan(c) | size.isin(float("inf")), raw)
-        .when((size >= 1e-4) & (size < 1e15), plain)
+        F.when((size >= 1e-4) & (size < 1e15), plain)
+        .when(x == 0, F.regexp_replace(raw, r"\.0$", ""))
+        .when(F.isnan(x) | size.isin(float("inf")), raw)
         .otherwise(F.concat(mantissa, power))
     )
 
 
+def num_to_text(c: Column) -> Column:
+    """Shortest text of a double: ``5``, ``5.25``, ``0.0001``, ``1E-05``, ``1E+16``.
+
+    Inside a ``transform``, so that a change row's many texts do not make a generated method
+    too long for the JIT.
+    """
+    return F.transform(F.array(c), _number_text)[0]
+
+
 def value_to_text(c: Column, dtype: T.DataType) -> Column:
     """Log text of a value of any column type."""
     if isinstance(dtype, T.DoubleType):
@@ -69,34 +78,39 @@ def value_to_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def _fixed_delicate(x: Column, decimals: int) -> Column:
+    """Fixed-point text of a number near an exact half, near zero, very large or not finite.
+
+    ``scaled + error`` is the exact product of the number and the power of ten: the rounding
+    error is had by splitting the number into two halves of its mantissa. A number below the
+    half it shows is moved down by a few ulps.
+    """
+    size = F.abs(x)
+    factor = F.lit(float(10 ** (decimals + 1)))
+    scaled = size * factor
+    spread = size * F.lit(134217729.0)  # 2^27 + 1
+    high = spread - (spread - size)
+    error = (high * factor - scaled) + (size - high) * factor
+    shown = F.rint(scaled)
+    below_half = (F.pmod(shown, F.lit(10.0)) == 5.0) & ((scaled - shown) + error < 0) & (shown / factor == size)
+    return F.format_string(f"%.{decimals}f", F.when(below_half, x * F.lit(1.0 - 2.0**-50)).otherwise(x))
+
+
 def fixed(c: Column, decimals: int) -> Column:
     """Fixed-point text, halves away from zero, judged on the exact binary value.
 
-    1.005 is stored a little below its text and gives 1.00; 2.125 is exact and gives 2.13.
-    The rounding error of ``size * 10^decimals`` is had exactly by splitting the number into
-    two halves of its mantissa, and decides where the product looks like a half. All of it is
-    plain arithmetic; only very large or non-finite numbers go through ``format_string``.
+    The decimal cast rounds the shortest decimal text of a number. That is right but for
+    numbers whose text shows an exact half: 1.005 is stored a little below it and must give
+    1.00. Only such numbers take the long way, inside a ``transform`` over a one-element array:
+    it keeps the generated method of a line with many numbers small enough for the JIT.
     """
     c = c.cast("double")
-    factor = float(10**decimals)  # few enough digits to need no splitting itself
-    size = F.abs(c)
-    scaled = size * F.lit(factor)
-    spread = size * F.lit(134217729.0)  # 2^27 + 1
-    high = spread - (spread - size)
-    error = (high * F.lit(factor) - scaled) + (size - high) * F.lit(factor)
-    whole = F.floor(scaled)
-    rest = scaled - whole
-    up = (rest > 0.5) | ((rest == 0.5) & (error >= 0))
-    units = whole + F.when(up, 1).otherwise(0)
-    sign = F.when(c < 0, F.lit("-")).when((c == 0) & c.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    if decimals:
-        power = F.lit(10**decimals).cast("long")
-        before = F.floor(units / F.lit(factor)).cast("long")
-        after = F.lpad((units - before * power).cast("string"), decimals, "0")
-        digits = F.concat(before.cast("string"), F.lit("."), after)
-    else:
-        digits = units.cast("string")
-    return F.when(size < 1e12, F.concat(sign, digits)).otherwise(F.format_string(f"%.{decimals}f", c))
+    factor = F.lit(float(10 ** (decimals + 1)))
+    shown = F.rint(F.abs(c) * factor)
+    shows_half = (F.pmod(shown, F.lit(10.0)) == 5.0) & (shown / factor == F.abs(c))
+    delicate = shows_half | (shown < 5.0) | (shown > 1e15)
+    usual = c.try_cast(f"decimal({18 + decimals},{decimals})").cast("string")
+    return F.when(delicate, F.transform(F.array(c), lambda x: _fixed_delicate(x, decimals))[0]).otherwise(usual)
 
 
 def fixed_or(c: Column, decimals: int, default: str = UNKNOWN) -> Column:
