@@ -31,8 +31,15 @@ JUDGE_LINE_FIELDS = (
     ("density", "planet_density", 2),
     ("disc_year", "discovery_year", None),
 )
+
+# Formats of the context block and of the report.
 CONTEXT_TITLE = "  RESEARCH CONTEXT:"
+CONTEXT_START, CONTEXT_RELEVANCE = "  - ", " (relevance: "
 REPORT_SAMPLE = 50
+REPORT_SUMMARY = "Summary: %d inserts, %d updates, %d deletes.\n\n"
+REPORT_START = "--- CHANGES (sample, max {sample}) ---\n"
+REPORT_MORE = "\n... and %d more."
+REPORT_END = "\n--- END CHANGES ---\n"
 
 DEFAULT_CLASSIFY_HEADER = (
     "Give each entity a quality label and a four-letter code. Answer with a JSON array only.\n--- PLANETS ---"
@@ -60,7 +67,7 @@ def context_block(context: Column) -> Column:
     """Indented lines of an ``array<struct<content, similarity>>``; null when there are none."""
     lines = F.transform(
         context,
-        lambda r: F.concat(F.lit("  - "), r["content"], F.lit(" (relevance: "), fixed(r["similarity"], 2), F.lit(")")),
+        lambda r: F.concat(F.lit(CONTEXT_START), r["content"], F.lit(CONTEXT_RELEVANCE), fixed(r["similarity"], 2), F.lit(")")),
     )
     return F.when(
         F.size(context) > 0, F.concat(F.lit(CONTEXT_TITLE + "\n"), F.array_join(lines, "\n"))
@@ -140,11 +147,11 @@ def report_text(
         "deletes",
         F.concat(
             F.lit(header + "\n"),
-            F.format_string("Summary: %d inserts, %d updates, %d deletes.\n\n", "inserts", "updates", "deletes"),
-            F.lit(f"--- CHANGES (sample, max {sample}) ---\n"),
+            F.format_string(REPORT_SUMMARY, "inserts", "updates", "deletes"),
+            F.lit(REPORT_START.format(sample=sample)),
             F.array_join(F.transform("_rows", lambda r: r["_line"]), "\n"),
-            F.when(left_over > 0, F.format_string("\n... and %d more.", left_over)).otherwise(F.lit("")),
-            F.lit("\n--- END CHANGES ---\n"),
+            F.when(left_over > 0, F.format_string(REPORT_MORE, left_over)).otherwise(F.lit("")),
+            F.lit(REPORT_END),
         ).alias("text"),
     )
 

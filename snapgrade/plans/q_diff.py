@@ -14,7 +14,7 @@ from snapgrade.operators.diff import (
 )
 from snapgrade.plans.registry import diff_sql, query, table
 from snapgrade.plans.standins import (
-    CLEAN_CUSTOMERS_SQL, CUSTOMER_FIELDS, INCOMING_CUSTOMERS_SQL, LINE_FIELDS, LINE_KEYS, LINES_SQL,
+    CLEAN_CUSTOMERS_SQL, CUSTOMER_FIELDS, LINE_FIELDS, LINE_KEYS, LINES_SQL,
     clean_customers, incoming_customers, incoming_lines, stored_lines,
 )
 from snapgrade.sources import landed

@@ -8,12 +8,13 @@ from snapgrade import schemas
 from snapgrade.functions import rules
 from snapgrade.functions.text import json_field, num_to_text
 from snapgrade.functions.vectors import text_to_vector, vector_to_text
+from snapgrade.operators import texts
 from snapgrade.operators.batches import assign_batches
 from snapgrade.plans import run as runs
 from snapgrade.plans.q_diff import CUSTOMER_DIFF_SQL
 from snapgrade.plans.registry import query, table
 from snapgrade.plans.standins import (
-    CLEAN_CUSTOMERS_SQL, CUSTOMER_FIELDS, clean_customers, incoming_customers,
+    CLEAN_CUSTOMERS_SQL, CUSTOMER_FIELDS, incoming_customers,
 )
 from snapgrade.session import scratch_path
 from snapgrade.sources import landed, sinks
@@ -265,9 +266,6 @@ def stream_references(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(stored).select(F.col("user").cast("long").alias("user_id"), "event_type", "event_id")
 
 
-_RULE_SQL = "CASE WHEN c_acctbal IS NULL THEN 'CANDIDATE' ELSE 'CONFIRMED' END"
-
-
 @query(
     "snapshot_run",
     f"""WITH changes AS ({CUSTOMER_DIFF_SQL}), clean AS (WITH {CLEAN_CUSTOMERS_SQL} SELECT * FROM cleaned),
@@ -276,7 +274,8 @@ _RULE_SQL = "CASE WHEN c_acctbal IS NULL THEN 'CANDIDATE' ELSE 'CONFIRMED' END"
           CASE WHEN n.c_name IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal,
           CASE WHEN n.c_name IS NULL THEN o.c_nationkey ELSE n.c_nationkey END AS c_nationkey
         FROM customer o FULL JOIN clean n ON o.c_name = n.c_name),
-      labelled AS (SELECT DISTINCT c_name FROM changes WHERE c_name IN (SELECT c_name FROM state)),
+      labelled AS (SELECT DISTINCT c_name FROM changes),
+      judged AS (SELECT c_acctbal IS NOT NULL AS good FROM state JOIN labelled USING (c_name)),
       code AS (SELECT CASE WHEN c_acctbal IS NULL THEN '?' WHEN c_acctbal < 0.1 THEN 'm' WHEN c_acctbal < 10 THEN 'e'
           WHEN c_acctbal < 100 THEN 'N' WHEN c_acctbal < 4000 THEN 'J' ELSE 'W' END || '???' AS expected_code
         FROM state JOIN labelled USING (c_name)),
@@ -284,54 +283,62 @@ _RULE_SQL = "CASE WHEN c_acctbal IS NULL THEN 'CANDIDATE' ELSE 'CONFIRMED' END"
     SELECT (SELECT n FROM all_in) AS fetched, (SELECT count(*) FROM clean) AS valid_incoming,
       (SELECT count(*) FROM changes) AS change_rows, (SELECT count(*) FROM state) AS stored_rows,
       (SELECT count(*) FROM changes) AS label_rows, (SELECT 2 * count(*) FROM labelled) AS grade_rows,
-      round((SELECT avg(score) FROM grades), 6) AS code_avg, 'first_run' AS verdict""",
+      CAST(1 AS BIGINT) AS reports, round((SELECT avg(score) FROM grades), 6) AS code_avg, 'first_run' AS verdict,
+      (SELECT count(*) FROM judged) AS judge_rows, (SELECT count(*) FROM judged WHERE good) AS judge_passes""",
 )
 def snapshot_run(spark: SparkSession, sf: str) -> DataFrame:
-    """A whole run over the customers: diff, state, ledger, labels from answers, grades, drift."""
+    """A whole run over the customers: diff, state, ledger, labels, report, grades, drift, judge."""
     tables = runs.RunTables(scratch_path(spark, "run"))
-    at = F.lit("2024-02-01 10:00:00").cast("timestamp")
     stored = table(spark, sf, "customer").select(
         "c_name", *CUSTOMER_FIELDS, F.lit(None).cast("string").alias("classification")
     )
-    result = runs.ingest(
-        spark, tables, 1, stored, incoming_customers(spark, sf), keys=["c_name"], fields=CUSTOMER_FIELDS,
-        order=["source_row"], at=at,
-    )
-    state = spark.read.parquet(f"{tables.base}/state/run=1")
-    changes = spark.read.parquet(tables.change_log)
-    batches = runs.change_batches(changes, name="c_name")
-    # the answers a remote model would have given: one text per batch of at most 50 changes
     rule = F.when(F.col("c_acctbal").isNull(), "CANDIDATE").otherwise("CONFIRMED")
-    element = F.to_json(
-        F.struct(
-            F.upper("c_name").alias("planet_name"), rule.alias("classification"),
-            F.lit("J???").alias("plavalova_code"), F.lit("by rule").alias("reasoning"),
-        )
-    )
-    answers = (
-        batches.join(state, "c_name")
-        .groupBy("batch")
-        .agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ","), F.lit("]")).alias("text"))
-    )
-    labelled = runs.label(tables, 1, state, batches, answers, name="c_name")
-    log = spark.read.parquet(tables.label_log)
     none = F.lit(None).cast("double")
-    runs.grade(
-        tables, 1, labelled, log, name="c_name", expected_label=rule,
-        expected_code=rules.four_letter_code(F.col("c_acctbal"), none, none, none),
+    line_fields = (("name", "c_name", None), ("balance", "c_acctbal", 2))
+
+    # stand-ins for the remote model: answers are made from the text that was sent
+    def answer(element) -> runs.Ask:
+        lines = F.regexp_extract_all("text", F.lit(r"(?m)^(name=.*)$"), 1)
+        array = F.concat(F.lit("["), F.array_join(F.transform(lines, element), ","), F.lit("]"))
+        return lambda sent: sent.select("batch", array.alias("text"))
+
+    def label_element(line: Column) -> Column:
+        name = F.upper(F.regexp_extract(line, r"name=([^,]+)", 1))
+        quality = F.when(line.endswith("balance=?"), "CANDIDATE").otherwise("CONFIRMED")
+        return F.concat(
+            F.lit('{"planet_name": "'), name, F.lit('", "classification": "'), quality,
+            F.lit('", "plavalova_code": "J???", "reasoning": "by rule"}'),
+        )
+
+    def judge_element(line: Column) -> Column:
+        name = F.regexp_extract(line, r"name=([^,]+)", 1)
+        score = F.when(line.contains("CANDIDATE"), "3").otherwise("9")
+        return F.concat(F.lit('{"planet_name": "'), name, F.lit('", "score": '), score, F.lit("}"))
+
+    result = runs.whole_run(
+        spark, tables, 1, stored, incoming_customers(spark, sf), name="c_name", fields=CUSTOMER_FIELDS,
+        order=["source_row"], at=F.lit("2024-02-01 10:00:00").cast("timestamp"),
+        label_line=texts.entity_line(line_fields), judge_line=texts.judge_line("c_name", "classification", line_fields[1:]),
+        expected_label=rule, expected_code=rules.four_letter_code(F.col("c_acctbal"), none, none, none),
+        ask_labels=answer(label_element), ask_judge=answer(judge_element),
+        ask_report=lambda sent: sent.select("ingest_run_id", F.lit("done").alias("report_text"), F.lit(0).alias("tokens_used")),
     )
-    grades = spark.read.parquet(tables.eval_result)
-    drift = runs.check_drift(spark, tables, 1)
-    total = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    rows_of = lambda path: spark.read.parquet(path).agg(F.count(F.lit(1))).scalar()
+    evals = spark.read.parquet(tables.eval_result)
+    judged = evals.filter(F.col("eval_type") == "LLM_JUDGE")
+    verdicts = spark.read.parquet(tables.drift_verdict)
     return result.select(
         "fetched",
         "valid_incoming",
-        total(changes).alias("change_rows"),
-        total(state).alias("stored_rows"),
-        total(log).alias("label_rows"),
-        total(grades).alias("grade_rows"),
-        drift.select(F.round("current_avg", 6)).scalar().alias("code_avg"),
-        drift.select("verdict").scalar().alias("verdict"),
+        rows_of(tables.change_log).alias("change_rows"),
+        rows_of(f"{tables.base}/state/run=1").alias("stored_rows"),
+        rows_of(tables.label_log).alias("label_rows"),
+        evals.filter(F.col("eval_type") != "LLM_JUDGE").agg(F.count(F.lit(1))).scalar().alias("grade_rows"),
+        rows_of(tables.change_report).alias("reports"),
+        verdicts.select(F.round("current_avg", 6)).scalar().alias("code_avg"),
+        verdicts.select("verdict").scalar().alias("verdict"),
+        judged.agg(F.count(F.lit(1))).scalar().alias("judge_rows"),
+        judged.agg(F.count_if(F.col("pass_fail") == "PASS")).scalar().alias("judge_passes"),
     )
 
 

@@ -11,7 +11,7 @@ from snapgrade.operators.diff import snapshot_diff
 from snapgrade.plans.q_diff import CUSTOMER_DIFF_SQL
 from snapgrade.plans.q_retrieval import _ENTITY_SQL, _own_label
 from snapgrade.plans.registry import number_text, query, table
-from snapgrade.plans.run import change_batches
+from snapgrade.plans.run import change_batches, label_texts
 from snapgrade.plans.standins import CUSTOMER_FIELDS, ORDER_ENTITIES_SQL, clean_customers, order_entities
 
 
@@ -57,7 +57,7 @@ def batch_text(spark: SparkSession, sf: str) -> DataFrame:
     lines AS (SELECT seq // 50 AS batch, seq, 'name=' || c.c_name || ', balance=' || printf('%.2f', c.c_acctbal)
         || coalesce(chr(10) || block, '') AS line
       FROM placed p JOIN customer c ON c.c_name = p.c_name LEFT JOIN context ON entity = c.c_nationkey)
-    SELECT batch, count(*) AS entities, 'HEAD' || chr(10) || string_agg(line, chr(10) ORDER BY seq) || chr(10) || 'END' || chr(10) AS text
+    SELECT batch, count(*) AS entities, 'HEAD' || chr(10) || string_agg(line, chr(10) ORDER BY seq) || chr(10) || '--- END PLANETS ---' || chr(10) AS text
     FROM lines GROUP BY 1""",
 )
 def change_batch_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,13 +71,8 @@ def change_batch_text(spark: SparkSession, sf: str) -> DataFrame:
     found = retrieval.topk_same_entity(queries, refs).withColumn("similarity", F.round("similarity", 4))
     lists = retrieval.context_lists(found, contents, entity="entity")
     line = texts.entity_line((("name", "c_name", None), ("balance", "c_acctbal", 2)))
-    lines = (
-        placed.select("c_name", "batch", "seq")
-        .join(stored, "c_name")
-        .join(lists.select(F.col("entity").alias("c_nationkey"), "context"), "c_nationkey", "left")
-        .select("batch", "seq", F.concat_ws("\n", line, texts.context_block(F.col("context"))).alias("line"))
-    )
-    return texts.batch_text(lines, batch="batch", position="seq", line="line", header="HEAD", footer="END")
+    context = stored.join(lists.withColumnRenamed("entity", "c_nationkey"), "c_nationkey").select("c_name", "context")
+    return label_texts(placed, stored, name="c_name", line=line, context=context, header="HEAD")
 
 
 @query(

@@ -5,23 +5,26 @@ Every stage reads tables and writes tables, so a failed stage can be run again b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from snapgrade.functions.text import content_text
-from snapgrade.operators import drift, labels as label_ops, ledger
+from snapgrade.operators import drift, labels as label_ops, ledger, texts
 from snapgrade.operators.batches import assign_batches
 from snapgrade.operators.dedupe import clean_keys, first_per_key
 from snapgrade.operators.diff import (
     carried_columns, changes_of, counts_of, pair_snapshots, run_result, state_of,
 )
+from snapgrade.session import materialise
 from snapgrade.sources.landed import new_references
 from snapgrade.sources.sinks import append_rows
 
-REFERENCE_BATCH = 100
-LABEL_BATCH = 50
+Ask = Callable[[DataFrame], DataFrame]
+
+# Batch sizes.
+LABEL_BATCH, JUDGE_BATCH, REFERENCE_BATCH = 50, 50, 100
 
 
 @dataclass(frozen=True)
@@ -136,6 +139,90 @@ def check_drift(spark: SparkSession, tables: RunTables, run_id: int) -> DataFram
     return drift.drift_check(spark.read.parquet(tables.eval_result), runs, run_id)
 
 
+def label_texts(
+    batches: DataFrame, entities: DataFrame, *, name: str, line: Column, context: DataFrame | None = None,
+    header: str = texts.DEFAULT_CLASSIFY_HEADER,
+) -> DataFrame:
+    """Texts of the label batches: every change row's entity, with its context if it has any.
+
+    Change rows without an entity drop out, repeated entities stay. ``context(name, context)``.
+    """
+    lines = batches.select(name, "batch", "seq").join(entities, name)
+    if context is not None:
+        lines = lines.join(context, name, "left")
+        line = F.concat_ws("\n", line, texts.context_block(F.col("context")))
+    return texts.batch_text(
+        lines.select("batch", "seq", line.alias("line")), batch="batch", position="seq", line="line", header=header
+    )
+
+
+def report(
+    tables: RunTables, run_id: int, changes: DataFrame, ask: Ask, *, name: str, model: str = "external"
+) -> None:
+    """Write the report record of a run: the text sent and the answer ``(…, report_text, tokens_used)``."""
+    sent = texts.report_text(changes.withColumn("ingest_run_id", F.lit(run_id)), run="ingest_run_id", entity=name)
+    record = texts.report_record(sent, ask(sent), run="ingest_run_id", model=model)
+    append_rows(record, tables.change_report, ["ingest_run_id"])
+
+
+def judge(
+    tables: RunTables, run_id: int, entities: DataFrame, label_rows: DataFrame, ask: Ask, *, name: str,
+    label_column: str = "classification", line: Column, header: str = texts.DEFAULT_JUDGE_HEADER,
+) -> None:
+    """Have the labels of a run judged in batches, and write the judge rows."""
+    labelled = label_ops.labelled_entities(entities, label_rows, name, label_column)
+    placed = assign_batches(labelled, [name], JUDGE_BATCH, position="seq")
+    sent = texts.batch_text(
+        placed.select("batch", "seq", line.alias("line")), batch="batch", position="seq", line="line", header=header
+    )
+    judgments = label_ops.parse_answers(ask(sent), ["batch"], "text", label_ops.JUDGE_FIELDS)
+    rows = label_ops.judge_rows(placed, judgments, name=name, batch="batch")
+    append_rows(rows.withColumn("ingest_run_id", F.lit(run_id)), tables.eval_result, ["ingest_run_id"])
+
+
+def whole_run(
+    spark: SparkSession,
+    tables: RunTables,
+    run_id: int,
+    stored: DataFrame,
+    incoming: DataFrame,
+    *,
+    name: str,
+    fields: Sequence[str],
+    order: Sequence[str],
+    at: Column,
+    label_line: Column,
+    judge_line: Column,
+    expected_label: Column,
+    expected_code: Column,
+    ask_labels: Ask,
+    ask_report: Ask,
+    ask_judge: Ask,
+    context: DataFrame | None = None,
+) -> DataFrame:
+    """Ingest, label, report, grade, drift, judge; gives the run counters.
+
+    The ``ask_*`` hooks turn a table of texts into a table of answers: that is where a remote
+    model is called, outside this library.
+    """
+    result = ingest(spark, tables, run_id, stored, incoming, keys=[name], fields=fields, order=order, at=at)
+    state = spark.read.parquet(f"{tables.base}/state/run={run_id}")
+    changes = spark.read.parquet(tables.change_log).filter(F.col("ingest_run_id") == run_id)
+    if changes.isEmpty():
+        return result
+    batches = materialise(change_batches(changes, name=name), "batches")
+    answers = ask_labels(label_texts(batches, state, name=name, line=label_line, context=context))
+    labelled_path = f"{tables.base}/labelled/run={run_id}"
+    label(tables, run_id, state, batches, answers, name=name).write.mode("overwrite").parquet(labelled_path)
+    labelled = spark.read.parquet(labelled_path)
+    report(tables, run_id, changes, ask_report, name=name)
+    log = spark.read.parquet(tables.label_log).filter(F.col("ingest_run_id") == run_id)
+    grade(tables, run_id, labelled, log, name=name, expected_label=expected_label, expected_code=expected_code)
+    append_rows(check_drift(spark, tables, run_id), tables.drift_verdict)
+    judge(tables, run_id, labelled, log, ask_judge, name=name, line=judge_line)
+    return result
+
+
 def load_references(
     rows: DataFrame,
     stored: DataFrame,
@@ -153,7 +240,7 @@ def load_references(
         F.col(method) if method else None,
         [(label_, F.col(c), decimals, unit) for label_, c, decimals, unit in measures],
     )
-    texts = fresh.select(
+    rows = fresh.select(
         "planet_name", "reference_name", F.coalesce("pub_date", F.lit("")).alias("pub_date"), content.alias("content")
     )
-    return assign_batches(texts, ["planet_name", "reference_name"], size)
+    return assign_batches(rows, ["planet_name", "reference_name"], size)

@@ -34,14 +34,15 @@ def build_session(app: str = "snapgrade", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (unit tests on one machine) is a local one made.
+    Only a local session without that setting (tests on one machine) gets a local folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = named or tempfile.mkdtemp(prefix="snapgrade-")
-        spark.sparkContext.setCheckpointDir(current)
-    return (named or current).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="snapgrade-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
