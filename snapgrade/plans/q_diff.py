@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snapgrade.functions.text import equals_ignore_case, num_to_text
@@ -17,7 +19,8 @@ from snapgrade.plans.standins import (
     CLEAN_CUSTOMERS_SQL, CUSTOMER_FIELDS, LINE_FIELDS, LINE_KEYS, LINES_SQL,
     clean_customers, incoming_customers, incoming_lines, stored_lines,
 )
-from snapgrade.sources import landed
+from snapgrade.session import scratch_path
+from snapgrade.sources import landed, sinks
 
 CUSTOMER_DIFF_SQL = diff_sql(
     "customer", "cleaned", ["c_name"],
@@ -297,6 +300,26 @@ def normalise(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "bulk_append",
+    """WITH hosts AS (SELECT DISTINCT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey > 1),
+      fresh AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0)
+    SELECT 'solar_systems' AS "table", count(*) AS rows FROM hosts UNION ALL SELECT 'stars', count(*) FROM hosts
+    UNION ALL SELECT 'planets', count(*) FROM fresh UNION ALL SELECT 'planet_stars', count(*) FROM fresh""",
+)
+def bulk_append(spark: SparkSession, sf: str) -> DataFrame:
+    """The four tables of a normalised snapshot, written and counted."""
+    new, _ = _normalised(spark, sf)
+    base = scratch_path(spark, "normalised")
+    frames = {"solar_systems": new.systems, "stars": new.stars, "planets": new.planets, "planet_stars": new.links}
+    sinks.append_tables(frames, base)
+    counted = [
+        spark.read.parquet(f"{base}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        for name in frames
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query(
     "link_once",
     """SELECT DISTINCT o_custkey AS planet_id, l_suppkey AS star_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey

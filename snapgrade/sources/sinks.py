@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -15,6 +15,12 @@ def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     writer.parquet(path)
 
 
+def append_tables(frames: Mapping[str, DataFrame], base: str) -> None:
+    """Append each frame to the table of its name below ``base``, in the given order."""
+    for name, df in frames.items():
+        append_rows(df, f"{base}/{name}")
+
+
 def write_state(df: DataFrame, path: str) -> None:
     """A new version of a state table at a path of its own, never over the one being read."""
     df.write.mode("errorifexists").parquet(path)
