@@ -8,8 +8,8 @@ import pytest
 
 import __spark_entry__ as contract
 from conftest import SF, TABLES
+from snapgrade.plans.catalogue import QUERIES, SQL
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
@@ -34,6 +34,7 @@ def sorted_rows(columns, data):
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
