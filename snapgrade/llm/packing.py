@@ -20,7 +20,7 @@ from snapgrade.llm.tokens import END_ID, column_names, encoder, vocabulary_path
 from snapgrade.session import materialise
 
 CAPACITY = 2048
-SLACK = 3  # tokens of a slot that may stay empty before a piece is cut instead
+PIECE_COST = 8  # tokens of padding that one more cut may save at least
 FAN_IN = 32  # workers whose unfinished bins one worker of the next round takes
 _FLUSH_BYTES = 4 << 20
 
@@ -32,18 +32,20 @@ ARROW = pa.schema(
 
 
 @lru_cache(maxsize=8)
-def cuts(capacity: int, slack: int) -> list[tuple[int, ...]]:
-    """Piece lengths for each rest below the capacity: one, else a full slot and what remains."""
-    waste = [0.0] + [capacity / (capacity // n) - n for n in range(1, capacity + 1)]
+def cuts(capacity: int, piece_cost: float) -> list[tuple[int, ...]]:
+    """Piece lengths for each rest up to the capacity: least padding, a piece counting as some padding too.
+
+    Every piece but the last fills a slot of its class.
+    """
+    waste = [0.0] + [capacity / (capacity // n) - n + piece_cost for n in range(1, capacity + 1)]
     slots = sorted({capacity // j for j in range(1, capacity + 1)})
-    table: list[tuple[int, ...]] = [()]
+    cost, table = [0.0], [()]
     for n in range(1, capacity + 1):
-        best = (n,)
-        if waste[n] > slack:
-            slot = min((s for s in slots if s < n), key=lambda s: (waste[s] + waste[n - s], -min(s, n - s)))
-            if waste[slot] + waste[n - slot] < waste[n]:
-                best = (slot, n - slot)
-        table.append(best)
+        best = min((s for s in slots if s < n), key=lambda s: waste[s] + cost[n - s], default=n)
+        if best == n or waste[n] <= waste[best] + cost[n - best]:
+            best = n
+        cost.append(waste[best] + cost[n - best])
+        table.append((best, *table[n - best]))
     return table
 
 
@@ -103,11 +105,11 @@ class Bins:
             self.out, self.out_bytes = [], 0
 
 
-def _pack_documents(path: str, capacity: int, slack: int, end_id: int):
+def _pack_documents(path: str, capacity: int, piece_cost: float, end_id: int):
     end = struct.pack("<I", end_id)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_ids, rests = encoder(path).text_ids, cuts(capacity, slack)
+        text_ids, rests = encoder(path).text_ids, cuts(capacity, piece_cost)
         bins = Bins(capacity, 1, TaskContext.get().partitionId())
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -145,7 +147,7 @@ def pack(
     text: str = "text",
     path: str | None = None,
     capacity: int = CAPACITY,
-    slack: int = SLACK,
+    piece_cost: float = PIECE_COST,
     end_id: int = END_ID,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
@@ -160,7 +162,7 @@ def pack(
     at most what 32 workers left over, closes bins that aren't full.
     """
     pieces = docs.select(*column_names(docs, doc_id=doc_id, text=text)).mapInArrow(
-        _pack_documents(path or vocabulary_path(), capacity, slack, end_id), SCHEMA
+        _pack_documents(path or vocabulary_path(), capacity, piece_cost, end_id), SCHEMA
     )
     rounds = [materialise(pieces, "pieces")]
     workers = (rounds[0].agg(F.max("part")).first()[0] or 0) + 1
