@@ -1,10 +1,10 @@
-"""Queries over whole tables: secrets."""
+"""Queries over whole tables: secrets, language."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from snapgrade.llm import secrets
+from snapgrade.llm import language, secrets
 from snapgrade.llm.registry import query, table
 
 
@@ -22,3 +22,19 @@ def op4_secret_spans(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
         secrets.spans_text(F.col("secrets.spans")).alias("spans"),
     )
+
+
+@query("op6_language_centroids")
+def op6_language_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = language.fit(docs.where(~held_out))
+    found = language.predict(docs, model)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.rejected").alias("rejected"),
+    )
