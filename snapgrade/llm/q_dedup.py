@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapgrade.llm import simhash
+from snapgrade.llm import simhash, winnow
 from snapgrade.llm.registry import query, table
 
 
@@ -13,3 +13,9 @@ def op9_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id that links reach."""
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.hex_text("fp").alias("fingerprint"), "component_id")
+
+
+@query("op2_winnowing")
+def op2_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return winnow.fingerprints(table(spark, sf, "documents"))
