@@ -101,37 +101,33 @@ def mix(
     share: float = SHARE,
     most: int = MOST,
 ) -> DataFrame:
-    """The documents' columns plus ``mix``: struct(size, source_size, target, taken).
+    """The documents' columns plus ``mix`` (in place of one of that name): struct(size, source_size, target, taken).
 
     ``taken`` counts the words that the mix takes of the document, repeats included; a source's sum
     is its target rounded down, less at most one word per row that repeats the row on the cut. Null
     or empty texts have size 0 and take 0; a null source is a source; a null doc_id sorts first among
     equal keys; an empty table gives no rows. The same rows give the same result in any partitioning.
     """
-    taken_names = F.struct(
-        F.col(f"`{source}`").alias("source"), F.col(f"`{doc_id}`").alias("doc_id"), word_count(f"`{text}`").alias("size")
+    # the whole row in one column, so that no name of the table meets one of the operator's
+    packed = docs.select(
+        F.struct("*").alias("row"),
+        F.col(f"`{source}`").alias("source"),
+        F.col(f"`{doc_id}`").alias("doc_id"),
+        word_count(f"`{text}`").alias("size"),
     )
-    rows = docs.select(taken_names.alias("_r")).select("_r.*").withColumn("_key", random_key("doc_id", seed))
+    rows = packed.select("source", "doc_id", "size").withColumn("_key", random_key("doc_id", seed))
     plan = mixing_plan(rows, weights=weights, share=share, most=most)
-    plan = plan.select(F.struct("*").alias("_plan"))
-    whole = docs.withColumn("_size", word_count(f"`{text}`")).join(
-        plan, F.col(f"`{source}`").eqNullSafe(F.col("_plan._source"))
-    )
-    at = F.struct(
-        random_key(f"`{doc_id}`", seed).alias("_key"), F.col(f"`{doc_id}`").alias("doc_id"), F.col("_size").alias("size")
-    )
-    cut = F.col("_plan.cut")
+    whole = packed.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    at = F.struct(random_key("doc_id", seed).alias("_key"), "doc_id", "size")
     last = (
-        F.when(cut.isNull(), F.lit(0))
-        .when(at < cut, F.col("_size"))
-        .when(at == cut, F.col("_plan.cut_words"))
+        F.when(F.col("cut").isNull(), F.lit(0))
+        .when(at < F.col("cut"), F.col("size"))
+        .when(at == F.col("cut"), F.col("cut_words"))
         .otherwise(0)
     )
-    taken = F.col("_size") * F.col("_plan.epochs") + last
-    result = F.struct(
-        F.col("_size").alias("size"), F.col("_plan.source_size"), F.col("_plan.target"), taken.cast("long").alias("taken")
-    )
-    return whole.withColumn("mix", result).select(*(F.col(f"`{c}`") for c in docs.columns if c != "mix"), "mix")
+    taken = (F.col("size") * F.col("epochs") + last).cast("long").alias("taken")
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c != "mix"]
+    return whole.select(*others, F.struct("size", "source_size", "target", taken).alias("mix"))
 
 
 def mixed_documents(docs: DataFrame, **columns) -> DataFrame:
@@ -140,10 +136,9 @@ def mixed_documents(docs: DataFrame, **columns) -> DataFrame:
     Texts are not cut: the document on a source's cut is taken whole, so a source may pass its
     target by less than one document. Documents without words are not in the mix.
     """
-    mixed = mix(docs.select(F.struct("*").alias("_doc"), "*"), **columns)
+    names = {"doc_id": "doc_id", "text": "text", "source": "source"} | {k: v for k, v in columns.items() if k in ("doc_id", "text", "source")}
+    rest = {k: v for k, v in columns.items() if k not in names}
+    packed = docs.select(F.struct("*").alias("document"), *(F.col(f"`{v}`").alias(k) for k, v in names.items()))
     copies = F.expr("sequence(1L, (mix.taken + mix.size - 1) div mix.size)")
-    return (
-        mixed.where("mix.taken > 0")
-        .withColumn("_copy", F.explode(copies))
-        .select("_doc.*")
-    )
+    taken = mix(packed, **rest).where("mix.taken > 0")
+    return taken.select("document", F.explode(copies)).select("document.*")

@@ -1,10 +1,10 @@
-"""Queries over whole tables: secrets, language."""
+"""Queries over whole tables: secrets, language, scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from snapgrade.llm import language, secrets
+from snapgrade.llm import ctw, language, secrets
 from snapgrade.llm.registry import query, table
 
 
@@ -38,3 +38,11 @@ def op6_language_centroids(spark: SparkSession, sf: str) -> DataFrame:
         F.col("language.score").alias("score"),
         F.col("language.rejected").alias("rejected"),
     )
+
+
+@query("op3_context_tree_scores")
+def op3_context_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Code lengths of every document by a context tree that six sevenths of them teach."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return ctw.score_texts(docs, held_out)

@@ -212,23 +212,22 @@ def spans_text(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, *, text: str = "text", output: str = "secrets") -> DataFrame:
-    """The documents' columns plus ``secrets``: struct(base, spans), arrays of (start, rank, end, value).
+    """The documents' columns plus ``secrets`` (in place of one of that name): struct(base, spans), arrays of (start, rank, end, value).
 
     ``rank`` is the kind's place in KINDS; positions are code points from 0, the end exclusive. ``base``
     holds the matches of the base patterns, ``spans`` these and the entropy spans, by start and kind.
     Null and empty texts have none; all rows are kept, repeated ones too.
     """
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != output]
-    first = docs.select(*columns, base_spans(whole).alias("_base"))
+    # the whole row in one column, so that no name of the table meets one of the operator's
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    based = packed.withColumn("base", base_spans(F.col("text")))
     both = F.struct(
-        F.col("_base").alias("base"),
-        F.array_sort(F.concat("_base", entropy_spans(whole, F.col("_base")))).alias("spans"),
+        F.col("base"), F.array_sort(F.concat("base", entropy_spans(F.col("text"), F.col("base")))).alias("spans")
     )
-    return first.select(*columns, both.alias(output))
+    return based.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != output), both.alias(output))
 
 
 def without_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents in which nothing is found, with the same columns."""
-    scanned = scan_secrets(docs.select(F.struct("*").alias("_doc"), F.col(f"`{text}`").alias("_text")), text="_text", output="_secrets")
-    return scanned.where(F.size("_secrets.spans") == 0).select("_doc.*")
+    packed = docs.select(F.struct("*").alias("document"), F.col(f"`{text}`").alias("text"))
+    return scan_secrets(packed).where(F.size("secrets.spans") == 0).select("document.*")

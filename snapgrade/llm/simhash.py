@@ -205,6 +205,11 @@ def near_classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return joined.withColumn("class_fp", F.coalesce("root", "fp")).drop("node", "root")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns that can be compared."""
+    return F.xxhash64(*(F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+
+
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS
 ) -> DataFrame:
@@ -215,9 +220,8 @@ def near_duplicates(
     and are one node. Null and empty texts have fingerprint 0, which links like any other. Rows that
     repeat give a row each; an empty table gives none.
     """
-    kept = [F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     rows = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`")).alias("fp"), F.xxhash64(*kept).alias("row_hash")
+        F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`")).alias("fp"), _row_hash(docs).alias("row_hash")
     )
     rows = materialise(rows, "fingerprints")
     # classes of distinct fingerprints, each with its smallest document
@@ -233,10 +237,7 @@ def keep_one_per_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     found = near_duplicates(docs, doc_id=doc_id, text=text, radius=radius)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
     stay = found.groupBy("class_fp").agg(F.min(order).alias("_stays")).select("_stays.doc_id", "_stays.row_hash")
-    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("row_hash").alias("_stay_hash"))
-    kept = [F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    marked = docs.withColumn("_row_hash", F.xxhash64(*kept))
-    joined = marked.join(
-        stay, (F.col("_row_hash") == F.col("_stay_hash")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_stay_id")), "left_semi"
-    )
-    return joined.dropDuplicates([doc_id, "_row_hash"]).drop("_row_hash")
+    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("row_hash").alias("stay_hash"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"), _row_hash(docs).alias("hash"))
+    same = (F.col("hash") == F.col("stay_hash")) & F.col("id").eqNullSafe(F.col("stay_id"))
+    return packed.join(stay, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
