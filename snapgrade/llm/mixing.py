@@ -127,7 +127,8 @@ def mix(
     )
     taken = (F.col("size") * F.col("epochs") + last).cast("long").alias("taken")
     others = [F.col(f"row.`{c}`") for c in docs.columns if c != "mix"]
-    return whole.select(*others, F.struct("size", "source_size", "target", taken).alias("mix"))
+    found = whole.select("row", F.struct("size", "source_size", "target", taken).alias("found"))
+    return found.select(*others, F.col("found").alias("mix"))
 
 
 def mixed_documents(docs: DataFrame, **columns) -> DataFrame:

@@ -224,7 +224,8 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", output: str = "secrets"
     both = F.struct(
         F.col("base"), F.array_sort(F.concat("base", entropy_spans(F.col("text"), F.col("base")))).alias("spans")
     )
-    return based.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != output), both.alias(output))
+    found = based.select("row", both.alias("found"))
+    return found.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != output), F.col("found").alias(output))
 
 
 def without_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
