@@ -8,15 +8,16 @@ bounded cache of the worker first.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_WORDS = 300_000  # per generation, two generations per worker
+CACHED_WORDS = 500_000  # per generation, two generations per worker
 CACHED_BYTES = 64  # longer words are not kept
 
 
@@ -27,6 +28,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+# Western letters, which one code point each writes in both cases, then at most ASCII punctuation: to
+# normalise and split such a word is to lower-case it and cut it in two.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+# Byte-level vocabularies write printable bytes of Latin-1 as themselves, the others from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 class WordEncoder(dict):
     """Maps a word (UTF-8 bytes) to its ids (little-endian unsigned 32-bit), encoding it if it is new.
 
@@ -34,15 +43,12 @@ class WordEncoder(dict):
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.older: dict[bytes, bytes] = {}
-        # plain words: lower-case letters, then at most some punctuation
-        self.plain = regex.compile(rb"([A-Za-z]+)([.,;:!?]*)")
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
@@ -56,13 +62,14 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, word: bytes) -> bytes:
-        parts = self.plain.fullmatch(word)
-        if parts:  # normalising and splitting such a word is lower-casing it and cutting it in two
-            pieces = [p.decode("ascii").lower() for p in parts.groups() if p]
+        text = word.decode("utf-8")
+        parts = PLAIN.fullmatch(text)
+        if parts:
+            pieces = [p.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for p in (parts[1].lower(), parts[2]) if p]
             ids = [token.id for piece in pieces for token in self.model.tokenize(piece)]
         else:
-            ids = self.whole.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def text_ids(self, text: str | None) -> bytes:
         """Ids of a whole text; no text has none."""
