@@ -65,8 +65,12 @@ class WordEncoder(dict):
         text = word.decode("utf-8")
         parts = PLAIN.fullmatch(text)
         if parts:
-            pieces = [p.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for p in (parts[1].lower(), parts[2]) if p]
-            ids = [token.id for piece in pieces for token in self.model.tokenize(piece)]
+            letters = parts[1].lower()
+            if not letters.isascii():
+                letters = letters.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+            ids = [token.id for token in self.model.tokenize(letters)]
+            if parts[2]:
+                ids += [token.id for token in self.model.tokenize(parts[2])]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
