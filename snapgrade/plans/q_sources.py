@@ -18,7 +18,7 @@ from snapgrade.plans.standins import (
 )
 from snapgrade.session import scratch_path
 from snapgrade.sources import landed, sinks
-from snapgrade.streaming.landing import landed_stream, reference_job, snapshot_job
+from snapgrade.streaming.landing import land_snapshot, landed_stream, reference_job, snapshot_job
 
 _FILE_ROWS = 5000
 
@@ -57,7 +57,6 @@ def _part_element() -> Column:
 def json_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "json-snapshot")
     _land_arrays(table(spark, sf, "part"), ["p_partkey"], _part_element(), folder)
-    landed.require_arrays(spark, f"{folder}/*")
     return landed.read_snapshot(spark, folder).select(
         "planet_name", "host_star", "discovery_method", "discovery_year", "planet_mass", "planet_radius"
     )
@@ -232,13 +231,11 @@ def stream_snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     first = table(spark, sf, "customer").withColumn("source_row", F.col("c_custkey")).select(*columns)
     second = incoming_customers(spark, sf).select(*columns)
     landing, tables = f"{base}/in", {n: f"{base}/{n}" for n in ("state", "pairs", "changes", "checkpoint")}
-    for snapshot in (first, second):
-        # a snapshot lands as a fixed number of files, which is what one trigger takes
-        snapshot.repartition(2, "c_name").write.mode("append").parquet(landing)
-        stream = landed_stream(spark, landing, _LANDED_CUSTOMER, files_per_trigger=2)
+    for number, snapshot in enumerate((first, second)):
+        land_snapshot(snapshot, landing, str(number))
         snapshot_job(
-            stream, **tables, state_schema=_CUSTOMER_STATE, keys=["c_name"], fields=CUSTOMER_FIELDS,
-            order=["source_row"],
+            spark, landing, _LANDED_CUSTOMER, **tables, state_schema=_CUSTOMER_STATE, keys=["c_name"],
+            fields=CUSTOMER_FIELDS, order=["source_row"],
         ).start().awaitTermination()
     return spark.read.parquet(f"{tables['changes']}/version=1")
 
@@ -257,8 +254,8 @@ def stream_references(spark: SparkSession, sf: str) -> DataFrame:
     half = events.agg(F.avg("event_id")).first()[0]
     stored = f"{base}/table"
     for part in (events.filter(F.col("event_id") <= half), events.filter(F.col("event_id") > half)):
-        part.repartition(2, "user").write.mode("append").parquet(f"{base}/in")
-        stream = landed_stream(spark, f"{base}/in", landed_schema, files_per_trigger=2)
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = landed_stream(spark, f"{base}/in", landed_schema)
         reference_job(
             stream, table=stored, checkpoint=f"{base}/checkpoint", schema=landed_schema,
             keys=["user", "event_type"], order=["event_id"],

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the last of a repeated key of a JSON object counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # recording the call site of every column expression doubles the time to build a plan
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

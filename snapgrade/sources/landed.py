@@ -7,44 +7,55 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snapgrade import schemas
-from snapgrade.functions.text import is_blank, split_first_comma, trim_all
+from snapgrade.functions.text import is_blank, json_field, split_first_comma, trim_all
 from snapgrade.operators.dedupe import first_per_key
 
 Fields = Sequence[tuple[str, str, str]]
 
 
-def _read_json(spark: SparkSession, path: str, fields: Fields) -> DataFrame:
-    """A JSON array per file. A missing key, a null or a value of another kind reads as null."""
-    raw = spark.read.schema(schemas.json_schema(tuple(fields))).option("multiLine", True).json(path)
-    return raw.select(
-        *[F.col(key).alias(name) for key, name, _ in fields],
-        F.col("_metadata.file_path").alias("source_file"),
-        # rows of one file stay in order within one task, so this orders them within the file
-        F.monotonically_increasing_id().alias("source_row"),
-    )
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    """One row per landed file: ``source_file``, and ``elements`` of its JSON array (null if it holds none).
+
+    A file is parsed as one value, so a damaged end, a second value behind the first or another
+    root than an array leave nothing of it, and its size is bounded by what one value may hold
+    (128 MB): a large snapshot lands as several files. Spark's readers pass over files of no bytes.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
+    # inside brackets, what stands behind the root is an error or a second element
+    roots = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), F.lit("$"), "array<variant>")
+    array = F.when(F.size(roots) == 1, F.try_variant_get(F.get(roots, F.lit(0)), F.lit("$"), "array<variant>"))
+    return files.select("source_file", array.alias("elements"))
+
+
+def _fields_of(elements: DataFrame, fields: Fields) -> DataFrame:
+    """A row per element. A missing key, a null or a value of another kind reads as null."""
+    rows = elements.select("source_file", F.posexplode("elements").alias("source_row", "_element"))
+    values = [json_field(F.col("_element"), key, kind).alias(name) for key, name, kind in fields]
+    return rows.select(*values, "source_file", F.col("source_row").cast("long"))
 
 
 def read_snapshot(spark: SparkSession, path: str, fields: Fields = schemas.SNAPSHOT_FIELDS) -> DataFrame:
-    """Flat snapshot rows with ``source_file, source_row`` as input order."""
-    return _read_json(spark, path, fields)
+    """Flat snapshot rows with ``source_file, source_row`` as input order.
+
+    Any file that is not one whole JSON array fails the job that reads it, by name: a snapshot
+    that is partly read would report its other keys as deleted.
+    """
+    message = F.concat(F.lit("not a whole JSON array: "), "source_file")
+    whole = F.coalesce("elements", F.raise_error(message).cast("array<variant>"))
+    return _fields_of(_elements(spark, path).select("source_file", whole.alias("elements")), fields)
 
 
-def require_arrays(spark: SparkSession, path: str) -> None:
-    """Raise if a landed file's root is not an array; reads the first characters of each file."""
-    heads = spark.read.format("binaryFile").load(path).select(
-        "path", trim_all(F.substring(F.decode(F.substring("content", 1, 4096), "UTF-8"), 1, 4096)).alias("head")
-    )
-    wrong = heads.filter(~F.col("head").startswith("[")).select("path").first()
-    if wrong is not None:
-        raise ValueError(f"expected a JSON array in {wrong['path']}")
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """``source_file`` of the landed files that are no whole JSON array."""
+    return _elements(spark, path).filter(F.col("elements").isNull()).select("source_file")
 
 
 def read_references(
     spark: SparkSession, path: str, entities: DataFrame, *, name: str = "planet_name",
     fields: Fields = schemas.REFERENCE_FIELDS,
 ) -> DataFrame:
-    """Reference rows of known entities. Files that do not parse give no usable rows."""
-    rows = _read_json(spark, path, fields)
+    """Reference rows of known entities. Files that do not parse give no rows (see ``unreadable_files``)."""
+    rows = _fields_of(_elements(spark, path), fields)
     known = entities.select(F.col(name).alias("_known")).distinct()
     return rows.join(known, trim_all(rows["planet_name"]) == F.col("_known"), "left_semi")
 
@@ -52,13 +63,15 @@ def read_references(
 def read_two_column_csv(spark: SparkSession, path: str, names: tuple[str, str] = ("planet_name", "content")) -> DataFrame:
     """Header skipped, the rest split at the first comma; blank or comma-less lines dropped.
 
-    The CSV reader only skips each file's header here: with a separator and quote that occur
-    in no text it gives whole lines, and files stay splittable.
+    The CSV reader only skips each file's header here, so files stay splittable: with a rare
+    separator and no quote it gives whole lines, and a line that holds the separator is kept whole as
+    a record of too many columns.
     """
     lines = (
-        spark.read.schema("line string")
+        spark.read.schema("line string, _corrupt_record string")
         .options(header=True, sep="\x01", quote="", escape="", enforceSchema=True, maxCharsPerColumn=-1)
         .csv(path)
+        .select(F.coalesce("_corrupt_record", "line").alias("line"))
     )
     left, right = split_first_comma(F.col("line"))
     rows = lines.select(left.alias(names[0]), right.alias(names[1]))

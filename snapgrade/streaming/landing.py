@@ -12,16 +12,29 @@ from snapgrade.operators.diff import carried_columns, changes_of, pair_snapshots
 
 
 def landed_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, *, format: str = "parquet", files_per_trigger: int = 1
+    spark: SparkSession, folder: str, schema: T.StructType, *, format: str = "parquet", files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Files as they arrive. ``files_per_trigger`` is the number of files one snapshot has."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("multiLine", format == "json")
-        .format(format)
-        .load(folder)
-    )
+    """Files as they arrive; all new ones per trigger unless ``files_per_trigger`` is given."""
+    reader = spark.readStream.schema(schema).option("multiLine", format == "json")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.format(format).load(folder)
+
+
+def land_snapshot(snapshot: DataFrame, folder: str, snapshot_id: str) -> None:
+    """Write a whole snapshot below ``folder``, then its manifest: only then does a stream see it.
+
+    A snapshot that was interrupted has no manifest and is replaced when it lands again.
+    """
+    snapshot.write.mode("overwrite").parquet(f"{folder}/data/snapshot={snapshot_id}")
+    named = snapshot.sparkSession.range(1).select(F.to_json(F.struct(F.lit(snapshot_id).alias("snapshot"))).alias("value"))
+    named.coalesce(1).write.mode("append").text(f"{folder}/manifests")
+
+
+def manifest_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """One trigger per snapshot that has landed in full, in the order of their manifests."""
+    schema = T.StructType([T.StructField("snapshot", T.StringType())])
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/manifests")
 
 
 def _version_before(spark: SparkSession, folder: str, schema: T.StructType, batch_id: int) -> DataFrame:
@@ -32,7 +45,9 @@ def _version_before(spark: SparkSession, folder: str, schema: T.StructType, batc
 
 
 def snapshot_job(
-    stream: DataFrame,
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
     *,
     state: str,
     pairs: str,
@@ -43,9 +58,10 @@ def snapshot_job(
     fields: Sequence[str],
     order: Sequence[str],
 ) -> DataStreamWriter:
-    """Diff every landed snapshot against the last state and write changes and the next state.
+    """Diff every snapshot landed in ``folder`` against the last state; write changes and the next state.
 
-    The join runs once: its pairs are written, and changes and state are read off them.
+    What is one snapshot is said by its manifest, not by the number of its files. The join runs
+    once: its pairs are written, and changes and state are read off them.
 
     A trigger may be replayed after a failure: its inputs (files, state before it) are the
     same, and its outputs are folders named after the trigger, which a replay replaces.
@@ -54,7 +70,9 @@ def snapshot_job(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = _version_before(spark, state, state_schema, batch_id)
-        incoming = first_per_key(clean_keys(batch, keys), keys, list(order))
+        (landed,) = batch.collect()  # a manifest is one file of one row
+        rows = spark.read.schema(schema).parquet(f"{folder}/data/snapshot={landed.snapshot}")
+        incoming = first_per_key(clean_keys(rows, keys), keys, list(order))
         pair_path = f"{pairs}/version={batch_id}"
         pair_snapshots(stored, incoming, keys, fields, carry=carried_columns(stored, keys, fields)).write.mode(
             "overwrite"
@@ -63,6 +81,7 @@ def snapshot_job(
         changes_of(paired, keys).write.mode("overwrite").parquet(f"{changes}/version={batch_id}")
         state_of(paired, state_schema, keys, fields).write.mode("overwrite").parquet(f"{state}/version={batch_id}")
 
+    stream = manifest_stream(spark, folder)
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )

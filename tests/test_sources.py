@@ -30,12 +30,27 @@ def test_snapshot_tolerates_missing_null_and_wrong_kinds(spark, tmp_path):
     assert rows(first.select("planet_name", "planet_mass")) == [("a", 1.5), ("b", None)]
 
 
-def test_root_must_be_an_array(spark, tmp_path):
-    (tmp_path / "a.json").write_text(" [1]")
-    landed.require_arrays(spark, str(tmp_path))
-    (tmp_path / "b.json").write_text('{"pl_name": "a"}')
-    with pytest.raises(ValueError, match="b.json"):
-        landed.require_arrays(spark, str(tmp_path))
+def read_names(spark, folder):
+    return sorted(r.planet_name for r in landed.read_snapshot(spark, str(folder)).select("planet_name").collect())
+
+
+def test_whole_arrays_are_read_whatever_they_hold(spark, tmp_path):
+    wide = '[{"pl_name": "' + "x" * 4081 + 'é"}]'  # a two-byte character across byte 4096
+    assert len(wide[:-4].encode()) == 4095
+    (tmp_path / "a.json").write_text(wide)
+    (tmp_path / "b.json").write_text(" \n" * 2500 + '[{"pl_name": "late"}]')
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text('[{"pl_name": "first", "pl_name": "last"}]')
+    assert read_names(spark, tmp_path) == ["last", "late", "x" * 4081 + "é"]
+
+
+@pytest.mark.parametrize("text", ['{"pl_name": "a"}', '[{"pl_name": "a"}, {"pl_name": "b', '[{"pl_name": "a"}] [', "[] []", "[], []", "not json"])
+def test_a_damaged_snapshot_stops_the_job(spark, tmp_path, text):
+    (tmp_path / "good.json").write_text('[{"pl_name": "a"}]')
+    (tmp_path / "broken.json").write_text(text)
+    with pytest.raises(Exception, match="not a whole JSON array: .*broken.json"):
+        read_names(spark, tmp_path)
+    assert [r.source_file.rsplit("/")[-1] for r in landed.unreadable_files(spark, str(tmp_path)).collect()] == ["broken.json"]
 
 
 def test_references(spark, tmp_path):
@@ -57,6 +72,11 @@ def test_two_column_csv(spark, tmp_path):
     assert rows(landed.read_two_column_csv(spark, str(tmp_path))) == [("HD 1", 'one, two ""x'), ("b", "plain"), ("c", "d")]
 
 
+def test_csv_keeps_lines_that_hold_the_separator(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("planet_name,content\nk1,abc\x01def\nk2,a\x01b\x01c\nk3,plain\n")
+    assert rows(landed.read_two_column_csv(spark, str(tmp_path))) == [("k1", "abc\x01def"), ("k2", "a\x01b\x01c"), ("k3", "plain")]
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "run int, v string")

@@ -1,7 +1,7 @@
 from pyspark.sql import types as T
 
 from conftest import rows
-from snapgrade.streaming.landing import landed_stream, reference_job, snapshot_job
+from snapgrade.streaming.landing import land_snapshot, landed_stream, reference_job, snapshot_job
 
 LANDED = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("k", T.StringType()), T.StructField("v", T.IntegerType())])
 STATE = T.StructType(LANDED.fields[1:])
@@ -11,18 +11,22 @@ def land(spark, folder, data):
     spark.createDataFrame(data, LANDED).coalesce(1).write.mode("append").parquet(folder)
 
 
+def land_whole(spark, base, snapshot, data, files=1):
+    land_snapshot(spark.createDataFrame(data, LANDED).repartition(files), f"{base}/in", snapshot)
+
+
 def run(spark, base):
     snapshot_job(
-        landed_stream(spark, f"{base}/in", LANDED), state=f"{base}/state", pairs=f"{base}/pairs", changes=f"{base}/changes",
+        spark, f"{base}/in", LANDED, state=f"{base}/state", pairs=f"{base}/pairs", changes=f"{base}/changes",
         checkpoint=f"{base}/checkpoint", state_schema=STATE, keys=["k"], fields=["v"], order=["row"],
     ).start().awaitTermination()
 
 
 def test_snapshots_are_diffed_in_turn_and_once(spark, tmp_path):
     base = str(tmp_path)
-    land(spark, f"{base}/in", [(1, "a", 1), (2, "b ", 2), (3, "b", 9), (4, None, 1)])
+    land_whole(spark, base, "one", [(1, "a", 1), (2, "b ", 2), (3, "b", 9), (4, None, 1)])
     run(spark, base)
-    land(spark, f"{base}/in", [(1, "a", 5), (2, "c", 3)])
+    land_whole(spark, base, "two", [(1, "a", 5), (2, "c", 3)])
     run(spark, base)
     run(spark, base)  # nothing new landed
     changes = spark.read.parquet(f"{base}/changes")
@@ -32,6 +36,17 @@ def test_snapshots_are_diffed_in_turn_and_once(spark, tmp_path):
     assert rows(spark.read.parquet(f"{base}/state/version=1")) == [("a", 5), ("b", 2), ("c", 3)]
 
 
+def test_a_snapshot_of_many_files_is_one_snapshot(spark, tmp_path):
+    base = str(tmp_path)
+    land_whole(spark, base, "first", [(i, f"k{i}", i) for i in range(30)], files=7)
+    land_whole(spark, base, "second", [(i, f"k{i}", i) for i in range(1, 30)], files=3)
+    # a snapshot that was interrupted before its manifest is not seen
+    spark.createDataFrame([(1, "z", 1)], LANDED).write.parquet(f"{base}/in/data/snapshot=broken")
+    run(spark, base)
+    changes = spark.read.parquet(f"{base}/changes").groupBy("version", "change_type").count()
+    assert rows(changes) == [(0, "INSERT", 30), (1, "DELETE", 1)]
+
+
 def test_references_are_stored_once(spark, tmp_path):
     base = str(tmp_path)
 
