@@ -14,6 +14,7 @@ model sent to workers has a size that does not grow with the corpus, while count
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,13 +24,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from snapgrade.session import materialise
 
-DEPTH = 6  # at most 6: a gram and its depth are one 64-bit number
+DEPTH = 5  # at most 6: a gram and its depth are one 64-bit number
 LOCAL_DEPTH = 3  # nodes of this depth and below are weighted in one task per subtree
 SLOT_BITS = 22
 END = 0xFF  # a byte that UTF-8 never has ends a text, and stands before its start
 
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _MERGE = 1 << 21
+_SUBTREE_GRAMS = 1 << 16
+_AT_ONCE = 1 << 16
+_TEXTS = 500
 _CACHE_BITS = 20
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 4096
@@ -194,11 +198,11 @@ class ContextModel:
         self.depth, self.slot_bits = depth, slot_bits
         self.tag = np.zeros(1 << slot_bits, np.uint32)
         self.rare = np.full(1 << slot_bits, 2.0, np.float32)  # 2: no node
-        self.weight = np.zeros(1 << slot_bits, np.float32)
+        self.weight = np.zeros(1 << slot_bits, np.float32)  # against what lies below, not its log
         bits = payload.view(np.uint64)
         self.tag[slot] = (bits >> _U(32)).astype(np.uint32)
         self.rare[slot] = (bits & _U(0xFFFFFFFF)).astype(np.uint32).view(np.float32)
-        self.weight[slot] = weight
+        self.weight[slot] = np.exp(weight)
         self._cached: tuple[np.ndarray, np.ndarray] | None = None
 
     def log10_of(self, grams: np.ndarray) -> np.ndarray:
@@ -208,22 +212,21 @@ class ContextModel:
         for j in range(8):
             part = ((1 << j) | (byte >> (8 - j))).astype(np.uint64)
             one = ((byte >> (7 - j)) & 1).astype(bool)
-            found, estimates, weights = [], [], []
-            for depth in range(self.depth + 1):
+            mixed, deeper = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
+            for depth in range(self.depth, -1, -1):
                 key = grams >> _U(8) << _U(8) & _U((1 << (8 * (depth + 1))) - 1) | part
                 slot, tag = _slots(key, depth, self.slot_bits)
+                hit = np.flatnonzero(self.tag[slot] == tag)
+                slot = slot[hit]
                 rare = self.rare[slot].astype(np.float64)
-                known = (self.tag[slot] == tag) & (rare < 1.5)
-                chance = np.abs(rare)
-                found.append(known)
-                estimates.append(np.where((rare > 0) == one, chance, 1 - chance))
-                weights.append(np.exp(self.weight[slot].astype(np.float64)))
-            mixed, deeper = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
-            for depth in range(self.depth, -1, -1):
+                if (rare > 1.5).any():  # an empty slot that has the tag by chance
+                    hit, slot, rare = hit[rare < 1.5], slot[rare < 1.5], rare[rare < 1.5]
+                estimate = np.abs(rare)
+                estimate = np.where((rare > 0) == one[hit], estimate, 1 - estimate)
+                weight = self.weight[slot]
                 # the deepest context that has a slot predicts by itself
-                own = np.where(deeper, (weights[depth] * estimates[depth] + mixed) / (weights[depth] + 1), estimates[depth])
-                mixed = np.where(found[depth], own, mixed)
-                deeper |= found[depth]
+                mixed[hit] = np.where(deeper[hit], (weight * estimate + mixed[hit]) / (weight + 1), estimate)
+                deeper[hit] = True
             total += np.log10(mixed)
         return total
 
@@ -237,7 +240,7 @@ class ContextModel:
         result = values[place]
         if new.any():
             fresh, back = np.unique(grams[new], return_inverse=True)
-            found = self.log10_of(fresh)
+            found = np.concatenate([self.log10_of(fresh[i : i + _AT_ONCE]) for i in range(0, len(fresh), _AT_ONCE)])
             result[new] = found[back]
             at = (fresh * _HASH >> _U(64 - _CACHE_BITS)).astype(np.int64)
             keys[at], values[at] = fresh, found
@@ -272,20 +275,33 @@ def _count_grams(depth: int):
     return count
 
 
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts, sorted by their nearest context bytes, in pieces that hold whole subtrees."""
+    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        grams = np.concatenate((grams, batch.column(0).to_numpy().view(np.uint64)))
+        counts = np.concatenate((counts, batch.column(1).to_numpy()))
+        if len(grams) >= _SUBTREE_GRAMS:
+            near = grams >> _U(8) & _U((1 << (8 * LOCAL_DEPTH)) - 1)
+            cut = int(np.flatnonzero(near != near[-1])[-1]) + 1 if (near != near[-1]).any() else 0
+            if cut:
+                yield grams[:cut], counts[:cut]
+                grams, counts = grams[cut:], counts[cut:]
+    if len(grams):
+        yield grams, counts
+
+
 def _weigh_subtrees(depth: int, slot_bits: int, shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        grams, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
-        weighed = weigh({d: level_counts(grams, counts, d) for d in range(LOCAL_DEPTH, depth + 1)}, None)
-        yield from node_rows(weighed, shared.value, slot_bits)
-        nodes, *_, mixed = weighed[LOCAL_DEPTH]
-        top, place = np.unique(parent_keys(nodes, LOCAL_DEPTH), return_inverse=True)
-        children = np.bincount(place, weights=mixed, minlength=len(top))
-        # what the nodes above need, under numbers below zero
-        slot, none = pa.array(-1 - top.astype(np.int64)), [pa.nulls(len(top), f.type) for f in list(NODE)[1:4]]
-        yield pa.RecordBatch.from_arrays([slot, *none, pa.array(children)], schema=NODE)
+        for grams, counts in _subtrees(batches):
+            weighed = weigh({d: level_counts(grams, counts, d) for d in range(LOCAL_DEPTH, depth + 1)}, None)
+            yield from node_rows(weighed, shared.value, slot_bits)
+            nodes, *_, mixed = weighed[LOCAL_DEPTH]
+            top, place = np.unique(parent_keys(nodes, LOCAL_DEPTH), return_inverse=True)
+            children = np.bincount(place, weights=mixed, minlength=len(top))
+            # what the nodes above need, under numbers below zero
+            slot, none = pa.array(-1 - top.astype(np.int64)), [pa.nulls(len(top), f.type) for f in list(NODE)[1:4]]
+            yield pa.RecordBatch.from_arrays([slot, *none, pa.array(children)], schema=NODE)
 
     return rows
 
@@ -306,7 +322,8 @@ def fit(texts: DataFrame, *, text: str = "text", depth: int = DEPTH, slot_bits:
     shared = texts.sparkSession.sparkContext.broadcast(levels[LOCAL_DEPTH - 1])
     # grams with the same nearest context bytes meet in a task
     near = ends(F.shiftright("gram", 8))
-    nodes = grams.repartition(near).mapInArrow(_weigh_subtrees(depth, slot_bits, shared), NODE_SCHEMA)
+    sorted_grams = grams.repartition(near).sortWithinPartitions(near)
+    nodes = sorted_grams.mapInArrow(_weigh_subtrees(depth, slot_bits, shared), NODE_SCHEMA)
     kept = nodes.groupBy("slot").agg(
         F.max("rank").alias("rank"),
         F.max_by("payload", "rank").alias("payload"),
@@ -347,10 +364,10 @@ def _score(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: ContextModel = shared.value
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
             ids, texts, held = (c.to_pylist() for c in batch.columns)
             words: dict[bytes, int] = {}
-            entries: list[tuple[int, int, int]] = []
+            entries = array("i")  # word, text, times
             learned: list[int] = []
             sizes, spelled = [], []
             for i, (text, out) in enumerate(zip(texts, held, strict=True)):
@@ -364,7 +381,7 @@ def _score(shared):
                         learned.append(0)
                     if not out:
                         learned[number] += n
-                    entries.append((number, i, n))
+                    entries.extend((number, i, n))
                 sizes.append(len(found))
                 spelled.append(b" ".join(found))
             scores = np.zeros(len(texts))
@@ -382,7 +399,7 @@ def _score(shared):
                 schema=SCORED,
             )
             if entries:
-                number, rows, times = np.array(entries, np.int32).T
+                number, rows, times = np.frombuffer(entries, np.int32).reshape(-1, 3).T
                 order = np.argsort(number, kind="stable")
                 offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(number)))), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (rows, times)]
