@@ -17,7 +17,9 @@ def _state(spark: SparkSession, **values: Column) -> DataFrame:
     return spark.range(1).select(*columns)
 
 
-def open_run(spark: SparkSession, run_id: int, source: str, url: str | None, fetched: int, at: Column) -> DataFrame:
+def open_run(
+    spark: SparkSession, run_id: int, source: str, url: str | None, fetched: int | None, at: Column
+) -> DataFrame:
     return _state(
         spark, id=F.lit(run_id), run_timestamp=at, source=F.lit(source), source_url=F.lit(url),
         status=F.lit(RUNNING), rows_fetched=F.lit(fetched),

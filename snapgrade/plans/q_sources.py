@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from snapgrade import schemas
 from snapgrade.functions import rules
 from snapgrade.functions.text import json_field, num_to_text
 from snapgrade.functions.vectors import text_to_vector, vector_to_text
@@ -195,10 +196,11 @@ def round_trip_sink(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "append_references",
     """SELECT vec_id AS id, 'vector ' || vec_id AS reference_name, CAST(len(embedding) AS INTEGER) AS width,
-      CAST(embedding[1] AS DOUBLE) AS first_value, CAST(embedding[-1] AS DOUBLE) AS last_value FROM embeddings""",
+      array_to_string(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)), ' ') AS millionths
+    FROM embeddings""",
 )
 def append_references(spark: SparkSession, sf: str) -> DataFrame:
-    """Reference rows appended with the vector cast from its text."""
+    """Reference rows appended with the vector cast from its text; every value of it is shown."""
     path = scratch_path(spark, "references")
     rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"),
@@ -206,9 +208,9 @@ def append_references(spark: SparkSession, sf: str) -> DataFrame:
         text_to_vector(vector_to_text(F.col("embedding"))).alias("embedding"),
     )
     sinks.append_rows(rows, path)
-    at = lambda i: F.element_at("embedding", i).cast("double")
+    values = F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string"))
     return landed.read_table(spark, path).select(
-        "id", "reference_name", F.size("embedding").alias("width"), at(1).alias("first_value"), at(-1).alias("last_value")
+        "id", "reference_name", F.size("embedding").alias("width"), F.array_join(values, " ").alias("millionths")
     )
 
 
@@ -263,37 +265,42 @@ def stream_references(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(stored).select(F.col("user").cast("long").alias("user_id"), "event_type", "event_id")
 
 
-@query(
-    "snapshot_run",
-    f"""WITH changes AS ({CUSTOMER_DIFF_SQL}), clean AS (WITH {CLEAN_CUSTOMERS_SQL} SELECT * FROM cleaned),
-      all_in AS (WITH {CLEAN_CUSTOMERS_SQL} SELECT count(*) AS n FROM incoming),
-      state AS (SELECT coalesce(o.c_name, n.c_name) AS c_name,
-          CASE WHEN n.c_name IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal,
-          CASE WHEN n.c_name IS NULL THEN o.c_nationkey ELSE n.c_nationkey END AS c_nationkey
-        FROM customer o FULL JOIN clean n ON o.c_name = n.c_name),
-      labelled AS (SELECT DISTINCT c_name FROM changes),
-      judged AS (SELECT c_acctbal IS NOT NULL AS good FROM state JOIN labelled USING (c_name)),
-      code AS (SELECT CASE WHEN c_acctbal IS NULL THEN '?' WHEN c_acctbal < 0.1 THEN 'm' WHEN c_acctbal < 10 THEN 'e'
-          WHEN c_acctbal < 100 THEN 'N' WHEN c_acctbal < 4000 THEN 'J' ELSE 'W' END || '???' AS expected_code
-        FROM state JOIN labelled USING (c_name)),
-      grades AS (SELECT CASE WHEN substr(expected_code, 1, 1) = 'J' THEN 100 ELSE 75 END AS score FROM code)
-    SELECT (SELECT n FROM all_in) AS fetched, (SELECT count(*) FROM clean) AS valid_incoming,
-      (SELECT count(*) FROM changes) AS change_rows, (SELECT count(*) FROM state) AS stored_rows,
-      (SELECT count(*) FROM changes) AS label_rows, (SELECT 2 * count(*) FROM labelled) AS grade_rows,
-      CAST(1 AS BIGINT) AS reports, round((SELECT avg(score) FROM grades), 6) AS code_avg, 'first_run' AS verdict,
-      (SELECT count(*) FROM judged) AS judge_rows, (SELECT count(*) FROM judged WHERE good) AS judge_passes""",
-)
-def snapshot_run(spark: SparkSession, sf: str) -> DataFrame:
-    """A whole run over the customers: diff, state, ledger, labels, report, grades, drift, judge."""
-    tables = runs.RunTables(scratch_path(spark, "run"))
+_AT = "2024-02-01 10:00:00"
+
+# The state after the run, and the label each changed customer gets.
+_RUN_SQL = f"""changes AS ({CUSTOMER_DIFF_SQL}), clean AS (WITH {CLEAN_CUSTOMERS_SQL} SELECT * FROM cleaned),
+  state AS (SELECT coalesce(o.c_name, n.c_name) AS c_name,
+      CASE WHEN n.c_name IS NULL THEN o.c_nationkey ELSE n.c_nationkey END AS c_nationkey,
+      CASE WHEN n.c_name IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal,
+      CASE WHEN n.c_name IS NULL THEN o.c_mktsegment ELSE n.c_mktsegment END AS c_mktsegment,
+      o.c_name IS NULL AS is_new
+    FROM customer o FULL JOIN clean n ON o.c_name = n.c_name),
+  labels AS (SELECT c_name, CASE WHEN c_acctbal IS NULL THEN 'CANDIDATE|J???' ELSE 'CONFIRMED|J???' END AS label
+    FROM state WHERE c_name IN (SELECT c_name FROM changes)),
+  log AS (SELECT c_name AS planet_name, change_type, field_name, old_value, new_value, NULL::VARCHAR AS ai_classification,
+      NULL::VARCHAR AS ai_reasoning, 'diff' AS stage FROM changes
+    UNION ALL SELECT c_name, 'UPDATE', 'classification',
+      CASE WHEN row_number() OVER (PARTITION BY c_name ORDER BY field_name NULLS FIRST) > 1 THEN label END,
+      label, label, 'by rule', 'label' FROM changes JOIN labels USING (c_name)),
+  codes AS (SELECT *, CASE WHEN c_acctbal IS NULL THEN '?' WHEN c_acctbal < 0.1 THEN 'm' WHEN c_acctbal < 10 THEN 'e'
+      WHEN c_acctbal < 100 THEN 'N' WHEN c_acctbal < 4000 THEN 'J' ELSE 'W' END || '???' AS expected_code
+    FROM state JOIN labels USING (c_name)),
+  grades AS (SELECT c_name AS planet_name, 'CLASSIFICATION' AS eval_type, split_part(label, '|', 1) AS expected_value,
+      split_part(label, '|', 1) AS actual_value, 100 AS score, 'accuracy' AS dimension, 'PASS' AS pass_fail FROM codes
+    UNION ALL SELECT c_name, 'PLAVALOVA', expected_code, 'J???', CASE WHEN expected_code = 'J???' THEN 100 ELSE 75 END,
+      'accuracy', 'PASS' FROM codes)"""
+
+
+def _run_customers(spark: SparkSession, sf: str, tables: runs.RunTables) -> DataFrame:
+    """A whole run over the customers; answers of the remote model are made from the texts sent."""
     stored = table(spark, sf, "customer").select(
-        "c_name", *CUSTOMER_FIELDS, F.lit(None).cast("string").alias("classification")
+        "c_name", *CUSTOMER_FIELDS, F.lit(None).cast("string").alias("classification"),
+        F.lit(None).cast("timestamp").alias("created"), F.lit(None).cast("timestamp").alias("updated"),
     )
     rule = F.when(F.col("c_acctbal").isNull(), "CANDIDATE").otherwise("CONFIRMED")
     none = F.lit(None).cast("double")
     line_fields = (("name", "c_name", None), ("balance", "c_acctbal", 2))
 
-    # stand-ins for the remote model: answers are made from the text that was sent
     def answer(element) -> runs.Ask:
         lines = F.regexp_extract_all("text", F.lit(r"(?m)^(name=.*)$"), 1)
         array = F.concat(F.lit("["), F.array_join(F.transform(lines, element), ","), F.lit("]"))
@@ -312,46 +319,170 @@ def snapshot_run(spark: SparkSession, sf: str) -> DataFrame:
         score = F.when(line.contains("CANDIDATE"), "3").otherwise("9")
         return F.concat(F.lit('{"planet_name": "'), name, F.lit('", "score": '), score, F.lit("}"))
 
-    result = runs.whole_run(
+    return runs.whole_run(
         spark, tables, 1, stored, incoming_customers(spark, sf), name="c_name", fields=CUSTOMER_FIELDS,
-        order=["source_row"], at=F.lit("2024-02-01 10:00:00").cast("timestamp"),
+        order=["source_row"], at=F.lit(_AT).cast("timestamp"), created="created", updated="updated",
         label_line=texts.entity_line(line_fields), judge_line=texts.judge_line("c_name", "classification", line_fields[1:]),
         expected_label=rule, expected_code=rules.four_letter_code(F.col("c_acctbal"), none, none, none),
         ask_labels=answer(label_element), ask_judge=answer(judge_element),
         ask_report=lambda sent: sent.select("ingest_run_id", F.lit("done").alias("report_text"), F.lit(0).alias("tokens_used")),
     )
-    rows_of = lambda path: spark.read.parquet(path).agg(F.count(F.lit(1))).scalar()
-    evals = spark.read.parquet(tables.eval_result)
-    judged = evals.filter(F.col("eval_type") == "LLM_JUDGE")
-    verdicts = spark.read.parquet(tables.drift_verdict)
+
+
+_RUNS: dict[tuple[str, str], runs.RunTables] = {}
+
+
+def _finished_run(spark: SparkSession, sf: str) -> runs.RunTables:
+    """Tables of one run over this folder's customers, which several queries read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        tables = runs.RunTables(scratch_path(spark, "run"))
+        _run_customers(spark, sf, tables)
+        _RUNS[key] = tables
+    return _RUNS[key]
+
+
+@query(
+    "snapshot_run",
+    f"""WITH {_RUN_SQL}, all_in AS (WITH {CLEAN_CUSTOMERS_SQL} SELECT count(*) AS n FROM incoming)
+    SELECT (SELECT n FROM all_in) AS fetched, (SELECT count(*) FROM clean) AS valid_incoming,
+      (SELECT count(*) FROM log) AS change_rows, (SELECT count(*) FROM state) AS stored_rows,
+      (SELECT count(*) FROM grades) AS grade_rows, CAST(1 AS BIGINT) AS reports, CAST(2 AS BIGINT) AS ledger_rows,
+      CAST(1 AS BIGINT) AS verdicts, (SELECT count(*) FROM labels) AS judge_rows""",
+)
+def snapshot_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows left by a run whose every stage ran twice."""
+    tables = _finished_run(spark, sf)
+    result = _run_customers(spark, sf, tables)
+    rows_of = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    judged = F.col("eval_type") == "LLM_JUDGE"
+    evals = tables.read(spark, "eval_result")
     return result.select(
         "fetched",
         "valid_incoming",
-        rows_of(tables.change_log).alias("change_rows"),
-        rows_of(f"{tables.base}/state/run=1").alias("stored_rows"),
-        rows_of(tables.label_log).alias("label_rows"),
-        evals.filter(F.col("eval_type") != "LLM_JUDGE").agg(F.count(F.lit(1))).scalar().alias("grade_rows"),
-        rows_of(tables.change_report).alias("reports"),
-        verdicts.select(F.round("current_avg", 6)).scalar().alias("code_avg"),
-        verdicts.select("verdict").scalar().alias("verdict"),
-        judged.agg(F.count(F.lit(1))).scalar().alias("judge_rows"),
-        judged.agg(F.count_if(F.col("pass_fail") == "PASS")).scalar().alias("judge_passes"),
+        rows_of(tables.read(spark, "change_log")).alias("change_rows"),
+        rows_of(spark.read.parquet(tables.state_path(1))).alias("stored_rows"),
+        rows_of(evals.filter(~judged)).alias("grade_rows"),
+        rows_of(tables.read(spark, "change_report")).alias("reports"),
+        rows_of(tables.read(spark, "ingest_run")).alias("ledger_rows"),
+        rows_of(tables.read(spark, "drift_verdict")).alias("verdicts"),
+        rows_of(evals.filter(judged)).alias("judge_rows"),
     )
 
 
+@query(
+    "run_change_log",
+    f"WITH {_RUN_SQL} SELECT 1 AS ingest_run_id, *, '{_AT}' AS detected_at FROM log",
+)
+def run_change_log(spark: SparkSession, sf: str) -> DataFrame:
+    log = _finished_run(spark, sf).read(spark, "change_log")
+    return log.withColumn("detected_at", F.col("detected_at").cast("string"))
+
+
+@query(
+    "run_state",
+    f"""WITH {_RUN_SQL} SELECT c_name, c_nationkey, c_acctbal, c_mktsegment, label AS classification,
+      CASE WHEN is_new THEN '{_AT}' END AS created, CASE WHEN label IS NOT NULL THEN '{_AT}' END AS updated
+    FROM state LEFT JOIN labels USING (c_name)""",
+)
+def run_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled state; times only where the run touched a row."""
+    state = spark.read.parquet(_finished_run(spark, sf).state_path(1, "labelled"))
+    return state.withColumns({c: F.col(c).cast("string") for c in ("created", "updated")})
+
+
+@query(
+    "run_grades",
+    f"""WITH {_RUN_SQL} SELECT *, '{_AT}' AS evaluated_at FROM grades
+    UNION ALL SELECT c_name, 'LLM_JUDGE', NULL, CASE WHEN c_acctbal IS NULL THEN 'score=3|' ELSE 'score=9|' END,
+      CASE WHEN c_acctbal IS NULL THEN 30 ELSE 90 END, 'reasoning', CASE WHEN c_acctbal IS NULL THEN 'FAIL' ELSE 'PASS' END, '{_AT}' FROM codes""",
+)
+def run_grades(spark: SparkSession, sf: str) -> DataFrame:
+    evals = _finished_run(spark, sf).read(spark, "eval_result")
+    return evals.withColumn("evaluated_at", F.col("evaluated_at").cast("string")).drop("ingest_run_id", "stage")
+
+
+@query(
+    "run_report",
+    f"""WITH {_RUN_SQL}, sums AS (SELECT count(*) FILTER (change_type = 'INSERT') AS i, count(*) FILTER (change_type = 'UPDATE') AS u,
+        count(*) FILTER (change_type = 'DELETE') AS d, count(*) AS n FROM log)
+    SELECT 'external' AS model_used, 'done' AS report_text, 0 AS tokens_used, '{_AT}' AS generated_at, i AS inserts, u AS updates,
+      d AS deletes, greatest(n - 50, 0) AS not_shown FROM sums""",
+)
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report record, with the numbers its text names: label rows are counted too."""
+    record = _finished_run(spark, sf).read(spark, "change_report")
+    number = lambda pattern: F.coalesce(
+        F.nullif(F.regexp_extract("prompt_sent", pattern, 1), F.lit("")).cast("long"), F.lit(0).cast("long")
+    )
+    return record.select(
+        "model_used", "report_text", "tokens_used", F.col("generated_at").cast("string").alias("generated_at"),
+        number(r"Summary: (\d+) inserts").alias("inserts"), number(r"(\d+) updates").alias("updates"),
+        number(r"(\d+) deletes").alias("deletes"), number(r"and (\d+) more").alias("not_shown"),
+    )
+
+
+@query(
+    "run_verdict",
+    f"""WITH {_RUN_SQL} SELECT CAST(1 AS BIGINT) AS run_id, round(avg(score), 6) AS current_avg, CAST(0 AS BIGINT) AS recent_runs,
+      'first_run' AS verdict FROM grades WHERE eval_type = 'PLAVALOVA'""",
+)
+def run_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    verdicts = _finished_run(spark, sf).read(spark, "drift_verdict")
+    return verdicts.select("run_id", F.round("current_avg", 6).alias("current_avg"), "recent_runs", "verdict")
+
+
 @query(
     "audit_scan",
-    """SELECT status, rows_new, rows_deleted, completed FROM (
-      SELECT 'RUNNING' AS status, NULL::BIGINT AS rows_new, NULL::BIGINT AS rows_deleted, false AS completed
-      UNION ALL SELECT 'COMPLETED', (SELECT count(*) FROM supplier), (SELECT count(*) FROM customer WHERE c_acctbal < -900), true)""",
+    f"""WITH {_RUN_SQL}, counts AS (SELECT count(*) FILTER (stage = 'diff' AND change_type = 'INSERT') AS i,
+        count(*) FILTER (stage = 'diff' AND change_type = 'DELETE') AS d FROM log)
+    SELECT 'ingest_run' AS audit_table, 'RUNNING' AS kind, CAST(1 AS BIGINT) AS rows
+    UNION ALL SELECT 'ingest_run', 'COMPLETED +' || i || ' -' || d, 1 FROM counts
+    UNION ALL SELECT 'change_log', change_type, count(*) FROM log GROUP BY change_type
+    UNION ALL SELECT 'eval_result', eval_type, count(*) FROM grades GROUP BY eval_type
+    UNION ALL SELECT 'eval_result', 'LLM_JUDGE', count(*) FROM labels
+    UNION ALL SELECT 'change_report', 'external', 1 UNION ALL SELECT 'drift_verdict', 'first_run', 1""",
 )
 def audit_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The ledger rows a run over the customers leaves behind."""
-    tables = runs.RunTables(scratch_path(spark, "audit"))
-    runs.ingest(
-        spark, tables, 1, table(spark, sf, "customer").select("c_name", *CUSTOMER_FIELDS),
-        incoming_customers(spark, sf), keys=["c_name"], fields=CUSTOMER_FIELDS, order=["source_row"],
-        at=F.lit("2024-02-01 10:00:00").cast("timestamp"),
+    """The five audit tables a run leaves behind, by kind of row."""
+    tables = _finished_run(spark, sf)
+    counters = F.concat(F.lit(" +"), F.col("rows_new").cast("string"), F.lit(" -"), F.col("rows_deleted").cast("string"))
+    kinds = {
+        "ingest_run": F.concat("status", F.coalesce(counters, F.lit(""))),
+        "change_log": F.col("change_type"),
+        "eval_result": F.col("eval_type"),
+        "change_report": F.col("model_used"),
+        "drift_verdict": F.col("verdict"),
+    }
+    scans = [
+        tables.read(spark, name).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit(name).alias("audit_table"), "kind", "rows")
+        for name, kind in kinds.items()
+    ]
+    return reduce(DataFrame.unionByName, scans)
+
+
+@query(
+    "ledger_states",
+    """SELECT * FROM (VALUES (1, 'RUNNING', false, false), (1, 'COMPLETED', true, false), (2, 'RUNNING', false, false),
+      (2, 'FAILED', true, true)) v(id, status, closed, has_error)
+    WHERE (SELECT count(*) FROM customer) > 0""",
+)
+def ledger_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledger rows of a run that ended well and of one whose snapshot is broken, each tried twice."""
+    tables = runs.RunTables(scratch_path(spark, "ledger"))
+    stored = table(spark, sf, "customer").select("c_name", *CUSTOMER_FIELDS)
+    incoming = incoming_customers(spark, sf)
+    broken = incoming.withColumn("c_nationkey", F.raise_error(F.lit("broken snapshot")).cast("int"))
+    how = {"keys": ["c_name"], "fields": CUSTOMER_FIELDS, "order": ["source_row"], "at": F.lit(_AT).cast("timestamp")}
+    for run_id, snapshot in ((1, incoming), (1, incoming), (2, broken), (2, broken)):
+        try:
+            runs.ingest(spark, tables, run_id, stored, snapshot, **how)
+        except Exception as error:
+            if "broken snapshot" not in str(error):
+                raise
+    rows = tables.read(spark, "ingest_run")
+    return rows.select(
+        "id", "status", F.col("completed_at").isNotNull().alias("closed"),
+        F.coalesce(F.col("error_message").contains("broken snapshot"), F.lit(False)).alias("has_error"),
     )
-    states = spark.read.schema(schemas.INGEST_RUN).parquet(tables.ingest_run)
-    return states.select("status", "rows_new", "rows_deleted", F.col("completed_at").isNotNull().alias("completed"))

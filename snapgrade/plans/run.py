@@ -1,6 +1,7 @@
 """Whole runs as driver functions over tables in one base folder.
 
-Every stage reads tables and writes tables, so a failed stage can be run again by itself.
+Every stage reads tables and writes tables. What a stage leaves is one partition per run and stage,
+which the same stage replaces when it runs again, so a failed run can be repeated from any stage.
 """
 
 from __future__ import annotations
@@ -8,33 +9,63 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from snapgrade import schemas
 from snapgrade.functions.text import content_text
-from snapgrade.operators import drift, labels as label_ops, ledger, texts
+from snapgrade.operators import checks, drift, labels as label_ops, ledger, retrieval, texts
 from snapgrade.operators.batches import assign_batches
 from snapgrade.operators.dedupe import clean_keys, first_per_key
 from snapgrade.operators.diff import (
     carried_columns, changes_of, counts_of, pair_snapshots, run_result, state_of,
 )
+from snapgrade.operators.dims import SnapshotLayout, clean_snapshot, normalise_snapshot
 from snapgrade.session import materialise
 from snapgrade.sources.landed import new_references
-from snapgrade.sources.sinks import append_rows
+from snapgrade.sources.sinks import read_evidence, replace_stage
 
 Ask = Callable[[DataFrame], DataFrame]
 
 # Batch sizes.
 LABEL_BATCH, JUDGE_BATCH, REFERENCE_BATCH = 50, 50, 100
 
+TABLES = {
+    "ingest_run": schemas.INGEST_RUN,
+    "change_log": schemas.CHANGE_LOG,
+    "change_report": schemas.CHANGE_REPORT,
+    "eval_result": schemas.EVAL_RESULT,
+    "drift_verdict": schemas.DRIFT_VERDICT,
+    "retrieval_log": schemas.RETRIEVAL_LOG,
+    "references": schemas.REFERENCES,
+    "solar_systems": schemas.SOLAR_SYSTEMS,
+    "stars": schemas.STARS,
+    "planets": schemas.PLANETS,
+    "planet_stars": schemas.PLANET_STARS,
+}
+
 
 @dataclass(frozen=True)
 class RunTables:
-    """Folders of one base path."""
+    """Evidence tables and states of one base path."""
 
     base: str
 
-    def __getattr__(self, name: str) -> str:
-        return f"{self.base}/{name}"
+    def write(self, df: DataFrame, table: str, run_id: int, stage: str) -> None:
+        replace_stage(df, f"{self.base}/{table}", TABLES[table], run_id, stage)
+
+    def read(self, spark: SparkSession, table: str) -> DataFrame:
+        """Rows of all runs; no rows before the first write."""
+        return read_evidence(spark, f"{self.base}/{table}", TABLES[table])
+
+    def of_run(self, spark: SparkSession, table: str, run_id: int) -> DataFrame:
+        return self.read(spark, table).filter(F.col("ingest_run_id") == run_id)
+
+    def before(self, spark: SparkSession, table: str, run_id: int) -> DataFrame:
+        """What earlier runs stored: the same whether this run is the first try or a repeat."""
+        return self.read(spark, table).filter(F.col("ingest_run_id") < run_id)
+
+    def state_path(self, run_id: int, name: str = "state") -> str:
+        return f"{self.base}/{name}/run={run_id}"
 
 
 def ingest(
@@ -51,37 +82,91 @@ def ingest(
     at: Column,
     source: str = "landed",
     entity_filter: Column | None = None,
+    created: str | None = None,
+    updated: str | None = None,
 ) -> DataFrame:
     """Clean, diff, write the change log, the next state and the ledger; give the run counters.
 
     ``entity_filter`` optionally restricts the incoming rows (off by default: a restricted
-    snapshot reports every other stored key as deleted). The paired rows are written once:
-    the change log, the next state and the counters read that table instead of joining again.
+    snapshot reports every other stored key as deleted). The incoming side is read once, its rows
+    counted on the way. The paired rows are written once: the change log, the next state and the
+    counters read that table instead of joining again. Stored keys must be unique: a repeated one
+    would multiply its rows in every later state. ``created`` and ``updated`` name audit columns.
     """
     if entity_filter is not None:
         incoming = incoming.filter(F.coalesce(entity_filter, F.lit(False)))
-    fetched = incoming.agg(F.count(F.lit(1)).alias("fetched"))
-    n_fetched = fetched.first()["fetched"]
-    opened = ledger.open_run(spark, run_id, source, None, n_fetched, at)
-    append_rows(opened, tables.ingest_run)
+    opened = ledger.open_run(spark, run_id, source, None, None, at)
+    tables.write(opened, "ingest_run", run_id, "open")
     try:
-        cleaned = first_per_key(clean_keys(incoming, [*keys, *required]), keys, list(order))
-        pair_path = f"{tables.base}/paired/run={run_id}"
+        checks.require_unique(stored.select(*keys), keys)
+        seen = Observation()
+        counted = incoming.observe(seen, F.count(F.lit(1)).alias("fetched"))
+        cleaned = first_per_key(clean_keys(counted, [*keys, *required]), keys, list(order))
+        pair_path = tables.state_path(run_id, "paired")
         pair_snapshots(
             stored, cleaned, keys, fields, carry=carried_columns(stored, keys, fields)
         ).write.mode("overwrite").parquet(pair_path)
+        fetched = seen.get["fetched"]
         paired = spark.read.parquet(pair_path)
-        changes = changes_of(paired, keys).withColumn("ingest_run_id", F.lit(run_id))
-        append_rows(changes, tables.change_log, ["ingest_run_id"])
-        state_of(paired, stored.schema, keys, fields).write.mode("overwrite").parquet(
-            f"{tables.base}/state/run={run_id}"
-        )
+        changes = changes_of(paired, keys).withColumnRenamed(keys[0], "planet_name").withColumn("detected_at", at)
+        tables.write(changes, "change_log", run_id, "diff")
+        state_of(paired, stored.schema, keys, fields, now=at, created=created, updated=updated).write.mode(
+            "overwrite"
+        ).parquet(tables.state_path(run_id))
         counts = counts_of(paired)
-        append_rows(ledger.complete_run(opened, counts, at), tables.ingest_run)
+        closed = ledger.complete_run(opened.withColumn("rows_fetched", F.lit(fetched).cast("long")), counts, at)
+        tables.write(closed, "ingest_run", run_id, "close")
     except Exception as error:
-        append_rows(ledger.fail_run(opened, str(error)[:2000], at), tables.ingest_run)
+        tables.write(ledger.fail_run(opened, str(error), at), "ingest_run", run_id, "close")
         raise
-    return run_result(spark.range(1).select(F.lit(n_fetched).cast("long").alias("fetched")), counts)
+    return run_result(spark.range(1).select(F.lit(fetched).cast("long").alias("fetched")), counts)
+
+
+def catalogue(
+    spark: SparkSession, tables: RunTables, run_id: int, incoming: DataFrame, layout: SnapshotLayout, *, at: Column
+) -> None:
+    """Add the snapshot's new systems, stars, planets and links to the four tables."""
+    new = normalise_snapshot(
+        clean_snapshot(incoming, layout),
+        layout,
+        *(tables.before(spark, t, run_id) for t in ("stars", "planets", "planet_stars")),
+    )
+    frames = {"solar_systems": new.systems, "stars": new.stars, "planets": new.planets, "planet_stars": new.links}
+    for table, rows in frames.items():
+        tables.write(rows.withColumns({"created_utc": at, "updated_utc": at}), table, run_id, "catalogue")
+
+
+def store_references(
+    spark: SparkSession, tables: RunTables, run_id: int, rows: DataFrame, ask_vectors: Ask, *, at: Column, **content
+) -> None:
+    """Store the references that no earlier run stored, with the vectors of their content.
+
+    ``ask_vectors`` takes ``(batch, position, content)`` and gives ``(batch, position, embedding)``.
+    """
+    stored = tables.before(spark, "references", run_id)
+    fresh = materialise(load_references(rows, stored, **content), "references")
+    vectors = ask_vectors(fresh.select("batch", "position", "content"))
+    found = fresh.join(vectors.select("batch", "position", "embedding"), ["batch", "position"])
+    named = found.withColumns({"id": F.xxhash64("planet_name", "reference_name"), "created_utc": at})
+    tables.write(named, "references", run_id, "references")
+
+
+def retrieve(
+    spark: SparkSession, tables: RunTables, run_id: int, questions: DataFrame, *, name: str, at: Column,
+    k: int = retrieval.TOP_K, **how,
+) -> DataFrame:
+    """Log the nearest stored references of each question ``(name, vector)``; give ``(name, context)``."""
+    stored = materialise(
+        tables.read(spark, "references").filter(F.col("ingest_run_id") <= run_id).select(
+            F.col("id").alias("ref_id"), "reference_name", "content", F.col("embedding").alias("vector")
+        ),
+        "stored-references",
+    )
+    asked = questions.select(F.col(name).alias("query_id"), "vector")
+    found = materialise(retrieval.topk_cosine(asked, stored.select("ref_id", "vector"), k, **how), "retrieved")
+    log = retrieval.retrieval_log(found, stored, run_id=run_id, entity="query_id").withColumn("retrieved_at", at)
+    tables.write(log, "retrieval_log", run_id, "retrieval")
+    return retrieval.context_lists(found, stored, entity="query_id").withColumnRenamed("query_id", name)
 
 
 def change_batches(changes: DataFrame, *, name: str, size: int = LABEL_BATCH) -> DataFrame:
@@ -95,6 +180,7 @@ def change_batches(changes: DataFrame, *, name: str, size: int = LABEL_BATCH) ->
 
 
 def label(
+    spark: SparkSession,
     tables: RunTables,
     run_id: int,
     entities: DataFrame,
@@ -102,41 +188,56 @@ def label(
     answers: DataFrame,
     *,
     name: str,
+    at: Column,
     label_column: str = "classification",
+    updated: str | None = None,
 ) -> DataFrame:
-    """Parse the answers of a run's batches (``batch, text``), write label rows, give the new state."""
+    """Parse the answers of a run's batches (``batch, text``), log label rows, give the new state."""
     parsed = label_ops.labels_from_answers(
         label_ops.parse_answers(answers, ["batch"], "text", label_ops.LABEL_FIELDS)
     )
-    applied = label_ops.apply_labels(batches, parsed, entities, name=name, label=label_column)
-    rows = applied.changes.drop("batch", "seq").withColumn("ingest_run_id", F.lit(run_id))
-    append_rows(rows, tables.label_log, ["ingest_run_id"])
+    applied = label_ops.apply_labels(
+        batches, parsed, entities, name=name, label=label_column, updated=updated, now=at
+    )
+    rows = applied.changes.withColumnRenamed(name, "planet_name").withColumn("detected_at", at)
+    tables.write(rows, "change_log", run_id, "label")
     return applied.entities
 
 
+def label_rows(spark: SparkSession, tables: RunTables, run_id: int, name: str) -> DataFrame:
+    """The label rows of a run's change log."""
+    log = tables.of_run(spark, "change_log", run_id).filter(F.col("stage") == "label")
+    return log.withColumnRenamed("planet_name", name)
+
+
 def grade(
     tables: RunTables,
     run_id: int,
     entities: DataFrame,
-    label_rows: DataFrame,
+    labelled_rows: DataFrame,
     *,
     name: str,
+    at: Column,
     label_column: str = "classification",
     expected_label: Column,
     expected_code: Column,
 ) -> None:
     """Write the grade rows of the entities labelled in this run."""
-    labelled = label_ops.labelled_entities(entities, label_rows, name, label_column)
+    labelled = label_ops.labelled_entities(entities, labelled_rows, name, label_column)
     rows = label_ops.grade_labels(
         labelled, name=name, label=label_column, expected_label=expected_label, expected_code=expected_code
     )
-    append_rows(rows.withColumn("ingest_run_id", F.lit(run_id)), tables.eval_result, ["ingest_run_id"])
+    tables.write(_dated(rows, name, at), "eval_result", run_id, "grade")
+
+
+def _dated(rows: DataFrame, name: str, at: Column) -> DataFrame:
+    return rows.withColumnRenamed(name, "planet_name").withColumn("evaluated_at", at)
 
 
 def check_drift(spark: SparkSession, tables: RunTables, run_id: int) -> DataFrame:
-    states = ledger.latest_run_states(spark.read.parquet(tables.ingest_run))
+    states = ledger.latest_run_states(tables.read(spark, "ingest_run"))
     runs = states.select(F.col("id").alias("ingest_run_id"), "status")
-    return drift.drift_check(spark.read.parquet(tables.eval_result), runs, run_id)
+    return drift.drift_check(tables.read(spark, "eval_result"), runs, run_id)
 
 
 def label_texts(
@@ -157,27 +258,31 @@ def label_texts(
 
 
 def report(
-    tables: RunTables, run_id: int, changes: DataFrame, ask: Ask, *, name: str, model: str = "external"
+    spark: SparkSession, tables: RunTables, run_id: int, ask: Ask, *, at: Column, model: str = "external"
 ) -> None:
-    """Write the report record of a run: the text sent and the answer ``(…, report_text, tokens_used)``."""
-    sent = texts.report_text(changes.withColumn("ingest_run_id", F.lit(run_id)), run="ingest_run_id", entity=name)
+    """Write the report record of a run over all its change rows, labels included.
+
+    ``ask`` turns the text sent into ``(ingest_run_id, report_text, tokens_used)``.
+    """
+    changes = tables.of_run(spark, "change_log", run_id)
+    sent = texts.report_text(changes, run="ingest_run_id", entity="planet_name")
     record = texts.report_record(sent, ask(sent), run="ingest_run_id", model=model)
-    append_rows(record, tables.change_report, ["ingest_run_id"])
+    tables.write(record.withColumn("generated_at", at), "change_report", run_id, "report")
 
 
 def judge(
-    tables: RunTables, run_id: int, entities: DataFrame, label_rows: DataFrame, ask: Ask, *, name: str,
+    tables: RunTables, run_id: int, entities: DataFrame, labelled_rows: DataFrame, ask: Ask, *, name: str, at: Column,
     label_column: str = "classification", line: Column, header: str = texts.DEFAULT_JUDGE_HEADER,
 ) -> None:
     """Have the labels of a run judged in batches, and write the judge rows."""
-    labelled = label_ops.labelled_entities(entities, label_rows, name, label_column)
+    labelled = label_ops.labelled_entities(entities, labelled_rows, name, label_column)
     placed = assign_batches(labelled, [name], JUDGE_BATCH, position="seq")
     sent = texts.batch_text(
         placed.select("batch", "seq", line.alias("line")), batch="batch", position="seq", line="line", header=header
     )
     judgments = label_ops.parse_answers(ask(sent), ["batch"], "text", label_ops.JUDGE_FIELDS)
     rows = label_ops.judge_rows(placed, judgments, name=name, batch="batch")
-    append_rows(rows.withColumn("ingest_run_id", F.lit(run_id)), tables.eval_result, ["ingest_run_id"])
+    tables.write(_dated(rows, name, at), "eval_result", run_id, "judge")
 
 
 def whole_run(
@@ -188,6 +293,7 @@ def whole_run(
     incoming: DataFrame,
     *,
     name: str,
+    required: Sequence[str] = (),
     fields: Sequence[str],
     order: Sequence[str],
     at: Column,
@@ -198,28 +304,50 @@ def whole_run(
     ask_labels: Ask,
     ask_report: Ask,
     ask_judge: Ask,
+    created: str | None = None,
+    updated: str | None = None,
+    layout: SnapshotLayout | None = None,
+    references: DataFrame | None = None,
+    ask_vectors: Ask | None = None,
+    question_vectors: Callable[[DataFrame], DataFrame] | None = None,
     context: DataFrame | None = None,
 ) -> DataFrame:
-    """Ingest, label, report, grade, drift, judge; gives the run counters.
+    """Ingest, catalogue, references, retrieval, label, report, grade, drift, judge; gives the run counters.
 
     The ``ask_*`` hooks turn a table of texts into a table of answers: that is where a remote
-    model is called, outside this library.
+    model is called, outside this library. ``layout`` adds the catalogue tables,
+    ``references`` with ``ask_vectors`` the reference load, and ``question_vectors`` (from the
+    changed entities to ``name, vector``) the retrieval that gives the label texts their context.
+    A run without changes is not labelled and has no report; its drift row is written all the same.
     """
-    result = ingest(spark, tables, run_id, stored, incoming, keys=[name], fields=fields, order=order, at=at)
-    state = spark.read.parquet(f"{tables.base}/state/run={run_id}")
-    changes = spark.read.parquet(tables.change_log).filter(F.col("ingest_run_id") == run_id)
-    if changes.isEmpty():
-        return result
+    result = ingest(
+        spark, tables, run_id, stored, incoming, keys=[name], required=required, fields=fields, order=order, at=at,
+        created=created, updated=updated,
+    )
+    if layout is not None:
+        catalogue(spark, tables, run_id, incoming, layout, at=at)
+    if references is not None:
+        store_references(spark, tables, run_id, references, ask_vectors, at=at)
+    state = spark.read.schema(stored.schema).parquet(tables.state_path(run_id))
+    changes = tables.of_run(spark, "change_log", run_id).filter(F.col("stage") == "diff")
+    changes = changes.withColumnRenamed("planet_name", name)
+    changed = not changes.isEmpty()
+    if changed and question_vectors is not None:
+        touched = state.join(changes.select(name).distinct(), name, "left_semi")
+        context = retrieve(spark, tables, run_id, question_vectors(touched), name=name, at=at)
     batches = materialise(change_batches(changes, name=name), "batches")
-    answers = ask_labels(label_texts(batches, state, name=name, line=label_line, context=context))
-    labelled_path = f"{tables.base}/labelled/run={run_id}"
-    label(tables, run_id, state, batches, answers, name=name).write.mode("overwrite").parquet(labelled_path)
-    labelled = spark.read.parquet(labelled_path)
-    report(tables, run_id, changes, ask_report, name=name)
-    log = spark.read.parquet(tables.label_log).filter(F.col("ingest_run_id") == run_id)
-    grade(tables, run_id, labelled, log, name=name, expected_label=expected_label, expected_code=expected_code)
-    append_rows(check_drift(spark, tables, run_id), tables.drift_verdict)
-    judge(tables, run_id, labelled, log, ask_judge, name=name, line=judge_line)
+    sent = label_texts(batches, state, name=name, line=label_line, context=context)
+    answers = ask_labels(sent) if changed else sent.select("batch", "text").filter(F.lit(False))
+    labelled_path = tables.state_path(run_id, "labelled")
+    entities = label(spark, tables, run_id, state, batches, answers, name=name, at=at, updated=updated)
+    entities.write.mode("overwrite").parquet(labelled_path)
+    labelled = spark.read.schema(stored.schema).parquet(labelled_path)
+    if changed:
+        report(spark, tables, run_id, ask_report, at=at)
+    log = label_rows(spark, tables, run_id, name)
+    grade(tables, run_id, labelled, log, name=name, at=at, expected_label=expected_label, expected_code=expected_code)
+    tables.write(check_drift(spark, tables, run_id), "drift_verdict", run_id, "drift")
+    judge(tables, run_id, labelled, log, ask_judge, name=name, at=at, line=judge_line)
     return result
 
 

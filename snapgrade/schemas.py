@@ -107,6 +107,9 @@ EVAL_RESULT = _schema(
     "ingest_run_id int, eval_type string, planet_name string, expected_value string, actual_value string, "
     "score int, dimension string, pass_fail string, evaluated_at timestamp"
 )
+DRIFT_VERDICT = _schema(
+    "run_id long, current_avg double, recent_runs long, scored_runs long, rolling_avg double, drop double, verdict string"
+)
 REFERENCES = _schema(
     "id long, planet_name string, reference_name string, pub_date string, content string, embedding array<float>, "
     "created_utc timestamp"
@@ -119,3 +122,9 @@ LEGACY_CATALOGUE = _schema(
 
 def json_schema(fields: tuple[tuple[str, str, str], ...]) -> T.StructType:
     return _schema(", ".join(f"{key} {dtype}" for key, _, dtype in fields))
+
+
+def evidence_schema(schema: T.StructType) -> T.StructType:
+    """Columns of an evidence table on disk: the table's, then the run and the stage that wrote them."""
+    own = [f for f in schema.fields if f.name not in ("ingest_run_id", "stage")]
+    return T.StructType([*own, T.StructField("ingest_run_id", T.IntegerType()), T.StructField("stage", T.StringType())])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from snapgrade import schemas
 
 
 def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -15,6 +18,28 @@ def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     writer.parquet(path)
 
 
+def replace_stage(df: DataFrame, path: str, schema: T.StructType, run_id: int, stage: str) -> None:
+    """Write what a stage of a run leaves as evidence; the same stage run again replaces it.
+
+    Columns are those of the table's schema, in its types; those ``df`` lacks are null.
+    """
+    have = set(df.columns)
+    own = [f for f in schemas.evidence_schema(schema).fields if f.name not in ("ingest_run_id", "stage")]
+    columns = [(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in own]
+    df.select(*columns).write.mode("overwrite").parquet(f"{path}/ingest_run_id={run_id}/stage={stage}")
+
+
+def read_evidence(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All runs' rows of an evidence table, with ``ingest_run_id`` and ``stage``; none if it does not exist yet."""
+    whole = schemas.evidence_schema(schema)
+    try:
+        return spark.read.schema(whole).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
+
+
 def append_tables(frames: Mapping[str, DataFrame], base: str) -> None:
     """Append each frame to the table of its name below ``base``, in the given order."""
     for name, df in frames.items():

@@ -124,7 +124,7 @@ def test_run_keeps_a_ledger_and_fails_visibly(spark, tmp_path):
     assert result.asDict() == {"fetched": 3, "valid_incoming": 2, "existing": 1, "inserted": 1, "updated": 1, "skipped": 1}
     with pytest.raises(Exception):
         runs.ingest(spark, tables, 2, stored, incoming.withColumn("v", F.raise_error(F.lit("boom")).cast("int")), **how)
-    states = spark.read.schema(schemas.INGEST_RUN).parquet(tables.ingest_run)
+    states = tables.read(spark, "ingest_run")
     latest = {r.id: (r.status, r.rows_new) for r in ledger.latest_run_states(states).collect()}
     assert latest == {1: ("COMPLETED", 1), 2: ("FAILED", None)}
     only_a = runs.ingest(spark, tables, 3, stored, incoming, entity_filter=F.lower("k") == "a", **how).first()
