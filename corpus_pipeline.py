@@ -16,26 +16,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from snapgrade.llm import language, mixing, packing, secrets, simhash
+from snapgrade.llm.registry import share_library
 from snapgrade.session import materialise
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    share_library(spark)
     return language.known_language(docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    share_library(spark)
     return simhash.keep_one_per_class(docs)
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    share_library(spark)
     return secrets.without_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    share_library(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    share_library(spark)
     return packing.pack(docs)
 
 
