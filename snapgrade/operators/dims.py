@@ -11,6 +11,9 @@ from snapgrade.operators.dedupe import anti_existing, clean_keys, first_per_key
 from snapgrade.session import materialise
 
 
+REPORT_PLANETS = 10_000  # bound of a report, whose planets are broadcast
+
+
 def surrogate_id(kind: str, *parts: str) -> Column:
     """64-bit id from the natural key: the same on every run and without a sequence."""
     return F.xxhash64(F.lit(kind), *[F.col(p) for p in parts])
@@ -136,26 +139,30 @@ def labelled_change_report(
 
     Every planet with a host and a change gives at least one row and names come first in the
     order, so the ``limit`` lowest such planets hold the whole result. They are found with semi
-    joins over key columns and fetched (``limit`` rows at most); the wide rows then meet only
-    these as a broadcast, and a planet with very many change rows is never shuffled.
+    joins over key columns; the wide rows then meet only these (``limit`` rows, at most
+    ``REPORT_PLANETS``) as a broadcast, all in one plan, and a planet with very many change rows is
+    never shuffled.
     """
     if order[0] != "planet_name":
         raise ValueError("the report is ordered by planet_name first")
+    if not 0 < limit <= REPORT_PLANETS:
+        raise ValueError(f"limit must be between 1 and {REPORT_PLANETS}")
     hosts = stars.select(F.col("id").alias("star_id"), F.col("name").alias("host_star"))
-    hosted = links.join(hosts.select("star_id"), "star_id", "left_semi").select(F.col("planet_id").alias("id")).distinct()
-    changed = changes.select("planet_name").distinct()
+    hosted = links.join(hosts.select("star_id"), "star_id", "left_semi").select(F.col("planet_id").alias("id"))
     lowest = (
         planets.filter(F.col("classification").isNotNull())
         .join(hosted, "id", "left_semi")
-        .join(changed, "planet_name", "left_semi")
+        .join(changes.select("planet_name"), "planet_name", "left_semi")
         .orderBy("planet_name")
         .limit(limit)
     )
-    first = planets.sparkSession.createDataFrame(lowest.collect(), lowest.schema)
-    first_links = links.join(F.broadcast(first.select(F.col("id").alias("planet_id"))), "planet_id", "left_semi")
+    wanted = lowest.select(F.col("id").alias("planet_id"), *[c for c in lowest.columns if c != "id"])
+    placed = links.select("planet_id", "star_id").join(F.broadcast(wanted), "planet_id").join(hosts, "star_id")
+    first = placed.withColumn("id", F.col("planet_id"))
+    # a planet has few hosts; its rows meet the change rows where these are
     return (
         changes.join(F.broadcast(first), "planet_name")
-        .join(first_links.join(hosts, "star_id"), F.col("id") == F.col("planet_id"))
+        .select(*changes.columns, *[c for c in planets.columns if c != "planet_name"], "planet_id", "star_id", "host_star")
         .orderBy(*order)
         .limit(limit)
     )

@@ -1,14 +1,16 @@
 """Nearest references by cosine, exact.
 
-Three ways, chosen by checked sizes:
+The caller names the way; the default scales with both sides:
 
-* the references fit the broadcast budget: every task ranks its queries against all of them;
-* the queries fit: every task ranks its references for all queries, k rows per query and task
-  are shuffled and merged;
-* neither: a pivot search. References are assigned to their nearest pivot (cells), and by the
+* ``pivots``: a pivot search. References are assigned to their nearest pivot (cells), and by the
   triangle inequality on angles a query is sent only to cells that can still hold one of its
   k nearest. Cells and the queries sent to them are cut into blocks of bounded size, so one
   cell holding most rows is many tasks. Nothing is sampled away: the result is the exact one.
+* ``broadcast_refs``: every task ranks its queries against all references;
+* ``broadcast_queries``: every task ranks its references for all queries, k rows per query and
+  task are shuffled and merged.
+
+A broadcast is refused, not replaced, when its side is above the budget.
 
 Similarities are ranked after rounding to 9 decimals, ties by id. A vector without a direction
 has no similarity (null) and comes last.
@@ -24,7 +26,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from snapgrade.functions.vectors import cosine_similarity
+from snapgrade.functions.vectors import dot, norm
+from snapgrade.session import materialise
 
 # Task functions travel by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,7 +37,8 @@ RANK_DECIMALS = 9
 NO_SIMILARITY = -2.0  # below every cosine; shown as null
 
 BROADCAST_BYTES = 32 << 20
-MAX_PIVOTS = 256
+PIVOTS = 256  # default number of pivots
+SALTS = 64  # parts in which an entity's references are ranked
 BLOCK_BYTES = 8 << 20  # of vectors per side of one task
 MATRIX_CELLS = 4 << 20
 _SLACK = 1e-6  # radians; covers rounding of angles and of ranked similarities
@@ -153,7 +157,7 @@ def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _choose_pivots(refs: DataFrame, count: int) -> np.ndarray:
-    """A repeatable choice spread over the table: the lowest id hashes (at most MAX_PIVOTS rows)."""
+    """A repeatable choice spread over the table: the lowest id hashes (``count`` rows)."""
     directed = refs.filter(F.exists("vector", lambda x: x != 0))
     chosen = directed.select("vector").orderBy(F.xxhash64("ref_id"), "ref_id").limit(count).toPandas()
     return _unit(_matrix(chosen["vector"])) if len(chosen) else np.zeros((0, 0))
@@ -175,8 +179,11 @@ def _cells(refs: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, pd.D
         angle = np.where(units.any(axis=1), angles[np.arange(len(cell)), cell], np.pi)
         return pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle})
 
-    assigned = refs.select("ref_id", "vector", nearest("vector").alias("near")).select(
-        "ref_id", "vector", "near.cell", "near.angle"
+    assigned = materialise(
+        refs.select("ref_id", "vector", nearest("vector").alias("near")).select(
+            "ref_id", "vector", "near.cell", "near.angle"
+        ),
+        "cells",
     )
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +242,7 @@ def _pivot_search(
         keep[~units.any(axis=1), :] = True
         return pd.Series([cell_ids[row].tolist() for row in keep])
 
-    routed = queries.select("query_id", "vector", F.explode(reachable("vector")).alias("cell"))
+    routed = materialise(queries.select("query_id", "vector", F.explode(reachable("vector")).alias("cell")), "routed")
     demand = dict(map(tuple, routed.groupBy("cell").count().collect()))  # one row per pivot at most
     chunks = [max(1, -(-demand.get(int(c), 0) // block_rows)) for c in cell_ids]
 
@@ -272,21 +279,30 @@ def _pivot_search(
     return query_side.groupBy(*at).cogroup(ref_side.groupBy(*at)).applyInPandas(rank, schema)
 
 
+STRATEGIES = ("pivots", "broadcast_refs", "broadcast_queries")
+
+
 def topk_cosine(
     queries: DataFrame,
     refs: DataFrame,
     k: int = TOP_K,
     *,
+    strategy: str = "pivots",
     broadcast_bytes: int = BROADCAST_BYTES,
-    pivots: int = MAX_PIVOTS,
+    pivots: int = PIVOTS,
     block_rows: int | None = None,
 ) -> DataFrame:
     """``(query_id, ref_id, similarity, rank)``: the k nearest of all references for every query.
 
-    ``queries(query_id, vector)``, ``refs(ref_id, vector)``. ``block_rows`` is the size the
-    pivot search cuts cells and their queries to; by default as many vectors as fit
-    ``BLOCK_BYTES``. Larger blocks copy vectors to fewer tasks.
+    ``queries(query_id, vector)``, ``refs(ref_id, vector)``. ``strategy`` is one of ``STRATEGIES``;
+    a broadcast side above ``broadcast_bytes`` raises. ``block_rows`` is the size the pivot search
+    cuts cells and their queries to; by default as many vectors as fit ``BLOCK_BYTES``. Larger
+    blocks copy vectors to fewer tasks.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    if pivots < 1:
+        raise ValueError("the pivot search needs a pivot")
     schema = _pair_schema(queries, refs)
     head = refs.filter(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).head()
     width = head["n"] if head else 1
@@ -296,14 +312,14 @@ def topk_cosine(
     refs = refs.select("ref_id", F.coalesce("vector", nothing).alias("vector"))
     if refs.isEmpty():
         return _ranked(queries.sparkSession.createDataFrame([], schema), k)
-    if _fits(refs, width, broadcast_bytes):
-        pairs = _rank_against_refs(queries, refs, k, schema)
-    elif _fits(queries, width, broadcast_bytes // 8):
-        pairs = _rank_for_queries(queries, refs, k, schema)
-    else:
+    if strategy == "pivots":
         rows = block_rows or max(1024, BLOCK_BYTES // (4 * width))
-        pairs = _pivot_search(queries, refs, k, schema, min(pivots, MAX_PIVOTS), rows)
-    return _ranked(pairs, k)
+        return _ranked(_pivot_search(queries, refs, k, schema, pivots, rows), k)
+    side = refs if strategy == "broadcast_refs" else queries
+    if not _fits(side, width, broadcast_bytes):
+        raise ValueError(f"{strategy}: the side to broadcast is above {broadcast_bytes} bytes")
+    rank = _rank_against_refs if strategy == "broadcast_refs" else _rank_for_queries
+    return _ranked(rank(queries, refs, k, schema), k)
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -320,21 +336,27 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def topk_same_entity(queries: DataFrame, refs: DataFrame, k: int = TOP_K) -> DataFrame:
+def topk_same_entity(queries: DataFrame, refs: DataFrame, k: int = TOP_K, *, salts: int = SALTS) -> DataFrame:
     """Nearest references of the query's own entity.
 
     ``queries(entity, vector)`` has one row per entity, ``refs(entity, ref_id, vector)`` many.
-    Every reference meets one query, so the join gives no more rows than there are references;
-    the window group limit then leaves k rows per entity and task before the shuffle.
+    Every reference meets one query, so the join gives no more rows than there are references.
+    An entity's references are ranked in ``salts`` parts by their id first: scored pairs (without
+    vectors) are dealt to the parts, so Spark can split a skewed join before that, and k rows per
+    part reach the last exchange. Lengths are computed once per vector.
     """
-    score = F.round(cosine_similarity(F.col("vector"), F.col("ref_vector")), RANK_DECIMALS)
-    pairs = (
-        refs.select("entity", "ref_id", F.col("vector").alias("ref_vector"))
-        .join(queries.select("entity", "vector"), "entity")
-        .select("entity", "ref_id", score.alias("similarity"))
-    )
-    order = Window.partitionBy("entity").orderBy(F.col("similarity").desc_nulls_last(), "ref_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = queries.select("entity", "vector", norm(F.col("vector")).alias("_length"))
+    known = refs.select("entity", "ref_id", F.col("vector").alias("_ref"), norm(F.col("vector")).alias("_ref_length"))
+    size = F.col("_length") * F.col("_ref_length")
+    score = F.round(F.when(size > 0, dot(F.col("vector"), F.col("_ref")) / size), RANK_DECIMALS)
+    pairs = known.join(asked, "entity").select("entity", "ref_id", score.alias("similarity"))
+    best = [F.col("similarity").desc_nulls_last(), F.col("ref_id")]
+    # dealt out by hand: the join's partitioning by entity would do for the window
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("ref_id"), F.lit(salts))).repartition("entity", "_salt")
+    part = F.row_number().over(Window.partitionBy("entity", "_salt").orderBy(*best))
+    near = salted.withColumn("_part_rank", part).filter(F.col("_part_rank") <= k).drop("_salt", "_part_rank")
+    rank = F.row_number().over(Window.partitionBy("entity").orderBy(*best))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def retrieval_log(found: DataFrame, references: DataFrame, *, run_id: int, entity: str) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from snapgrade import schemas
 from snapgrade.functions.vectors import text_to_vector, vector_to_text
 from snapgrade.operators import retrieval
 from snapgrade.operators.dedupe import first_per_key
 from snapgrade.plans.registry import query, table
+from snapgrade.session import scratch_path
+from snapgrade.sources.sinks import read_evidence, replace_stage
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -32,13 +35,13 @@ _GLOBAL_SQL = f"""SELECT query_id, ref_id, round(s, 4) AS similarity, rank FROM
 
 @query("topk_global", _GLOBAL_SQL)
 def topk_global(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(retrieval.topk_cosine(*_sides(spark, sf)))
+    return _shown(retrieval.topk_cosine(*_sides(spark, sf), strategy="broadcast_refs"))
 
 
 @query("topk_global_pivots", _GLOBAL_SQL)
 def topk_global_pivots(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with nothing broadcast but pivots: the way taken when neither side is small."""
-    return _shown(retrieval.topk_cosine(*_sides(spark, sf), broadcast_bytes=0, pivots=32, block_rows=1024))
+    """The same by the default way, with nothing broadcast but pivots."""
+    return _shown(retrieval.topk_cosine(*_sides(spark, sf), pivots=32, block_rows=1024))
 
 
 def _own_label(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -61,17 +64,25 @@ def topk_same_entity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "retrieval_log",
-    f"""WITH {_ENTITY_SQL} SELECT 7 AS ingest_run_id, 'label ' || entity AS planet_name, ref_id AS reference_id,
-      'vector ' || ref_id AS reference_name, round(s, 4) AS similarity_score, false AS was_referenced FROM found""",
+    f"""SELECT 7 AS ingest_run_id, 'vector ' || query_id AS planet_name, ref_id AS reference_id, 'reference ' || ref_id AS reference_name,
+      similarity AS similarity_score, false AS was_referenced, '2024-02-01 10:00:00' AS retrieved_at FROM ({_GLOBAL_SQL})""",
 )
 def retrieval_log(spark: SparkSession, sf: str) -> DataFrame:
-    queries, refs = _own_label(spark, sf)
-    found = retrieval.topk_same_entity(queries, refs).withColumn(
-        "entity", F.concat(F.lit("label "), F.col("entity").cast("string"))
+    """The global search's log rows as stored by a run that was tried twice."""
+    queries, refs = _sides(spark, sf)
+    found = retrieval.topk_cosine(queries, refs, strategy="broadcast_refs").withColumn(
+        "entity", F.concat(F.lit("vector "), F.col("query_id").cast("string"))
     )
-    names = refs.select("ref_id", F.concat(F.lit("vector "), F.col("ref_id").cast("string")).alias("reference_name"))
+    names = refs.select("ref_id", F.concat(F.lit("reference "), F.col("ref_id").cast("string")).alias("reference_name"))
     log = retrieval.retrieval_log(found, names, run_id=7, entity="entity")
-    return log.withColumn("similarity_score", F.round("similarity_score", 4))
+    log = log.withColumn("retrieved_at", F.lit("2024-02-01 10:00:00").cast("timestamp"))
+    path = scratch_path(spark, "retrieval-log")
+    for _ in range(2):
+        replace_stage(log, path, schemas.RETRIEVAL_LOG, 7, "retrieval")
+    stored = read_evidence(spark, path, schemas.RETRIEVAL_LOG).drop("stage")
+    return stored.withColumns(
+        {"similarity_score": F.round("similarity_score", 4), "retrieved_at": F.col("retrieved_at").cast("string")}
+    )
 
 
 @query(

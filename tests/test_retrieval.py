@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,10 +43,10 @@ def clustered(rng, rows_, dim=8, hot=0.4):
 
 
 WAYS = {
-    "references broadcast": {},
-    "queries broadcast": {"broadcast_bytes": 8 * 8 * 100},
-    "pivots": {"broadcast_bytes": 0, "pivots": 8, "block_rows": 40},
-    "one pivot": {"broadcast_bytes": 0, "pivots": 1, "block_rows": 7},
+    "references broadcast": {"strategy": "broadcast_refs"},
+    "queries broadcast": {"strategy": "broadcast_queries"},
+    "pivots": {"pivots": 8, "block_rows": 40},
+    "one pivot": {"pivots": 1, "block_rows": 7},
 }
 
 
@@ -69,14 +71,58 @@ def test_no_references(spark):
     assert retrieval.topk_cosine(queries, refs.filter("false")).collect() == []
 
 
-def test_pivots_prune_and_no_group_exceeds_its_block(spark):
+def test_pivots_prune_and_no_group_exceeds_its_block(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    refs = clustered(rng, 400)[6:]
-    queries, refs = sides(spark, refs[:40], refs)
-    found = retrieval.topk_cosine(queries, refs, broadcast_bytes=0, pivots=6, block_rows=50)
+    vectors = clustered(rng, 400)[6:]
+    queries, refs = sides(spark, vectors[:40], vectors)
+    sizes = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    plain = retrieval._nearest
+
+    def counted(query_ids, query_units, ref_ids, ref_units, k):
+        assert len(query_ids) <= 2 * 50 and len(ref_ids) <= 2 * 50  # blocks are dealt by hash
+        sizes[0].add(len(query_ids) * len(ref_ids))
+        sizes[1].add(1)
+        return plain(query_ids, query_units, ref_ids, ref_units, k)
+
+    monkeypatch.setattr(retrieval, "_nearest", counted)
+    found = retrieval.topk_cosine(queries, refs, pivots=24, block_rows=50)
     plan = plan_of(found)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "FlatMapCoGroupsInPandas" in plan or "FlatMapCoGroupsInArrow" in plan
+    assert len(found.collect()) == 3 * 40
+    assert sizes[1].value > 3 and sizes[0].value < 0.7 * 40 * len(vectors)
+
+
+def test_a_broadcast_above_its_budget_is_refused(spark):
+    both = sides(spark, [[1.0, 0.0]] * 9, [[1.0, 0.0]] * 9)
+    for strategy in retrieval.STRATEGIES[1:]:
+        with pytest.raises(ValueError, match="above"):
+            retrieval.topk_cosine(*both, strategy=strategy, broadcast_bytes=64)
+    with pytest.raises(ValueError):
+        retrieval.topk_cosine(*both, pivots=0)
+
+
+def test_a_hot_entity_is_ranked_in_parts(spark):
+    rng = np.random.default_rng(5)
+    refs = [("hot" if i % 5 else f"e{i % 25}", i, rng.normal(size=4).tolist()) for i in range(2000)]
+    frame = spark.createDataFrame(refs, "entity string, ref_id long, vector array<float>").repartition(8)
+    queries = spark.createDataFrame([(e, [1.0, 0.5, 0.0, -1.0]) for e in sorted({r[0] for r in refs})], "entity string, vector array<float>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = retrieval.topk_same_entity(queries, frame)
+        plan = plan_of(found)
+        got = rows(found.select("entity", "ref_id", "rank"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # ranked by part behind an exchange of its own, and limited again before the last one
+    assert re.search(r"Exchange hashpartitioning\(entity#\d+, _salt#\d+", plan)
+    assert re.search(r"WindowGroupLimit \[entity#\d+\][^\n]*Partial", plan)
+    q = np.array([1.0, 0.5, 0.0, -1.0])
+    score = lambda v: round(float(np.float32(v).astype(float) @ q / np.linalg.norm(np.float32(v).astype(float)) / np.linalg.norm(q)), 9)
+    wanted = []
+    for e in {r[0] for r in refs}:
+        best = sorted((-score(v), i) for entity, i, v in refs if entity == e)[:3]
+        wanted += [(e, i, rank) for rank, (_, i) in enumerate(best, 1)]
+    assert got == sorted(wanted, key=repr)
 
 
 def test_same_entity(spark):
