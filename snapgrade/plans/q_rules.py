@@ -275,6 +275,33 @@ def parse_answers_lenient(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_NOT_BROKEN = "FROM orders WHERE o_orderpriority <> '2-HIGH'"
+
+
+@query(
+    "code_answers",
+    f"""SELECT o_orderkey, 'ORDER ' || o_orderkey AS name_key, 0 AS position, 'Order ' || o_orderkey AS planet_name,
+      'eW0t' AS plavalova_code {_NOT_BROKEN}""",
+)
+def code_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers read for their codes only: elements without a code are left out and break nothing."""
+    return labels.parse_answers(_label_answers(spark, sf), ["o_orderkey"], "text", labels.CODE_FIELDS)
+
+
+@query(
+    "note_answers",
+    f"""SELECT o_orderkey, 'ORDER ' || o_orderkey AS name_key, CASE WHEN last THEN 1 ELSE 0 END AS position,
+        CASE WHEN last THEN 'ORDER ' ELSE 'Order ' END || o_orderkey AS planet_name,
+        CASE WHEN last THEN 'CONFIRMED' ELSE o_orderstatus END AS classification,
+        CASE WHEN last THEN '' ELSE 'eW0t' END AS plavalova_code, '' AS scientific_note
+      FROM (SELECT *, o_orderpriority = '4-NOT SPECIFIED' AS last {_NOT_BROKEN})
+    UNION ALL SELECT o_orderkey, 'OTHER', 1, 'other', 'X', '', '' FROM orders WHERE o_orderpriority = '3-MEDIUM'""",
+)
+def note_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers with optional notes: what an element lacks is an empty text."""
+    return labels.parse_answers(_label_answers(spark, sf), ["o_orderkey"], "text", labels.NOTE_FIELDS)
+
+
 @query(
     "answer_status",
     """SELECT CASE o_orderpriority WHEN '2-HIGH' THEN 'malformed' WHEN '3-MEDIUM' THEN 'broken_element' ELSE 'ok' END AS status,

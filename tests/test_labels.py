@@ -180,3 +180,10 @@ def test_compare_label_sets(spark):
     assert rows(got) == [
         ("a", "x", "x", "Same", "n1", "n2", "DIFF"), ("b", "y", "?", "DIFF", "", "", "Same"), ("c", "?", "?", "Same", "", "", "Same"),
     ]
+
+
+def test_the_last_of_a_repeated_key_counts(spark):
+    text = '[{"planet_name": "x", "planet_name": "a", "classification": "C", "reasoning": "r"}, {"planet_name": "b", "classification": "D", "reasoning": ""}]'
+    answers = spark.createDataFrame([(1, text)], "batch int, text string")
+    parsed = labels.parse_answers(answers, ["batch"], "text", labels.LABEL_FIELDS)
+    assert sorted((r.planet_name, r.classification) for r in parsed.collect()) == [("a", "C"), ("b", "D")]
