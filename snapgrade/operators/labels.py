@@ -71,18 +71,15 @@ def _typed_elements(answers: DataFrame, keys: Sequence[str], text: str, fields:
         *keys, F.col(text).isNull().alias("_no_text"), F.try_variant_get(parsed, "$", "array<variant>").alias("_all")
     ).select(*keys, "_no_text", F.col("_all").isNull().alias("_no_array"), F.posexplode_outer("_all").alias("position", "_e"))
 
-    kinds = elements.select(
-        "*",
-        *[F.schema_of_variant(F.try_variant_get("_e", f"$.{f.name}", "variant")).alias(f"_{f.name}") for f in fields],
-    )
-    values = kinds.select(
+    # each field is looked up once; its kind and its value come from what was found
+    found = elements.select("*", *[F.try_variant_get("_e", f"$.{f.name}", "variant").alias(f"_found_{f.name}") for f in fields])
+    values = found.select(
+        *keys, "_no_text", "_no_array", "position",
+        *[F.schema_of_variant(f"_found_{f.name}").alias(f"_{f.name}") for f in fields],
+        *[F.try_variant_get(f"_found_{f.name}", "$", f.kind).alias(f"_value_{f.name}") for f in fields],
+    ).select(
         *keys, "_no_text", "_no_array", "position", *[f"_{f.name}" for f in fields],
-        *[
-            F.when(
-                F.col(f"_{f.name}") == _KIND_NAMES[f.kind], F.try_variant_get("_e", f"$.{f.name}", f.kind)
-            ).alias(f.name)
-            for f in fields
-        ],
+        *[F.when(F.col(f"_{f.name}") == _KIND_NAMES[f.kind], F.col(f"_value_{f.name}")).alias(f.name) for f in fields],
     )
 
     def fault(field: AnswerField) -> Column:
