@@ -30,6 +30,7 @@ UNKNOWN = "und"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _ROUNDS = 12
+_OVERSAMPLE = 2
 _BLOCK = 1 << 18
 _AT_ONCE = 256
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -83,14 +84,14 @@ class LanguageModel:
     limits: np.ndarray
     idf: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and rejection of each text."""
         languages = [UNKNOWN] * len(texts)
         scores, rejected = np.zeros(len(texts)), np.ones(len(texts), bool)
         if not self.languages:
             return languages, scores, rejected
         for start in range(0, len(texts), _AT_ONCE):
-            counted = [(i, gram_counts(t)) for i, t in enumerate(texts[start : start + _AT_ONCE], start)]
+            counted = [(i, gram_counts(t)) for i, t in enumerate(texts[start : start + _AT_ONCE].to_pylist(), start)]
             counted = [(i, c) for i, c in counted if c is not None]
             if counted:
                 cosines = _vectors(np.stack([c for _, c in counted]), self.idf) @ self.centroids.T
@@ -104,14 +105,22 @@ class LanguageModel:
 def fit(labelled: DataFrame, *, sample: int = SAMPLE, clusters: int = CLUSTERS) -> LanguageModel:
     """Learn from rows (lang, text) with a language.
 
-    At most ``sample`` texts per language are used, those with the smallest hash of their text, so
-    that the same rows give the same model; their whole texts count. No row gives an empty model.
+    At most ``sample`` distinct texts per language are used, those with the smallest hashes, so that
+    the same rows give the same model; their whole texts count. Texts are picked by hash first, in
+    the share that gives about twice the sample, so what is ranked has a bounded size however many
+    rows a language has. No row gives an empty model.
     """
-    order = Window.partitionBy("lang").orderBy("_key", "text")
-    usable = labelled.select("lang", "text", F.md5(F.col("text").cast("binary")).alias("_key")).where(
-        "lang is not null and text is not null"
-    )
-    chosen = materialise(usable.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample), "sample")
+    usable = labelled.where("lang is not null and text is not null").select("lang", "text")
+    sizes = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    # share of all hashes, from -1/2 to 1/2, below which a language's texts are picked
+    bounds = [F.when(F.col("lang") == r.lang, F.lit(min(1.0, _OVERSAMPLE * sample / r["count"]) - 0.5)) for r in sizes]
+    place = F.xxhash64("text").cast("double") / 2.0**64
+    picked = usable.where(place < F.coalesce(*bounds, F.lit(0.5))).withColumn("_key", F.md5(F.col("text").cast("binary")))
+    distinct = picked.groupBy("lang", "_key").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "_key")
+    chosen = materialise(distinct.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +138,7 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, clusters: int = CLUSTERS)
     counted = materialise(
         chosen.select("lang", "text").mapInArrow(count, "lang string, places array<int>, counts array<long>"), "grams"
     )
-    languages, texts = counted.agg(F.count_distinct("lang"), F.count("*")).first()
-    if languages > MAX_LANGUAGES:
-        raise ValueError(f"{languages} languages are labelled; at most {MAX_LANGUAGES} can be told apart")
+    texts = counted.count()
     # at most one row per dimension
     found = counted.select(F.explode("places").alias("place")).groupBy("place").count().collect()
     idf = np.full(1 << BITS, np.log(1 + texts), np.float32)
@@ -172,7 +179,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", output
 
     @F.arrow_udf("lang string, score double, rejected boolean")
     def language(texts: pa.Array) -> pa.Array:
-        lang, score, rejected = shared.value.predict(texts.to_pylist())
+        lang, score, rejected = shared.value.predict(texts)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], fields=list(schema))
 
     return docs.withColumn(output, language(F.col(f"`{text}`")))

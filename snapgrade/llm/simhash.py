@@ -56,7 +56,7 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array(map(text_fingerprint, texts.to_pylist()), pa.int64())
+    return pa.array([text_fingerprint(text.as_py()) for text in texts], pa.int64())
 
 
 def fingerprint(text: Column | str) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_WORDS = 500_000  # per generation, two generations per worker
+CACHED_WORDS = 150_000  # per generation, two generations per worker
 CACHED_BYTES = 64  # longer words are not kept
 
 
@@ -56,7 +56,8 @@ class WordEncoder(dict):
             ids = self.encode(word)
         if len(word) <= CACHED_BYTES:
             if len(self) >= CACHED_WORDS:
-                self.older = dict(self)
+                self.older.clear()
+                self.older.update(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -93,7 +94,7 @@ def token_counts(text: Column | str, path: str | None = None) -> Column:
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         ids = encoder(file).text_ids
-        return pa.array([len(ids(t)) // 4 for t in texts.to_pylist()], pa.int64())
+        return pa.array([len(ids(t.as_py())) // 4 for t in texts], pa.int64())
 
     return count(text)
 
