@@ -39,7 +39,7 @@ _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 def gram_counts(text: str | None, bits: int = BITS) -> np.ndarray | None:
     """Counts of the hashed n-grams of a whole text; None if it has no letter."""
     letters = _NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    if not letters:
+    if not any(map(str.isalpha, letters)):
         return None
     letters = f" {letters} "
     counts = np.zeros(1 << bits, np.int64)

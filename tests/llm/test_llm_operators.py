@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from snapgrade.llm import components, ctw, hostrules, language, lengths, mixing, packing, secrets, simhash, tokens, totals, warc, winnow
 
 LONG = " ".join(random.Random(5).choices(["the", "and", "of", "in", "house", "river", "mountain"], k=60_000))
@@ -316,6 +317,20 @@ def test_language_odd_rows(spark, odd, none):
     assert language.known_language(odd).columns == odd.columns and language.known_language(none).count() == 0
 
 
+def test_texts_without_a_letter():
+    assert all(language.gram_counts(t) is None for t in (None, "", " 12 ", "²½ _", "%%%", "🎉"))
+    assert language.gram_counts("ª1") is not None
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_take_odd_rows(spark, odd, none, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    for docs in (odd, none):
+        got = stage(spark, docs, "")
+        assert name == "packing" or got.columns == docs.columns
+        assert (got.count() > 0) == (docs is odd)
+
+
 def test_gram_counts_of_long_texts_are_those_of_one_piece(monkeypatch):
     text = "Straße und Haus, " * 500
     whole = language.gram_counts(text)
