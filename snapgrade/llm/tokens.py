@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHED_WORDS = 150_000  # per generation, two generations per worker
+CACHED_WORDS = 250_000  # per generation, two generations per worker
 CACHED_BYTES = 64  # longer words are not kept
 
 
