@@ -31,6 +31,7 @@ UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _ROUNDS = 12
 _OVERSAMPLE = 2
+_MORE = 50  # so that small samples are full too
 _BLOCK = 1 << 18
 _AT_ONCE = 256
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -107,15 +108,17 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, clusters: int = CLUSTERS)
 
     At most ``sample`` distinct texts per language are used, those with the smallest hashes, so that
     the same rows give the same model; their whole texts count. Texts are picked by hash first, in
-    the share that gives about twice the sample, so what is ranked has a bounded size however many
-    rows a language has. No row gives an empty model.
+    the share of a language's distinct texts that gives about twice the sample, so what is ranked has
+    a bounded size however many rows and copies a language has. No row gives an empty model.
     """
     usable = labelled.where("lang is not null and text is not null").select("lang", "text")
-    sizes = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    hashes = usable.select("lang", F.xxhash64("text").alias("_hash")).distinct()
+    sizes = hashes.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
     # share of all hashes, from -1/2 to 1/2, below which a language's texts are picked
-    bounds = [F.when(F.col("lang") == r.lang, F.lit(min(1.0, _OVERSAMPLE * sample / r["count"]) - 0.5)) for r in sizes]
+    most = _OVERSAMPLE * sample + _MORE
+    bounds = [F.when(F.col("lang") == r.lang, F.lit(min(1.0, most / r["count"]) - 0.5)) for r in sizes]
     place = F.xxhash64("text").cast("double") / 2.0**64
     picked = usable.where(place < F.coalesce(*bounds, F.lit(0.5))).withColumn("_key", F.md5(F.col("text").cast("binary")))
     distinct = picked.groupBy("lang", "_key").agg(F.min("text").alias("text"))

@@ -317,6 +317,17 @@ def test_language_odd_rows(spark, odd, none):
     assert language.known_language(odd).columns == odd.columns and language.known_language(none).count() == 0
 
 
+def test_all_texts_of_a_language_of_copies_are_learned(spark):
+    copies = spark.range(100_000).select(
+        F.lit("en").alias("lang"), F.concat(F.lit("some words of text "), F.repeat(F.lit("ab"), (F.col("id") % 50).cast("int"))).alias("text")
+    )
+    model = language.fit(copies.union(spark.createDataFrame([("de", "ein kleiner Satz")], "lang string, text string")))
+    # a dimension that no text has weighs log(1 + texts)
+    assert round(math.exp(model.idf.max())) - 1 == 51 and set(model.languages) == {"en", "de"}
+    some = language.fit(copies, sample=10)
+    assert round(math.exp(some.idf.max())) - 1 == 10
+
+
 def test_texts_without_a_letter():
     assert all(language.gram_counts(t) is None for t in (None, "", " 12 ", "²½ _", "%%%", "🎉"))
     assert language.gram_counts("ª1") is not None
