@@ -3,17 +3,19 @@
 A byte is eight binary decisions; each decision has a context tree over the bytes before it, up to
 DEPTH. A node counts the zeros and ones seen in its context; its Krichevsky-Trofimov estimate is mixed
 half and half with the product of its children's, which gives every node a weight against what lies
-below it. The counts come from all learning texts: distinct grams of DEPTH + 1 bytes are counted by
-Spark, subtrees of the tree are weighted where their grams are, and the few nodes above on the driver.
+below it. The counts come from all learning texts, and every node counts, however many there are.
 
-What scoring tasks get is a table with a fixed number of slots. Each slot keeps the node that saves
-most of those that fall on it; a context without a slot predicts like the next shorter one. So the
-model sent to workers has a size that does not grow with the corpus, while counts cover all of it.
+No task holds the whole tree. Texts go in batches with the distinct grams of DEPTH + 1 bytes that they
+have, dealt to buckets by their nearest context bytes. Where a bucket's grams are, their subtrees are
+weighted and the grams of all texts scored; only the nodes above, of up to two context bytes, go to the
+driver and from there to all tasks. Then each batch gets the scores of its grams and sums its texts'. A
+context that no learning text has predicts like the next shorter one.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -24,17 +26,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from snapgrade.session import materialise
 
-DEPTH = 5  # at most 6: a gram and its depth are one 64-bit number
+DEPTH = 6  # at most 6: a gram and its depth are one 64-bit number
 LOCAL_DEPTH = 3  # nodes of this depth and below are weighted in one task per subtree
-SLOT_BITS = 22
+SLOT_BITS = 22  # of a node's 54-bit key; no two nodes share a key but by chance
 END = 0xFF  # a byte that UTF-8 never has ends a text, and stands before its start
 
 _CHUNK = 1 << 20
 _MERGE = 1 << 21
-_SUBTREE_GRAMS = 1 << 16
+_SUBTREE_GRAMS = 1 << 17
 _AT_ONCE = 1 << 16
 _TEXTS = 500
-_CACHE_BITS = 20
+_BATCH_GRAMS = 1 << 21  # distinct grams at which a batch of texts ends
+_BATCH_BYTES = 1 << 25
+_BUCKET_BITS = 12
+_TABLE_BITS = 22
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 4096
 _U = np.uint64
@@ -166,19 +171,17 @@ NODE_SCHEMA = "slot long, rank long, payload long, weight float, children double
 
 
 def node_rows(weighed: dict[int, tuple], above: tuple | None, slot_bits: int) -> Iterator[pa.RecordBatch]:
-    """Table rows of nodes: slot, rank among those on the slot, tag and smaller probability, log weight.
+    """Table rows of all nodes: slot, rank, tag and smaller probability, log weight.
 
-    The rank is what a node saves: how much shorter its own estimate codes its data than its parent's
-    does. A node that saves nothing is left out. ``above`` is the level over the first one.
+    Slot and tag are a node's key. The rank is what a node saves: how much shorter its own estimate
+    codes its data than its parent's does. ``above`` is the level over the first one.
     """
     for depth, (nodes, zeros, ones, weight, _) in sorted(weighed.items()):
         parents = weighed.get(depth - 1, above)
         if depth and parents is not None:
             place = np.searchsorted(parents[0], parent_keys(nodes, depth))
             one = (parents[2][place] + 0.5) / (parents[1][place] + parents[2][place] + 1.0)
-            saved = log_kt(zeros, ones) - zeros * np.log1p(-one) - ones * np.log(one)
-            kept = saved > 0
-            nodes, zeros, ones, weight, saved = (v[kept] for v in (nodes, zeros, ones, weight, saved))
+            saved = np.maximum(log_kt(zeros, ones) - zeros * np.log1p(-one) - ones * np.log(one), 0)
         else:
             saved = np.full(len(nodes), 2.0**30)
         slot, tag = _slots(nodes, depth, slot_bits)
@@ -192,18 +195,31 @@ def node_rows(weighed: dict[int, tuple], above: tuple | None, slot_bits: int) ->
 
 
 class ContextModel:
-    """The slots as arrays; predicts grams."""
+    """Nodes by key; predicts grams. ``above`` has the nodes of less than LOCAL_DEPTH context bytes, if not these."""
 
-    def __init__(self, depth: int, slot_bits: int, slot: np.ndarray, payload: np.ndarray, weight: np.ndarray):
-        self.depth, self.slot_bits = depth, slot_bits
-        self.tag = np.zeros(1 << slot_bits, np.uint32)
-        self.rare = np.full(1 << slot_bits, 2.0, np.float32)  # 2: no node
-        self.weight = np.zeros(1 << slot_bits, np.float32)  # against what lies below, not its log
+    def __init__(
+        self, depth: int, slot_bits: int, slot: np.ndarray, payload: np.ndarray, weight: np.ndarray,
+        above: ContextModel | None = None,
+    ):
+        self.depth, self.slot_bits, self.above = depth, slot_bits, above
         bits = payload.view(np.uint64)
-        self.tag[slot] = (bits >> _U(32)).astype(np.uint32)
-        self.rare[slot] = (bits & _U(0xFFFFFFFF)).astype(np.uint32).view(np.float32)
-        self.weight[slot] = np.exp(weight)
-        self._cached: tuple[np.ndarray, np.ndarray] | None = None
+        keys = slot.astype(np.uint64) << _U(32) | bits >> _U(32)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.rare = (bits[order] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.float32)
+        self.weight = np.exp(weight[order])  # against what lies below, not its log
+
+    def find(self, nodes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places among ``nodes`` of those there are, the signed probability of the rarer bit, weight."""
+        if self.above is not None and depth < LOCAL_DEPTH:
+            return self.above.find(nodes, depth)
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        slot, tag = _slots(nodes, depth, self.slot_bits)
+        keys = slot.astype(np.uint64) << _U(32) | tag
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[place] == keys)
+        return hit, self.rare[place[hit]].astype(np.float64), self.weight[place[hit]]
 
     def log10_of(self, grams: np.ndarray) -> np.ndarray:
         """Log10 of the probability of each gram's last byte after the others."""
@@ -214,38 +230,16 @@ class ContextModel:
             one = ((byte >> (7 - j)) & 1).astype(bool)
             mixed, deeper = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
             for depth in range(self.depth, -1, -1):
-                key = grams >> _U(8) << _U(8) & _U((1 << (8 * (depth + 1))) - 1) | part
-                slot, tag = _slots(key, depth, self.slot_bits)
-                hit = np.flatnonzero(self.tag[slot] == tag)
-                slot = slot[hit]
-                rare = self.rare[slot].astype(np.float64)
-                if (rare > 1.5).any():  # an empty slot that has the tag by chance
-                    hit, slot, rare = hit[rare < 1.5], slot[rare < 1.5], rare[rare < 1.5]
+                keys = grams >> _U(8) << _U(8) & _U((1 << (8 * (depth + 1))) - 1) | part
+                hit, rare, weight = self.find(keys, depth)
                 estimate = np.abs(rare)
                 estimate = np.where((rare > 0) == one[hit], estimate, 1 - estimate)
-                weight = self.weight[slot]
-                # the deepest context that has a slot predicts by itself
+                # the deepest context that there is predicts by itself
                 mixed[hit] = np.where(deeper[hit], (weight * estimate + mixed[hit]) / (weight + 1), estimate)
                 deeper[hit] = True
             total += np.log10(mixed)
         return total
 
-    def cached_log10(self, grams: np.ndarray) -> np.ndarray:
-        """The same, looking up grams that the worker has met lately."""
-        if self._cached is None:
-            self._cached = np.full(1 << _CACHE_BITS, (1 << 64) - 1, np.uint64), np.zeros(1 << _CACHE_BITS)
-        keys, values = self._cached
-        place = (grams * _HASH >> _U(64 - _CACHE_BITS)).astype(np.int64)
-        new = keys[place] != grams
-        result = values[place]
-        if new.any():
-            fresh, back = np.unique(grams[new], return_inverse=True)
-            found = np.concatenate([self.log10_of(fresh[i : i + _AT_ONCE]) for i in range(0, len(fresh), _AT_ONCE)])
-            result[new] = found[back]
-            at = (fresh * _HASH >> _U(64 - _CACHE_BITS)).astype(np.int64)
-            keys[at], values[at] = fresh, found
-        return result
-
 
 def _count_grams(depth: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,84 +269,249 @@ def _count_grams(depth: int):
     return count
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grams and counts, sorted by their nearest context bytes, in pieces that hold whole subtrees."""
-    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        grams = np.concatenate((grams, batch.column(0).to_numpy().view(np.uint64)))
-        counts = np.concatenate((counts, batch.column(1).to_numpy()))
-        if len(grams) >= _SUBTREE_GRAMS:
-            near = grams >> _U(8) & _U((1 << (8 * LOCAL_DEPTH)) - 1)
-            cut = int(np.flatnonzero(near != near[-1])[-1]) + 1 if (near != near[-1]).any() else 0
-            if cut:
-                yield grams[:cut], counts[:cut]
-                grams, counts = grams[cut:], counts[cut:]
-    if len(grams):
-        yield grams, counts
-
-
-def _weigh_subtrees(depth: int, slot_bits: int, shared):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grams, counts in _subtrees(batches):
-            weighed = weigh({d: level_counts(grams, counts, d) for d in range(LOCAL_DEPTH, depth + 1)}, None)
-            yield from node_rows(weighed, shared.value, slot_bits)
-            nodes, *_, mixed = weighed[LOCAL_DEPTH]
-            top, place = np.unique(parent_keys(nodes, LOCAL_DEPTH), return_inverse=True)
-            children = np.bincount(place, weights=mixed, minlength=len(top))
-            # what the nodes above need, under numbers below zero
-            slot, none = pa.array(-1 - top.astype(np.int64)), [pa.nulls(len(top), f.type) for f in list(NODE)[1:4]]
-            yield pa.RecordBatch.from_arrays([slot, *none, pa.array(children)], schema=NODE)
-
-    return rows
-
-
-def fit(texts: DataFrame, *, text: str = "text", depth: int = DEPTH, slot_bits: int = SLOT_BITS) -> ContextModel:
-    """Learn from all rows' whole texts; null counts as empty, and no row gives a model without nodes.
-
-    The driver gets one row per slot (at most 2**slot_bits) and the nodes of up to two context bytes.
-    """
-    grams = texts.select(F.col(f"`{text}`")).mapInArrow(_count_grams(depth), "gram long, n long")
-    grams = materialise(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    ends = lambda gram: gram.bitwiseAND(F.lit((1 << (8 * LOCAL_DEPTH)) - 1))
-    short = grams.groupBy(ends(F.col("gram")).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    if not short.num_rows:
-        return ContextModel(depth, slot_bits, *(np.zeros(0, t) for t in (np.int64, np.int64, np.float32)))
-    counted = short.column("gram").to_numpy().view(np.uint64), short.column("n").to_numpy()
-    levels = {d: level_counts(*counted, d) for d in range(LOCAL_DEPTH)}
-    shared = texts.sparkSession.sparkContext.broadcast(levels[LOCAL_DEPTH - 1])
-    # grams with the same nearest context bytes meet in a task
-    near = ends(F.shiftright("gram", 8))
-    sorted_grams = grams.repartition(near).sortWithinPartitions(near)
-    nodes = sorted_grams.mapInArrow(_weigh_subtrees(depth, slot_bits, shared), NODE_SCHEMA)
-    kept = nodes.groupBy("slot").agg(
-        F.max("rank").alias("rank"),
-        F.max_by("payload", "rank").alias("payload"),
-        F.max_by("weight", "rank").alias("weight"),
-        F.sum("children").alias("children"),
+def _packed(values: np.ndarray) -> bytes:
+    """Rising numbers as compressed differences, byte by byte."""
+    return zlib.compress(np.diff(values, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel())
+
+
+def _buckets(grams: np.ndarray) -> np.ndarray:
+    """Grams with the same nearest context bytes share a bucket."""
+    near = grams >> _U(8) & _U((1 << (8 * LOCAL_DEPTH)) - 1)
+    return (near * _HASH >> _U(64 - _BUCKET_BITS)).astype(np.int32)
+
+
+class _Batch:
+    """Pieces of texts and their distinct grams, with how often learning texts have them."""
+
+    def __init__(self, number: int, depth: int):
+        self.number, self.depth, self.bytes = number, depth, 0
+        self.pieces: list[tuple[int, bytes]] = []
+        self.new: dict[bool, list] = {False: [], True: []}
+        self.new_bytes = self.held = 0
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, row: int, before: bytes, body: bytes, held_out: bool) -> None:
+        self.pieces.append((row, before + body))
+        self.new[held_out].append((row, before, body))
+        self.bytes += len(body)
+        self.new_bytes += len(body)
+        if self.new_bytes >= _CHUNK:
+            self.count()
+
+    def count(self) -> None:
+        for held_out, items in self.new.items():
+            if items:
+                grams = np.sort(_grams(items, self.depth))
+                first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+                times = np.diff(np.append(first, len(grams)))
+                self.keys.append(grams[first])
+                self.counts.append(np.zeros_like(times) if held_out else times)
+                self.held += len(first)
+        self.new, self.new_bytes = {False: [], True: []}, 0
+        if self.held > 2 * _BATCH_GRAMS:
+            self.merge()
+
+    def merge(self) -> None:
+        key, n = merged(self.keys, self.counts)
+        self.keys, self.counts, self.held = [key], [n], len(key)
+
+    @property
+    def full(self) -> bool:
+        return self.bytes >= _BATCH_BYTES or self.held >= _BATCH_GRAMS and len(self.keys) == 1
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.count()
+        for at in range(0, len(self.pieces), _TEXTS):
+            rows, data = zip(*self.pieces[at : at + _TEXTS], strict=True)
+            yield _batch(batch=pa.array([self.number] * len(rows), pa.int64()), row=pa.array(rows, pa.int64()), data=pa.array(data, pa.binary()))
+        self.merge()
+        grams, counts = self.keys[0], self.counts[0]
+        bucket = _buckets(grams)
+        order = np.argsort(bucket, kind="stable")
+        grams, counts, bucket = grams[order], counts[order], bucket[order]
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        ends = np.append(starts[1:], len(grams))
+        for at in range(0, len(starts), 1024):
+            spans = list(zip(starts[at : at + 1024].tolist(), ends[at : at + 1024].tolist(), strict=True))
+            yield _batch(
+                batch=pa.array([self.number] * len(spans), pa.int64()),
+                bucket=pa.array(bucket[starts[at : at + 1024]], pa.int32()),
+                grams=pa.array([_packed(grams[a:b]) for a, b in spans], pa.binary()),
+                counts=pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in spans], pa.binary()),
+            )
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (bucket, batch, grams, counts) that come by bucket, in pieces that hold whole buckets."""
+    held, size, last = [], 0, None
+    for part in batches:
+        for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            if row[0] != last and size >= 8 * _SUBTREE_GRAMS:
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += len(row[2])
+            last = row[0]
+    if held:
+        yield held
+
+
+def _weighed(group: list[tuple], depth: int) -> tuple[np.ndarray, dict[int, tuple]]:
+    """All distinct grams of some buckets, and the weighed subtrees of those that learning texts have."""
+    keys, counts, held = [], [], 0
+    for _, _, grams, times in group:
+        keys.append(_unpacked(grams))
+        counts.append(np.frombuffer(zlib.decompress(times), np.int64))
+        held += len(keys[-1])
+        if held > _MERGE:
+            key, n = merged(keys, counts)
+            keys, counts, held = [key], [n], 0
+    key, n = merged(keys, counts)
+    seen, n = key[n > 0], n[n > 0]
+    return key, weigh({d: level_counts(seen, n, d) for d in range(LOCAL_DEPTH, depth + 1)}, None) if len(seen) else {}
+
+
+def _top_nodes(depth: int):
+    """Counts and children's log probability of the nodes right above the buckets' subtrees."""
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            _, weighed = _weighed(group, depth)
+            if weighed:
+                nodes, zeros, ones, _, mixed = weighed[LOCAL_DEPTH]
+                top, place = np.unique(parent_keys(nodes, LOCAL_DEPTH), return_inverse=True)
+                sums = [np.bincount(place, weights=v, minlength=len(top)) for v in (zeros, ones, mixed)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(top.astype(np.int64)), *(pa.array(v.astype(np.int64)) for v in sums[:2]), pa.array(sums[2])],
+                    names=["node", "zeros", "ones", "children"],
+                )
+
+    return tops
+
+
+def _model_of(weighed: dict[int, tuple], above_level: tuple | None, depth: int, above: ContextModel | None = None) -> ContextModel:
+    parts = [pa.Table.from_batches(node_rows(weighed, above_level, SLOT_BITS))] if weighed else []
+    slot, payload, weight = (
+        parts[0].column(i).to_numpy() if parts else np.zeros(0, t) for i, t in ((0, np.int64), (2, np.int64), (3, np.float32))
     )
-    rows = kept.toArrow()
-    columns = [rows.column(c).fill_null(0).to_numpy() for c in ("slot", "rank", "payload", "weight")]
-    children = rows.column("children").fill_null(0).to_numpy()
-    top = columns[0] < 0
-    order = np.argsort(-1 - columns[0][top])
-    below = (-1 - columns[0][top])[order].astype(np.uint64), children[top][order]
-    upper = pa.Table.from_batches(node_rows(weigh(levels, below), None, slot_bits))
-    slot, rank, payload, weight = (np.concatenate((c[~top], upper.column(i).to_numpy())) for i, c in enumerate(columns))
-    last = np.argsort(rank, kind="stable")  # the highest rank is written last and stays
-    return ContextModel(depth, slot_bits, slot[last], payload[last], weight[last])
-
-
-SCORED = pa.schema(
+    return ContextModel(depth, SLOT_BITS, slot, payload, weight, above)
+
+
+def _score_grams(depth: int, shared):
+    """For each row of a bucket the scores of its grams, in their order."""
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, above = shared.value
+        for group in _groups(batches):
+            key, weighed = _weighed(group, depth)
+            model = _model_of(weighed, level, depth, above)
+            # grams with the same near bytes after each other look up the same nodes
+            found = np.concatenate([model.log10_of(key[i : i + _AT_ONCE]) for i in range(0, len(key), _AT_ONCE)])
+            found = found.astype(np.float32)
+            for at in range(0, len(group), 1024):
+                rows = group[at : at + 1024]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.binary()),
+                        pa.array([found[np.searchsorted(key, _unpacked(r[2]))].tobytes() for r in rows], pa.binary()),
+                    ],
+                    names=["batch", "grams", "scores"],
+                )
+
+    return scores
+
+
+def _sum_pieces(depth: int):
+    def sums(pieces: pa.Table, scored: pa.Table) -> pa.Table:
+        """Scores of a batch's pieces by row, from its grams' scores."""
+        grams = np.concatenate([_unpacked(g) for g in scored.column("grams").to_pylist()])
+        values = np.concatenate([np.frombuffer(v, np.float32) for v in scored.column("scores").to_pylist()])
+        order = np.argsort(grams)
+        grams, values = grams[order], values[order]
+        # most grams are found by their hash, the others by search
+        place = lambda g: (g * _HASH >> _U(64 - _TABLE_BITS)).astype(np.int64)
+        keys, table = np.full(1 << _TABLE_BITS, (1 << 64) - 1, np.uint64), np.zeros(1 << _TABLE_BITS, np.float32)
+        at = place(grams)
+        keys[at] = grams
+        own = keys[at] == grams
+        table[at[own]] = values[own]
+        rows, data = pieces.column("row").to_numpy(), pieces.column("data")
+        totals, held, size, first = np.zeros(len(rows)), [], 0, 0
+        for i, piece in enumerate(data):
+            piece = piece.as_py()
+            held.append((i, piece[:depth], piece[depth:]))
+            size += len(piece)
+            if size >= _CHUNK or i == len(rows) - 1:
+                found = _grams(held, depth)
+                at = place(found)
+                score = table[at].astype(np.float64)
+                other = np.flatnonzero(keys[at] != found)
+                score[other] = values[np.searchsorted(grams, found[other])]
+                ends = np.cumsum([len(body) for _, _, body in held])
+                totals[first : i + 1] = np.add.reduceat(score, np.concatenate(([0], ends[:-1])))
+                held, size, first = [], 0, i + 1
+        return pa.table({"_scored": pa.array(rows), "part": pa.array(totals)})
+
+    return sums
+
+
+def _upper(tops: pa.Table, depth: int) -> tuple[tuple | None, ContextModel]:
+    """The lowest level above the buckets' subtrees, and a model of all levels there."""
+    if not tops.num_rows:
+        return None, _model_of({}, None, depth)
+    node, zeros, ones, children = (tops.column(c).to_numpy() for c in ("node", "zeros", "ones", "children"))
+    order = np.argsort(node)
+    nodes, zeros, ones, children = node[order].astype(np.uint64), zeros[order], ones[order], children[order]
+    levels = {LOCAL_DEPTH - 1: (nodes, zeros, ones)}
+    for d in range(LOCAL_DEPTH - 1, 0, -1):
+        below, *counts = levels[d]
+        up, place = np.unique(parent_keys(below, d), return_inverse=True)
+        levels[d - 1] = (up, *(np.bincount(place, weights=c, minlength=len(up)).astype(np.int64) for c in counts))
+    return levels[LOCAL_DEPTH - 1], _model_of(weigh(levels, (nodes, children)), None, depth)
+
+
+def _row_scores(made: DataFrame, depth: int) -> DataFrame:
+    """Rows (_scored, score): log10 of the probability of each text and its end, from what ``_read`` makes.
+
+    The driver gets the nodes of two context bytes. A task holds the grams of some buckets, packed for
+    each batch of texts that has them.
+    """
+    spark = made.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = made.where("bucket is not null").select("bucket", "batch", "grams", "counts")
+    packed = packed.repartition(count, "bucket").sortWithinPartitions("bucket")
+    tops = packed.mapInArrow(_top_nodes(depth), "node long, zeros long, ones long, children double")
+    sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "children")]
+    shared = spark.sparkContext.broadcast(_upper(tops.groupBy("node").agg(*sums).toArrow(), depth))
+    scored = packed.mapInArrow(_score_grams(depth, shared), "batch long, grams binary, scores binary")
+    pieces = made.where("data is not null").select("batch", "row", "data")
+    parts = pieces.groupBy("batch").cogroup(scored.groupBy("batch")).applyInArrow(_sum_pieces(depth), "_scored long, part double")
+    return parts.groupBy("_scored").agg(F.sum("part").alias("score"))
+
+
+READ = pa.schema(
     [("word", pa.int64()), ("learned", pa.int64()), ("rows", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
     + [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64())]
-    + [("bytes", pa.int64()), ("score", pa.float64())]
+    + [("bytes", pa.int64()), ("batch", pa.int64()), ("data", pa.binary()), ("bucket", pa.int32())]
+    + [("grams", pa.binary()), ("counts", pa.binary())]
 )
-SCORED_SCHEMA = (
+READ_SCHEMA = (
     "word long, learned long, rows array<int>, times array<int>, row long, doc_id long, held_out boolean, "
-    "n_words long, bytes long, score double"
+    "n_words long, bytes long, batch long, data binary, bucket int, grams binary, counts binary"
 )
 
 
+def _batch(**columns: pa.Array) -> pa.RecordBatch:
+    size = len(columns["row"] if "row" in columns else columns["batch"])
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in READ], schema=READ)
+
+
 def _word_hash(word: bytes) -> int:
     from xxhash import xxh64_intdigest
 
@@ -360,10 +519,13 @@ def _word_hash(word: bytes) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _score(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: ContextModel = shared.value
+def _read(depth: int):
+    """Rows of texts, of words, of pieces of texts and of packed grams, from rows (doc_id, text, held_out)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 33
+        part = _Batch(number, depth)
         for batch in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
             ids, texts, held = (c.to_pylist() for c in batch.columns)
             words: dict[bytes, int] = {}
@@ -376,42 +538,39 @@ def _score(shared):
                 for word in found:
                     own[word] = own.get(word, 0) + 1
                 for word, n in own.items():
-                    number = words.setdefault(word, len(words))
-                    if number == len(learned):
+                    number_of = words.setdefault(word, len(words))
+                    if number_of == len(learned):
                         learned.append(0)
                     if not out:
-                        learned[number] += n
-                    entries.extend((number, i, n))
+                        learned[number_of] += n
+                    entries.extend((number_of, i, n))
                 sizes.append(len(found))
                 spelled.append(b" ".join(found))
-            scores = np.zeros(len(texts))
-            for items, grams in gram_batches(spelled, model.depth):
-                ends = np.cumsum([len(body) for _, _, body in items])
-                sums = np.add.reduceat(model.cached_log10(grams), np.concatenate(([0], ends[:-1])))
-                np.add.at(scores, [i for i, _, _ in items], sums)
             n = len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, f.type) for f in list(SCORED)[:4]]
-                + [
-                    pa.array(range(row, row + n), pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()),
-                    pa.array(sizes, pa.int64()), pa.array([len(s) for s in spelled], pa.int64()), pa.array(scores),
-                ],
-                schema=SCORED,
+            yield _batch(
+                row=pa.array(range(row, row + n), pa.int64()), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()),
+                n_words=pa.array(sizes, pa.int64()), bytes=pa.array([len(s) for s in spelled], pa.int64()),
             )
+            for i, before, body in _items(spelled, depth):
+                part.add(row + i, before, body, bool(held[i]))
+                if part.full:
+                    yield from part.rows()
+                    number += 1
+                    part = _Batch(number, depth)
             if entries:
-                number, rows, times = np.frombuffer(entries, np.int32).reshape(-1, 3).T
-                order = np.argsort(number, kind="stable")
-                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(number)))), pa.int32())
+                word_of, rows, times = np.frombuffer(entries, np.int32).reshape(-1, 3).T
+                order = np.argsort(word_of, kind="stable")
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(word_of)))), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (rows, times)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(_word_hash, words), pa.int64()), pa.array(learned, pa.int64()), *lists]
-                    + [pa.array(np.full(len(words), row))]
-                    + [pa.nulls(len(words), f.type) for f in list(SCORED)[5:]],
-                    schema=SCORED,
-                )
+                yield _batch(
+                    word=pa.array(map(_word_hash, words), pa.int64()), learned=pa.array(learned, pa.int64()),
+                    rows=lists[0], times=lists[1], row=pa.array(np.full(len(words), row)),
+                )
             row += n
+        if part.pieces:
+            yield from part.rows()
 
-    return score
+    return read
 
 
 def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,11 +608,11 @@ def score_texts(docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), held_out.alias("held_out")
     )
-    model = fit(rows.where("not held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = materialise(rows.mapInArrow(_score(shared), SCORED_SCHEMA), "scored")
-    texts = scored.where("word is null").select("row", "doc_id", "held_out", "n_words", "bytes", "score")
-    lists = scored.where("word is not null").select("word", "learned", "row", "rows", "times")
+    made = materialise(rows.mapInArrow(_read(DEPTH), READ_SCHEMA), "read")
+    texts = made.where("n_words is not null").select("row", "doc_id", "held_out", "n_words", "bytes")
+    texts = texts.join(_row_scores(made, DEPTH), F.col("row") == F.col("_scored")).drop("_scored")
+    texts = materialise(texts, "scored")
+    lists = made.where("word is not null").select("word", "learned", "row", "rows", "times")
     counts = lists.groupBy(F.col("word").alias("_word")).agg(F.sum("learned").alias("count")).where("count > 0")
     counts = materialise(counts, "words")
     size = counts.agg(F.sum("count").alias("words"), F.count("*").alias("distinct")).first()
