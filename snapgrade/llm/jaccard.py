@@ -14,8 +14,8 @@ of each (their prefixes).
   a shingle are filtered by size and by the positions at which they meet, then expanded to their
   members, which are verified on their whole sets.
 * First each shingle's list is compared with one group of it only, which links most of a family of near
-  copies in linear work. Then only pairs of different components are left to compare, and all of
-  these are.
+  copies in linear work. Then only pairs of different components are left to compare, set by set, and all
+  of these are that parity marks of the sets don't rule out.
 
 Hashes below the heavy ones are compared by 44 bits or more (12 to choose a slice, 32 in it).
 """
@@ -23,6 +23,8 @@ Hashes below the heavy ones are compared by 44 bits or more (12 to choose a slic
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,10 @@ BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCUMENTS = 1 << 15
 SLICES = 1 << 12  # at least
 SLICE_SHINGLES = 1 << 23
+STAR_ROUNDS = 2
+MARK_WORDS = 8  # 64-bit words of the parity marks of a set
 _PIECE_BYTES = 2 << 20  # of text hashed at once
+_MOST = (1 << 32) - 1
 _OWN, _META = -1, -2  # rows of a block that no slice gets: heavy shingles, and facts about its documents
 
 _U64 = np.uint64
@@ -200,10 +205,6 @@ def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _slice_ids(slices: np.ndarray | int, low: np.ndarray) -> np.ndarray:
-    return (np.asarray(slices).astype(np.uint64) << _U64(32) | low.astype(np.uint64)).astype(np.int64)
-
-
 class Blocks:
     """Documents' distinct shingles, packed by slice for up to a number of documents and shingles at a time."""
 
@@ -297,17 +298,31 @@ def _shared(group: pa.Table) -> pa.Table:
         at += len(mine)
         keep = number > 1
         if keep.any():
-            ids = _slice_ids(slice_id, mine[keep])
-            rows.append((block, slice_id, owners[keep].tobytes(), ids.tobytes(), number[keep].astype(np.int64).tobytes(), None))
+            few = np.minimum(number[keep], _MOST).astype(np.uint32)
+            rows.append((block, slice_id, owners[keep].tobytes(), mine[keep].tobytes(), few.tobytes(), None))
     return pa.Table.from_batches([_block_rows(rows)] if rows else [], schema=_BLOCK_ARROW)
 
 
-SETS = "doc_id long, n long, set string, alone long, shingles array<long>"
+SETS = "doc_id long, n long, set string, alone long, shingles array<long>, marks array<long>"
 _SETS_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.string()), ("alone", pa.int64()), ("shingles", pa.list_(pa.int64()))]
+    [
+        ("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.string()), ("alone", pa.int64()),
+        ("shingles", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())),
+    ]
 )
 
 
+def _marks(docs: np.ndarray, shingles: np.ndarray, count: int) -> pa.Array:
+    """Per document, for each of some classes of shingles, whether it has an odd number of them."""
+    bits = 64 * MARK_WORDS
+    cell = docs.astype(np.int64) * bits + (_mix(shingles.view(np.uint64)) % _U64(bits)).astype(np.int64)
+    cells, number = np.unique(cell, return_counts=True)
+    words = np.zeros(count * MARK_WORDS, np.uint64)
+    odd = cells[number % 2 == 1]
+    np.bitwise_or.at(words, odd // 64, _U64(1) << (odd % 64).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, MARK_WORDS), pa.int32()), pa.array(words.view(np.int64)))
+
+
 def _assemble(percent: int) -> Callable[[pa.Table], pa.Table]:
     def assemble(group: pa.Table) -> pa.Table:
         """A block's documents, those that can have a partner with their shared shingles in the global order."""
@@ -317,11 +332,17 @@ def _assemble(percent: int) -> Callable[[pa.Table], pa.Table]:
         ids, valid = np.frombuffer(meta["ids"], np.int64), np.frombuffer(meta["docs"], np.uint8).astype(bool)
         names = np.frombuffer(meta["shingles"], np.uint64).reshape(2, -1)
         parts = [r for r in rows if r["slice"] != _META]
-        take = lambda column, kind: np.concatenate([np.frombuffer(r[column], kind) for r in parts])
-        docs, shingles = take("docs", np.uint16), take("shingles", np.int64)
+        docs = np.concatenate([np.frombuffer(r["docs"], np.uint16) for r in parts])
+        shingles = np.concatenate(
+            [
+                np.frombuffer(r["shingles"], np.int64) if r["slice"] == _OWN
+                else np.frombuffer(r["shingles"], np.uint32).astype(np.int64) | r["slice"] << 32
+                for r in parts
+            ]
+        )
         # heavy shingles come last
         counts = np.concatenate(
-            [np.frombuffer(r["counts"], np.int64) if r["counts"] is not None else np.full(len(r["docs"]) // 2, 1 << 62) for r in parts]
+            [np.frombuffer(r["counts"], np.uint32) if r["counts"] is not None else np.full(len(r["docs"]) // 2, _MOST + 1) for r in parts]
         )
         alone = n - np.bincount(docs, minlength=len(n))
         able = (alone <= n - (percent * n + 99) // 100) & (n > 0)
@@ -330,10 +351,11 @@ def _assemble(percent: int) -> Callable[[pa.Table], pa.Table]:
         docs, shingles = docs[keep][order], shingles[keep][order]
         bounds = np.concatenate(([0], np.cumsum(np.bincount(docs, minlength=len(n)))))
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shingles, pa.int64()), mask=pa.array(~able))
+        marks = _marks(docs, shingles, len(n))
         return pa.Table.from_arrays(
             [
                 pa.array(ids, pa.int64(), mask=~valid), pa.array(n, pa.int64()),
-                pa.array([f"{a:016x}{b:016x}" for a, b in names.T.tolist()], pa.string()), pa.array(alone, pa.int64()), lists,
+                pa.array([f"{a:016x}{b:016x}" for a, b in names.T.tolist()], pa.string()), pa.array(alone, pa.int64()), lists, marks,
             ],
             schema=_SETS_ARROW,
         )
@@ -348,7 +370,7 @@ def shingle_sets(
 
     ``n`` is the number of distinct shingles, ``set`` names the set (equal sets have equal names), ``alone``
     counts the shingles that no other document has. ``shingles`` are the others, in the global order;
-    null where ``alone`` leaves no room for a partner of the similarity asked for.
+    null where ``alone`` leaves no room for a partner of the similarity asked for. ``marks`` are parity bits of them.
     """
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     heavy, total = _heavy_counters(texts, words)
@@ -372,6 +394,15 @@ def _can_meet(a: str, b: str, percent: int) -> Column:
     return size & (behind >= _required(na, nb, percent))
 
 
+def _marks_allow(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be similar by their marks: each class in which they differ, and each shingle
+    that one of them has alone, is a difference."""
+    differ = reduce(add, (F.bit_count(F.col(f"{a}.marks")[i].bitwiseXOR(F.col(f"{b}.marks")[i])) for i in range(MARK_WORDS)))
+    size = F.col(f"{a}.n") + F.col(f"{b}.n")
+    known = F.col(f"{a}.alone") + F.col(f"{b}.alone") + differ
+    return known <= size - 2 * _required(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that are similar."""
     side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
@@ -381,10 +412,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of every set that links reach; ``sets(set, n, alone, shingles)``, each set once."""
+    """(node, root) of every set that links reach; ``sets(set, n, alone, shingles, marks)``, each set once."""
     reach = (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("alone")).cast("int")
     prefixed = sets.withColumn("prefix", F.slice("shingles", 1, F.greatest(reach, F.lit(0))))
-    groups = prefixed.groupBy("n", "alone", "prefix").agg(F.min("set").alias("group"), F.count(F.lit(1)).alias("members"))
+    groups = prefixed.groupBy("n", "alone", "prefix").agg(
+        F.min("set").alias("group"), F.count(F.lit(1)).alias("members")
+    )
     groups = materialise(groups, "groups")
     at = ["n", "alone", "prefix"]
     member = materialise(prefixed.join(groups, at).select("set", "group"), "members")
@@ -392,38 +425,66 @@ def similar_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         "shingle", "group", "members", "n", (F.col("at") + F.col("alone")).alias("pos")
     )
     # lists of more than one set
-    spot = F.struct(F.xxhash64("group").alias("h"), "group", "n", "pos")
-    first = entries.groupBy("shingle").agg(F.min(spot).alias("f"), F.sum("members").alias("size"))
+    first = entries.groupBy("shingle").agg(F.min(_spot("group")).alias("f"), F.sum("members").alias("size"))
     entries = materialise(
         entries.join(first.where("size > 1").select("shingle", "f"), "shingle").select("shingle", F.struct("group", "n", "pos").alias("e"), "f"),
         "entries",
     )
-    # linear work: every list against its first group, every group's members against its first set
+    # linear work: every list against one group of it, every group's members against its first set
     starred = entries.where((F.col("e.group") != F.col("f.group")) & _can_meet("e", "f", percent))
     starred = starred.select(F.col("f.group").alias("a"), F.col("e.group").alias("group")).distinct().join(member, "group")
     inside = member.where("set <> `group`").select(F.col("group").alias("a"), F.col("set").alias("b"))
     pairs = starred.select("a", F.col("set").alias("b")).unionByName(inside).distinct()
     links = materialise(_verified(pairs, sets, percent), "links")
-    # what is left: pairs of different components in one list or one group
-    so_far = materialise(components(links), "components")
-    parts = member.join(so_far.withColumnRenamed("node", "set"), "set", "left").select(
-        "set", "group", F.coalesce("root", "set").alias("part")
+    # the same again, every list against one of its components, drawn anew
+    for turn in range(STAR_ROUNDS):
+        parts, spread = _open_lists(entries, member, links)
+        drawn = _spot("e.group", "e.part", "shingle", F.lit(turn), part=F.col("e.part"))
+        first = spread.groupBy("shingle").agg(F.min(drawn).alias("f"))
+        starred = spread.join(first, "shingle").where((F.col("e.part") != F.col("f.part")) & _can_meet("e", "f", percent))
+        links = materialise(links.unionByName(_verified(_expanded(starred, parts, "f", "e"), sets, percent)), "links")
+    # what is left: pairs of different components in one list
+    parts, spread = _open_lists(entries, member, links)
+    marked = parts.join(sets.select("set", "alone", "marks"), "set").select(
+        F.col("group").alias("_group"), F.col("part").alias("_part"), "set", "alone", "marks"
+    )
+    spread = spread.join(marked, (F.col("e.group") == F.col("_group")) & (F.col("e.part") == F.col("_part")))
+    side = lambda name: spread.select("shingle", F.struct("e.n", "e.pos", "e.part", "set", "alone", "marks").alias(name))
+    may = (F.col("x.part") < F.col("y.part")) & _can_meet("x", "y", percent) & _marks_allow("x", "y", percent)
+    across = side("x").join(side("y"), "shingle").where(may)
+    left = across.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    return components(links.unionByName(_verified(left, sets, percent)))
+
+
+def _spot(group: str, *seed: str | Column, part: Column | None = None) -> Column:
+    """A group's place in a list, for the least by hash of the seed."""
+    prefix = group[: -len("group")]
+    columns = [F.col(f"{prefix}{c}").alias(c) for c in ("group", "n", "pos")]
+    return F.struct(F.xxhash64(*(seed or (group,))).alias("h"), *columns, *([part.alias("part")] if part is not None else []))
+
+
+def _open_lists(entries: DataFrame, member: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set, group, part) by the components of the links so far, and the lists in which several parts meet."""
+    roots = components(links).withColumnRenamed("node", "set")
+    parts = materialise(
+        member.join(roots, "set", "left").select("set", "group", F.coalesce("root", "set").alias("part")), "parts"
     )
-    parts = materialise(parts, "parts")
     kinds = parts.select("group", "part").distinct()
-    spread = entries.select("shingle", "e").join(kinds, F.col("e.group") == F.col("group")).select("shingle", "e", "part")
-    open_lists = spread.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    spread = spread.join(open_lists.select("shingle"), "shingle", "left_semi").select(
+    spread = entries.select("shingle", "e").join(kinds, F.col("e.group") == F.col("group")).select(
         "shingle", F.struct("e.group", "e.n", "e.pos", "part").alias("e")
     )
-    spread = materialise(spread, "open")
-    left, right = spread.withColumnRenamed("e", "x"), spread.withColumnRenamed("e", "y")
-    across = left.join(right, "shingle").where((F.col("x.part") < F.col("y.part")) & _can_meet("x", "y", percent))
-    across = across.select("x.group", "x.part", F.col("y.group").alias("group_b"), F.col("y.part").alias("part_b")).distinct()
-    of = lambda g, p, s: parts.select(F.col("group").alias(g), F.col("part").alias(p), F.col("set").alias(s))
-    pairs = across.join(of("group", "part", "a"), ["group", "part"]).join(of("group_b", "part_b", "b"), ["group_b", "part_b"])
-    more = _verified(pairs.select("a", "b"), sets, percent)
-    return components(links.unionByName(more))
+    several = spread.groupBy("shingle").agg(F.min("e.part").alias("low"), F.max("e.part").alias("high")).where("low <> high")
+    return parts, materialise(spread.join(several.select("shingle"), "shingle", "left_semi"), "open")
+
+
+def _expanded(met: DataFrame, parts: DataFrame, x: str, y: str) -> DataFrame:
+    """Pairs (a, b) of sets from pairs of (group, part) that meet."""
+    of = lambda side, s: parts.select(
+        F.col("group").alias(f"group_{side}"), F.col("part").alias(f"part_{side}"), F.col("set").alias(s)
+    )
+    ends = met.select(*(F.col(f"{c}.{f}").alias(f"{f}_{side}") for side, c in (("x", x), ("y", y)) for f in ("group", "part")))
+    pairs = ends.distinct().join(of("x", "a"), ["group_x", "part_x"]).join(of("y", "b"), ["group_y", "part_y"])
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(
@@ -440,7 +501,7 @@ def jaccard_components(
     """
     rows = materialise(shingle_sets(docs, doc_id=doc_id, text=text, words=words, percent=percent), "sets")
     able = rows.where(F.col("shingles").isNotNull())
-    sets = able.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "alone", "shingles")))
+    sets = able.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "alone", "shingles", "marks")))
     roots = materialise(similar_sets(materialise(sets, "distinct-sets"), percent), "roots")
     known = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
     placed = known.join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set"))
