@@ -269,7 +269,8 @@ def _pivot_search(
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "ref_id": [], "score": []})
+            # ids keep their type: an empty column of floats is no column of strings
+            return pd.DataFrame({"query_id": _ids(left["query_id"])[:0], "ref_id": _ids(right["ref_id"])[:0], "score": np.zeros(0)})
         return _nearest(
             _ids(left["query_id"]), _unit(_matrix(left["vector"])),
             _ids(right["ref_id"]), _unit(_matrix(right["vector"])), k,

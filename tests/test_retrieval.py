@@ -66,6 +66,17 @@ def test_few_and_directionless_references(spark, way):
         assert rows(found.withColumn("similarity", F.round("similarity", 6))) == brute_force(queries, refs, 3)
 
 
+@pytest.mark.parametrize("way", WAYS)
+def test_ids_may_be_strings(spark, way):
+    rng = np.random.default_rng(3)
+    queries, refs = clustered(rng, 8), clustered(rng, 90)
+    asked, known = sides(spark, queries, refs)
+    named = lambda df, c: df.withColumn(c, F.format_string("%04d", F.col(c)))
+    found = retrieval.topk_cosine(named(asked, "query_id"), named(known, "ref_id"), k=3, **WAYS[way])
+    wanted = [(f"{q:04d}", f"{r:04d}", s, rank) for q, r, s, rank in brute_force(queries, refs, 3)]
+    assert rows(found.withColumn("similarity", F.round("similarity", 6))) == sorted(wanted, key=repr)
+
+
 def test_no_references(spark):
     queries, refs = sides(spark, [[1.0, 0.0]], [[1.0, 0.0]])
     assert retrieval.topk_cosine(queries, refs.filter("false")).collect() == []
