@@ -140,8 +140,8 @@ def labelled_change_report(
     Every planet with a host and a change gives at least one row and names come first in the
     order, so the ``limit`` lowest such planets hold the whole result. They are found with semi
     joins over key columns; the wide rows then meet only these (``limit`` rows, at most
-    ``REPORT_PLANETS``) as a broadcast, all in one plan, and a planet with very many change rows is
-    never shuffled.
+    ``REPORT_PLANETS``) as a broadcast, all in one plan. A planet may have very many hosts, so how these
+    meet the change rows is left to Spark.
     """
     if order[0] != "planet_name":
         raise ValueError("the report is ordered by planet_name first")
@@ -159,9 +159,8 @@ def labelled_change_report(
     wanted = lowest.select(F.col("id").alias("planet_id"), *[c for c in lowest.columns if c != "id"])
     placed = links.select("planet_id", "star_id").join(F.broadcast(wanted), "planet_id").join(hosts, "star_id")
     first = placed.withColumn("id", F.col("planet_id"))
-    # a planet has few hosts; its rows meet the change rows where these are
     return (
-        changes.join(F.broadcast(first), "planet_name")
+        changes.join(first, "planet_name")
         .select(*changes.columns, *[c for c in planets.columns if c != "planet_name"], "planet_id", "star_id", "host_star")
         .orderBy(*order)
         .limit(limit)

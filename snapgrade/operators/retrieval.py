@@ -10,7 +10,8 @@ The caller names the way; the default scales with both sides:
 * ``broadcast_queries``: every task ranks its references for all queries, k rows per query and
   task are shuffled and merged.
 
-A broadcast is refused, not replaced, when its side is above the budget.
+A broadcast is refused, not replaced, when its side is above the budget. The cells can also be stored with
+the references (``cell_index``), and an approximate search by hashing is in ``hashed_search``.
 
 Similarities are ranked after rounding to 9 decimals, ties by id. A vector without a direction
 has no similarity (null) and comes last.
@@ -105,7 +106,7 @@ def _fits(df: DataFrame, width: int, budget: int) -> bool:
     return df.select(F.lit(1)).limit(most + 1).count() <= most
 
 
-def _pair_schema(queries: DataFrame, refs: DataFrame) -> T.StructType:
+def pair_schema(queries: DataFrame, refs: DataFrame) -> T.StructType:
     return T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -156,19 +157,15 @@ def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
-def _choose_pivots(refs: DataFrame, count: int) -> np.ndarray:
+def choose_pivots(refs: DataFrame, count: int) -> np.ndarray:
     """A repeatable choice spread over the table: the lowest id hashes (``count`` rows)."""
     directed = refs.filter(F.exists("vector", lambda x: x != 0))
     chosen = directed.select("vector").orderBy(F.xxhash64("ref_id"), "ref_id").limit(count).toPandas()
     return _unit(_matrix(chosen["vector"])) if len(chosen) else np.zeros((0, 0))
 
 
-def _cells(refs: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, pd.DataFrame]:
-    """References with their cell, and per cell: rows, widest angle, the k smallest angles.
-
-    Each task sums its cells up to one row per cell, so the summary has at most
-    pivots × tasks rows before its aggregation and one row per pivot after it.
-    """
+def assigned_cells(refs: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """References (ref_id, vector) with the nearest pivot as their cell, and the angle to it."""
 
     @F.pandas_udf("cell int, angle double")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
@@ -179,13 +176,18 @@ def _cells(refs: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, pd.D
         angle = np.where(units.any(axis=1), angles[np.arange(len(cell)), cell], np.pi)
         return pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle})
 
-    assigned = materialise(
-        refs.select("ref_id", "vector", nearest("vector").alias("near")).select(
-            "ref_id", "vector", "near.cell", "near.angle"
-        ),
-        "cells",
+    return refs.select("ref_id", "vector", nearest("vector").alias("near")).select(
+        "ref_id", "vector", "near.cell", "near.angle"
     )
 
+
+def cell_summary(assigned: DataFrame, k: int) -> DataFrame:
+    """Per cell: rows, widest angle, the k smallest angles.
+
+    Each task sums its cells up to one row per cell, so the summary has at most
+    pivots × tasks rows before its aggregation and one row per pivot after it.
+    """
+
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: dict[int, list] = {}
         for batch in batches:
@@ -199,28 +201,44 @@ def _cells(refs: DataFrame, pivots: np.ndarray, k: int) -> tuple[DataFrame, pd.D
                 [(c, n, far, near) for c, (n, far, near) in rows.items()], columns=["cell", "rows", "far", "near"]
             )
 
-    partial = assigned.select("cell", "angle").mapInPandas(
-        summarise, "cell int, rows long, far double, near array<double>"
-    )
-    summary = partial.groupBy("cell").agg(
+    return merged_cells(assigned.select("cell", "angle").mapInPandas(summarise, CELL_SUMMARY), k)
+
+
+CELL_SUMMARY = "cell int, rows long, far double, near array<double>"
+
+
+def merged_cells(partial: DataFrame, k: int) -> DataFrame:
+    """One row per cell from summaries of parts of it."""
+    return partial.groupBy("cell").agg(
         F.sum("rows").alias("rows"),
         F.max("far").alias("far"),
         F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"),
     )
-    return assigned, summary.orderBy("cell").toPandas()
 
 
 def _pivot_search(
     queries: DataFrame, refs: DataFrame, k: int, schema: T.StructType, pivot_count: int, block_rows: int
 ) -> DataFrame:
-    pivots = _choose_pivots(refs, pivot_count)
+    pivots = choose_pivots(refs, pivot_count)
     if not len(pivots):
         # no reference has a direction: every similarity is null and the lowest ids win
         lowest = refs.select("ref_id").orderBy("ref_id").limit(k).agg(F.collect_list("ref_id")).scalar()
         return queries.withColumn("_lowest", lowest).select(
             "query_id", F.explode("_lowest").alias("ref_id"), F.lit(NO_SIMILARITY).alias("score")
         )
-    assigned, cells = _cells(refs, pivots, k)
+    assigned = materialise(assigned_cells(refs, pivots), "cells")
+    cells = cell_summary(assigned, k).orderBy("cell").toPandas()
+    return search_cells(queries, assigned, cells, pivots, k, schema, block_rows)
+
+
+def search_cells(
+    queries: DataFrame, assigned: DataFrame, cells: pd.DataFrame, pivots: np.ndarray, k: int, schema: T.StructType,
+    block_rows: int,
+) -> DataFrame:
+    """Pairs that hold the k nearest of every query; only the cells some query is sent to are read.
+
+    ``cells`` is the summary with one row per pivot at most, ``assigned`` has ref_id, vector and cell.
+    """
     cell_ids = cells["cell"].to_numpy()
     far = cells["far"].to_numpy()
     near_angle = np.concatenate([np.asarray(n, dtype=float) for n in cells["near"]])
@@ -244,27 +262,34 @@ def _pivot_search(
 
     routed = materialise(queries.select("query_id", "vector", F.explode(reachable("vector")).alias("cell")), "routed")
     demand = dict(map(tuple, routed.groupBy("cell").count().collect()))  # one row per pivot at most
-    chunks = [max(1, -(-demand.get(int(c), 0) // block_rows)) for c in cell_ids]
+    layout = [
+        (int(c), int(b), max(1, -(-demand[int(c)] // block_rows))) for c, b in zip(cell_ids, blocks) if int(c) in demand
+    ]
+    layout = F.broadcast(queries.sparkSession.createDataFrame(layout, "cell int, blocks int, chunks int"))
+    wanted = assigned.where(F.col("cell").isin(sorted(demand)))
+    return rank_blocks(routed, wanted, layout, ["cell"], k, schema)
 
-    spark = queries.sparkSession
-    layout = F.broadcast(
-        spark.createDataFrame(
-            [(int(c), int(b), int(q)) for c, b, q in zip(cell_ids, blocks, chunks)],
-            "cell int, blocks int, chunks int",
-        )
-    )
+
+def rank_blocks(
+    asked: DataFrame, known: DataFrame, layout: DataFrame, cell: Sequence[str], k: int, schema: T.StructType
+) -> DataFrame:
+    """The k nearest references of every query within each cell and block.
+
+    ``layout`` says into how many blocks a cell's references and into how many chunks its queries are cut; every
+    chunk meets every block in a task of bounded size.
+    """
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     query_side = (
-        routed.join(layout, "cell")
+        asked.join(layout, list(cell))
         .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
         .withColumn("block", F.explode(upto("blocks")))
-        .select("cell", "block", "chunk", "query_id", "vector")
+        .select(*cell, "block", "chunk", "query_id", "vector")
     )
     ref_side = (
-        assigned.join(layout, "cell")
+        known.join(layout, list(cell))
         .withColumn("block", F.pmod(F.xxhash64("ref_id"), F.col("blocks")).cast("int"))
         .withColumn("chunk", F.explode(upto("chunks")))
-        .select("cell", "block", "chunk", "ref_id", "vector")
+        .select(*cell, "block", "chunk", "ref_id", "vector")
     )
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -276,10 +301,25 @@ def _pivot_search(
             _ids(right["ref_id"]), _unit(_matrix(right["vector"])), k,
         )
 
-    at = ("cell", "block", "chunk")
+    at = (*cell, "block", "chunk")
     return query_side.groupBy(*at).cogroup(ref_side.groupBy(*at)).applyInPandas(rank, schema)
 
 
+def vector_width(df: DataFrame) -> int:
+    head = df.filter(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).head()
+    return head["n"] if head else 1
+
+
+def with_vectors(df: DataFrame, id_column: str, width: int) -> DataFrame:
+    """Ids and vectors; a missing vector is one without a direction."""
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), width)
+    return df.select(id_column, F.coalesce("vector", nothing).alias("vector"))
+
+
+def rows_of_block(width: int) -> int:
+    return max(1024, BLOCK_BYTES // (4 * width))
+
+
 STRATEGIES = ("pivots", "broadcast_refs", "broadcast_queries")
 
 
@@ -304,26 +344,22 @@ def topk_cosine(
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     if pivots < 1:
         raise ValueError("the pivot search needs a pivot")
-    schema = _pair_schema(queries, refs)
-    head = refs.filter(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).head()
-    width = head["n"] if head else 1
-    # a missing vector is one without a direction
-    nothing = F.array_repeat(F.lit(0.0).cast("float"), width)
-    queries = queries.select("query_id", F.coalesce("vector", nothing).alias("vector"))
-    refs = refs.select("ref_id", F.coalesce("vector", nothing).alias("vector"))
+    schema = pair_schema(queries, refs)
+    width = vector_width(refs)
+    queries, refs = with_vectors(queries, "query_id", width), with_vectors(refs, "ref_id", width)
     if refs.isEmpty():
-        return _ranked(queries.sparkSession.createDataFrame([], schema), k)
+        return ranked(queries.sparkSession.createDataFrame([], schema), k)
     if strategy == "pivots":
-        rows = block_rows or max(1024, BLOCK_BYTES // (4 * width))
-        return _ranked(_pivot_search(queries, refs, k, schema, pivots, rows), k)
+        rows = block_rows or rows_of_block(width)
+        return ranked(_pivot_search(queries, refs, k, schema, pivots, rows), k)
     side = refs if strategy == "broadcast_refs" else queries
     if not _fits(side, width, broadcast_bytes):
         raise ValueError(f"{strategy}: the side to broadcast is above {broadcast_bytes} bytes")
     rank = _rank_against_refs if strategy == "broadcast_refs" else _rank_for_queries
-    return _ranked(rank(queries, refs, k, schema), k)
+    return ranked(rank(queries, refs, k, schema), k)
 
 
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ref_id"))
     return (
         pairs.withColumn("rank", F.row_number().over(order))

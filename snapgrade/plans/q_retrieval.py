@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snapgrade import schemas
 from snapgrade.functions.vectors import text_to_vector, vector_to_text
-from snapgrade.operators import retrieval
+from snapgrade.operators import cell_index, hashed_search, retrieval
 from snapgrade.operators.dedupe import first_per_key
 from snapgrade.plans.registry import query, table
 from snapgrade.session import scratch_path
@@ -44,6 +44,31 @@ def topk_global_pivots(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(retrieval.topk_cosine(*_sides(spark, sf), pivots=32, block_rows=1024))
 
 
+@query("topk_stored_cells", _GLOBAL_SQL)
+def topk_stored_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from an index that two loads filled, the second of them tried twice."""
+    queries, refs = _sides(spark, sf)
+    base = scratch_path(spark, "cell-index")
+    early = F.pmod(F.xxhash64("ref_id"), F.lit(2)) == 0
+    cell_index.create(spark, base, refs.where(early), pivots=32)
+    cell_index.append(spark, base, refs.where(early), 1)
+    for _ in range(2):
+        cell_index.append(spark, base, refs.where(~early), 2)
+    return _shown(cell_index.search(spark, base, queries, block_rows=1024))
+
+
+@query("topk_lsh_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings")
+def topk_lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the search by hashing finds nine tenths of the exact search's rows or more."""
+    queries, refs = _sides(spark, sf)
+    exact = retrieval.topk_cosine(queries, refs, strategy="broadcast_refs").select("query_id", "ref_id")
+    found = hashed_search.topk_hashed(queries, refs).select("query_id", "ref_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "ref_id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough")
+    )
+
+
 def _own_label(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf, "embeddings")
     refs = vectors.select(F.col("label").alias("entity"), F.col("vec_id").alias("ref_id"), F.col("embedding").alias("vector"))

@@ -329,17 +329,11 @@ def _run_customers(spark: SparkSession, sf: str, tables: runs.RunTables) -> Data
     )
 
 
-_RUNS: dict[tuple[str, str], runs.RunTables] = {}
-
-
 def _finished_run(spark: SparkSession, sf: str) -> runs.RunTables:
-    """Tables of one run over this folder's customers, which several queries read."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _RUNS:
-        tables = runs.RunTables(scratch_path(spark, "run"))
-        _run_customers(spark, sf, tables)
-        _RUNS[key] = tables
-    return _RUNS[key]
+    """Tables of a run of its own over this folder's customers."""
+    tables = runs.RunTables(scratch_path(spark, "run"))
+    _run_customers(spark, sf, tables)
+    return tables
 
 
 @query(

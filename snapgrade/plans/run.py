@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from snapgrade import schemas
 from snapgrade.functions.text import content_text
-from snapgrade.operators import checks, drift, labels as label_ops, ledger, retrieval, texts
+from snapgrade.operators import cell_index, checks, drift, labels as label_ops, ledger, retrieval, texts
 from snapgrade.operators.batches import assign_batches
 from snapgrade.operators.dedupe import clean_keys, first_per_key
 from snapgrade.operators.diff import (
@@ -67,6 +67,9 @@ class RunTables:
     def state_path(self, run_id: int, name: str = "state") -> str:
         return f"{self.base}/{name}/run={run_id}"
 
+    def index_path(self) -> str:
+        return f"{self.base}/reference_cells"
+
 
 def ingest(
     spark: SparkSession,
@@ -141,7 +144,8 @@ def store_references(
 ) -> None:
     """Store the references that no earlier run stored, with the vectors of their content.
 
-    ``ask_vectors`` takes ``(batch, position, content)`` and gives ``(batch, position, embedding)``.
+    ``ask_vectors`` takes ``(batch, position, content)`` and gives ``(batch, position, embedding)``. The
+    references also become a load of the stored cell index.
     """
     stored = tables.before(spark, "references", run_id)
     fresh = materialise(load_references(rows, stored, **content), "references")
@@ -149,24 +153,48 @@ def store_references(
     found = fresh.join(vectors.select("batch", "position", "embedding"), ["batch", "position"])
     named = found.withColumns({"id": F.xxhash64("planet_name", "reference_name"), "created_utc": at})
     tables.write(named, "references", run_id, "references")
+    index_references(spark, tables, run_id)
+
+
+def _vectors(references: DataFrame) -> DataFrame:
+    return references.select(F.col("id").alias("ref_id"), F.col("embedding").alias("vector"))
+
+
+def index_references(spark: SparkSession, tables: RunTables, run_id: int) -> None:
+    """Put a run's references into the cell index, in place of an earlier attempt's."""
+    stored = tables.of_run(spark, "references", run_id)
+    base = tables.index_path()
+    if not cell_index.exists(spark, base):
+        if stored.isEmpty():
+            return
+        cell_index.create(spark, base, _vectors(stored))
+    cell_index.append(spark, base, _vectors(stored), run_id)
 
 
 def retrieve(
     spark: SparkSession, tables: RunTables, run_id: int, questions: DataFrame, *, name: str, at: Column,
     k: int = retrieval.TOP_K, **how,
 ) -> DataFrame:
-    """Log the nearest stored references of each question ``(name, vector)``; give ``(name, context)``."""
-    stored = materialise(
-        tables.read(spark, "references").filter(F.col("ingest_run_id") <= run_id).select(
-            F.col("id").alias("ref_id"), "reference_name", "content", F.col("embedding").alias("vector")
-        ),
-        "stored-references",
-    )
+    """Log the nearest stored references of each question ``(name, vector)``; give ``(name, context)``.
+
+    By default the stored cell index is searched, which reads the cells that questions are sent to; runs
+    whose references it lacks are added first. ``how`` names another way, as for ``topk_cosine``.
+    """
+    stored = tables.read(spark, "references").filter(F.col("ingest_run_id") <= run_id)
     asked = questions.select(F.col(name).alias("query_id"), "vector")
-    found = materialise(retrieval.topk_cosine(asked, stored.select("ref_id", "vector"), k, **how), "retrieved")
-    log = retrieval.retrieval_log(found, stored, run_id=run_id, entity="query_id").withColumn("retrieved_at", at)
+    if how:
+        found = retrieval.topk_cosine(asked, _vectors(stored), k, **how)
+    else:
+        indexed = cell_index.loads(spark, tables.index_path())
+        for r in stored.select("ingest_run_id").distinct().orderBy("ingest_run_id").collect():  # one row per run
+            if r.ingest_run_id not in indexed:
+                index_references(spark, tables, r.ingest_run_id)
+        found = cell_index.search(spark, tables.index_path(), asked, k, upto=run_id)
+    found = materialise(found, "retrieved")
+    named = stored.select(F.col("id").alias("ref_id"), "reference_name", "content")
+    log = retrieval.retrieval_log(found, named, run_id=run_id, entity="query_id").withColumn("retrieved_at", at)
     tables.write(log, "retrieval_log", run_id, "retrieval")
-    return retrieval.context_lists(found, stored, entity="query_id").withColumnRenamed("query_id", name)
+    return retrieval.context_lists(found, named, entity="query_id").withColumnRenamed("query_id", name)
 
 
 def change_batches(changes: DataFrame, *, name: str, size: int = LABEL_BATCH) -> DataFrame:

@@ -9,53 +9,51 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from snapgrade import schemas
 from snapgrade.functions.text import is_blank, json_field, split_first_comma, trim_all
 from snapgrade.operators.dedupe import first_per_key
+from snapgrade.sources.json_arrays import json_arrays
 
 Fields = Sequence[tuple[str, str, str]]
 
 
-def _elements(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed file: ``source_file``, and ``elements`` of its JSON array (null if it holds none).
-
-    A file is parsed as one value, so a damaged end, a second value behind the first or another
-    root than an array leave nothing of it, and its size is bounded by what one value may hold
-    (128 MB): a large snapshot lands as several files. Spark's readers pass over files of no bytes.
-    """
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
-    # inside brackets, what stands behind the root is an error or a second element
-    roots = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), F.lit("$"), "array<variant>")
-    array = F.when(F.size(roots) == 1, F.try_variant_get(F.get(roots, F.lit(0)), F.lit("$"), "array<variant>"))
-    return files.select("source_file", array.alias("elements"))
-
-
 def _fields_of(elements: DataFrame, fields: Fields) -> DataFrame:
     """A row per element. A missing key, a null or a value of another kind reads as null."""
-    rows = elements.select("source_file", F.posexplode("elements").alias("source_row", "_element"))
-    values = [json_field(F.col("_element"), key, kind).alias(name) for key, name, kind in fields]
-    return rows.select(*values, "source_file", F.col("source_row").cast("long"))
+    values = [json_field(F.col("element"), key, kind).alias(name) for key, name, kind in fields]
+    return elements.select(*values, "source_file", "source_row")
 
 
 def read_snapshot(spark: SparkSession, path: str, fields: Fields = schemas.SNAPSHOT_FIELDS) -> DataFrame:
     """Flat snapshot rows with ``source_file, source_row`` as input order.
 
-    Any file that is not one whole JSON array fails the job that reads it, by name: a snapshot
-    that is partly read would report its other keys as deleted.
+    Any file that is not one whole JSON array is refused by name: a snapshot that is partly read
+    would report its other keys as deleted.
     """
-    message = F.concat(F.lit("not a whole JSON array: "), "source_file")
-    whole = F.coalesce("elements", F.raise_error(message).cast("array<variant>"))
-    return _fields_of(_elements(spark, path).select("source_file", whole.alias("elements")), fields)
+    return _fields_of(_whole(json_arrays(spark, path)), fields)
+
+
+def _whole(elements: DataFrame) -> DataFrame:
+    # asked now: a check left in the plan would not see rows that a later filter drops first
+    lost = elements.filter(F.col("source_row").isNull()).first()
+    if lost is not None:
+        raise ValueError(f"not a whole JSON array: {lost.source_file}")
+    return elements
 
 
 def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
     """``source_file`` of the landed files that are no whole JSON array."""
-    return _elements(spark, path).filter(F.col("elements").isNull()).select("source_file")
+    return json_arrays(spark, path).filter(F.col("source_row").isNull()).select("source_file")
 
 
 def read_references(
     spark: SparkSession, path: str, entities: DataFrame, *, name: str = "planet_name",
-    fields: Fields = schemas.REFERENCE_FIELDS,
+    fields: Fields = schemas.REFERENCE_FIELDS, skip_unreadable: bool = True,
 ) -> DataFrame:
-    """Reference rows of known entities. Files that do not parse give no rows (see ``unreadable_files``)."""
-    rows = _fields_of(_elements(spark, path), fields)
+    """Reference rows of known entities.
+
+    A file that is no whole JSON array gives no rows (``unreadable_files`` lists them), or is refused with
+    ``skip_unreadable=False``. A sound file is read whole, however large it is.
+    """
+    elements = json_arrays(spark, path)
+    elements = elements.filter(F.col("source_row").isNotNull()) if skip_unreadable else _whole(elements)
+    rows = _fields_of(elements, fields)
     known = entities.select(F.col(name).alias("_known")).distinct()
     return rows.join(known, trim_all(rows["planet_name"]) == F.col("_known"), "left_semi")
 

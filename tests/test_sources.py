@@ -10,6 +10,7 @@ from snapgrade.operators import ledger
 from snapgrade.operators.dedupe import clean_keys, first_per_key
 from snapgrade.plans import run as runs
 from snapgrade.sources import landed, sinks
+from snapgrade.sources.json_arrays import json_arrays
 
 
 def test_snapshot_tolerates_missing_null_and_wrong_kinds(spark, tmp_path):
@@ -53,6 +54,57 @@ def test_a_damaged_snapshot_stops_the_job(spark, tmp_path, text):
     assert [r.source_file.rsplit("/")[-1] for r in landed.unreadable_files(spark, str(tmp_path)).collect()] == ["broken.json"]
 
 
+ODD = [
+    {"pl_name": 'quote " and } and ]', "pl_refname": "back\\\\slash\\\\"}, 7, "alone }{", [1, {"pl_name": "inner"}], None,
+    {"pl_name": "nested", "more": {"a": [{"b": "}"}, {}], "c": {}}}, {"pl_name": "é}日本{"}, {}, {"pl_name": ""}, [], [[{"x": 1}]], True,
+]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("split", ["16", "64", "1m"])
+def test_arrays_cut_at_any_byte(spark, tmp_path, indent, split):
+    elements = ODD * 3
+    (tmp_path / "a.json").write_text(json.dumps(elements, indent=indent, ensure_ascii=False))
+    (tmp_path / "b.json").write_text(json.dumps([1, "x"], indent=indent))
+    (tmp_path / "c.json").write_text(json.dumps([e for e in ODD if e], indent=indent)[:-1])  # no end
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = json_arrays(spark, str(tmp_path)).select("source_file", "source_row", F.to_json("element").alias("e")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {f: sorted((r.source_row, r.e) for r in found if r.source_file.endswith(f) and r.source_row is not None) for f in ("a.json", "b.json", "c.json")}
+    assert [n for n, _ in got["a.json"]] == list(range(len(elements)))
+    assert [json.loads(e) if e else None for _, e in got["a.json"]] == elements
+    assert [e for _, e in got["b.json"]] == ["1", '"x"'] and got["c.json"] == []
+    assert [r.source_file.rsplit("/")[-1] for r in found if r.source_row is None] == ["c.json"]
+
+
+def test_an_array_larger_than_one_value_may_be(spark, tmp_path):
+    """150 MB in one line: read by several tasks, and no reference of it is lost."""
+    one = json.dumps({"pl_name": "a", "pl_refname": "r", "pl_pubdate": "x" * 1000})
+    with open(tmp_path / "large.json", "w") as out:
+        out.write("[" + one)
+        for _ in range(150_000 - 1):
+            out.write("," + one)
+        out.write("]")
+    (tmp_path / "small.json").write_text(json.dumps([{"pl_name": "a", "pl_refname": "s"}, {"pl_name": "b", "pl_refname": "s"}]))
+    entities = spark.createDataFrame([("a",)], "planet_name string")
+    found = landed.read_references(spark, str(tmp_path), entities).groupBy("reference_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("source_row").alias("last")
+    )
+    assert rows(found) == [("r", 150_000, 149_999), ("s", 1, 0)]
+
+
+def test_references_of_damaged_files_can_stop_the_job(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"pl_name": "a", "pl_refname": "r"}')
+    entities = spark.createDataFrame([("a",)], "planet_name string")
+    assert landed.read_references(spark, str(tmp_path), entities).isEmpty()
+    with pytest.raises(Exception, match="not a whole JSON array: .*r.json"):
+        landed.read_references(spark, str(tmp_path), entities, skip_unreadable=False)
+
+
 def test_references(spark, tmp_path):
     ref = lambda name, title, **more: {"pl_name": name, "pl_refname": title, **more}
     elements = [ref(" a", "R1", pl_bmasse=1.0, pl_pubdate="2001"), ref("a", "R1 ", pl_bmasse=2.0), ref("a", "R2"), ref("b", "R1"), ref("z", "R1"), ref("a", " "), ref("a", None)]
