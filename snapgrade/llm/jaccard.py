@@ -43,7 +43,7 @@ BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCUMENTS = 1 << 15
 SLICES = 1 << 12  # at least
 SLICE_SHINGLES = 1 << 23
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 MARK_WORDS = 8  # 64-bit words of the parity marks of a set
 _PIECE_BYTES = 2 << 20  # of text hashed at once
 _MOST = (1 << 32) - 1
@@ -205,6 +205,17 @@ def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _packed(docs: np.ndarray) -> bytes:
+    """Ascending document numbers as differences, all low bytes before all high ones, which compresses well."""
+    steps = np.diff(docs.astype(np.uint16), prepend=np.uint16(0)).astype("<u2")
+    return steps.view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint8).reshape(2, -1).astype(np.int64)
+    return np.cumsum(low | high << 8)
+
+
 class Blocks:
     """Documents' distinct shingles, packed by slice for up to a number of documents and shingles at a time."""
 
@@ -251,14 +262,14 @@ class Blocks:
             (block, _META, valid.tobytes(), names[:, :-1].tobytes(), n.astype(np.int64).tobytes(), known.fill_null(0).to_numpy().tobytes())
         )
         own = -1 - (hashes[heavy] >> _U64(1)).astype(np.int64)
-        rows.append((block, _OWN, docs[heavy].astype(np.uint16).tobytes(), own.tobytes(), None, None))
+        rows.append((block, _OWN, _packed(docs[heavy]), own.tobytes(), None, None))
         hashes, docs = hashes[~heavy], docs[~heavy]
         where = (_mix(hashes) % _U64(self.slices)).astype(np.int64)
         order = np.argsort(where, kind="stable")
-        where, low, docs = where[order], hashes[order].astype(np.uint32), docs[order].astype(np.uint16)
+        where, low, docs = where[order], hashes[order].astype(np.uint32), docs[order]
         cuts = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)])) if len(where) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows.append((block, int(where[a]), docs[a:b].tobytes(), low[a:b].tobytes(), None, None))
+            rows.append((block, int(where[a]), _packed(docs[a:b]), low[a:b].tobytes(), None, None))
         for at in range(0, len(rows), 8192):
             yield _block_rows(rows[at : at + 8192])
         self.clear()
@@ -287,7 +298,7 @@ def _pack(words: int, heavy: np.ndarray, slices: int):
 def _shared(group: pa.Table) -> pa.Table:
     """Of one slice's shingles, those of two documents or more, with their counts, for every block."""
     low = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("shingles")]
-    docs = [np.frombuffer(x.as_py(), np.uint16) for x in group.column("docs")]
+    docs = [_unpacked(x.as_py()) for x in group.column("docs")]
     every = np.concatenate(low)
     _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
     counts = counts[inverse]
@@ -299,7 +310,7 @@ def _shared(group: pa.Table) -> pa.Table:
         keep = number > 1
         if keep.any():
             few = np.minimum(number[keep], _MOST).astype(np.uint32)
-            rows.append((block, slice_id, owners[keep].tobytes(), mine[keep].tobytes(), few.tobytes(), None))
+            rows.append((block, slice_id, _packed(owners[keep]), mine[keep].tobytes(), few.tobytes(), None))
     return pa.Table.from_batches([_block_rows(rows)] if rows else [], schema=_BLOCK_ARROW)
 
 
@@ -332,7 +343,7 @@ def _assemble(percent: int) -> Callable[[pa.Table], pa.Table]:
         ids, valid = np.frombuffer(meta["ids"], np.int64), np.frombuffer(meta["docs"], np.uint8).astype(bool)
         names = np.frombuffer(meta["shingles"], np.uint64).reshape(2, -1)
         parts = [r for r in rows if r["slice"] != _META]
-        docs = np.concatenate([np.frombuffer(r["docs"], np.uint16) for r in parts])
+        docs = np.concatenate([_unpacked(r["docs"]) for r in parts])
         shingles = np.concatenate(
             [
                 np.frombuffer(r["shingles"], np.int64) if r["slice"] == _OWN

@@ -63,29 +63,32 @@ def _local_paths(levels: list[list[str]]) -> Iterator[list[tuple[str, str]]]:
         yield path
 
 
-def _top(block: pd.DataFrame) -> pd.DataFrame:
-    nodes = block.sort_values("pos")["digest"].tolist()
-    return pd.DataFrame(
-        {
-            "tree": block["tree"].iloc[:1],
-            "block": block["block"].iloc[:1],
-            "full": _levels(nodes, HEIGHT)[-1][0],
-            "short": _levels(nodes)[-1][0],
-        }
-    )
+def _top(height: int):
+    def top(block: pd.DataFrame) -> pd.DataFrame:
+        nodes = block.sort_values("pos")["digest"].tolist()
+        return pd.DataFrame(
+            {
+                "tree": block["tree"].iloc[:1],
+                "block": block["block"].iloc[:1],
+                "full": _levels(nodes, height)[-1][0],
+                "short": _levels(nodes)[-1][0],
+            }
+        )
+
+    return top
 
 
-def _in_blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("pos") / FAN**HEIGHT))
+def _in_blocks(nodes: DataFrame, height: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("pos") / FAN**height))
 
 
-def _climb(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _climb(nodes: DataFrame, height: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """The rounds' nodes (tree, pos, digest), and per round the trees that end in it (tree, digest)."""
     rounds, ends = [], []
     while True:
         rounds.append(nodes)
-        tops = _in_blocks(nodes).groupBy("tree", "block").applyInPandas(_top, "tree string, block long, full string, short string")
-        tops = materialise(tops, "tops")
+        blocks = _in_blocks(nodes, height).groupBy("tree", "block")
+        tops = materialise(blocks.applyInPandas(_top(height), "tree string, block long, full string, short string"), "tops")
         size = tops.groupBy("tree").agg(F.max("block").alias("last")).withColumnRenamed("tree", "_tree")
         sized = tops.join(size, F.col("tree") == F.col("_tree")).drop("_tree")
         ends.append(sized.where("last = 0").select("tree", F.col("short").alias("digest")))
@@ -94,32 +97,38 @@ def _climb(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
             return rounds, ends
 
 
-def _split(outer: pd.DataFrame) -> tuple[list[tuple[str, str]], int | None, str]:
+def _split(outer: pd.DataFrame, height: int) -> tuple[list[tuple[str, str]], int | None, str]:
     row = outer.iloc[0]
-    return [(p["before"], p["after"]) for p in row["path"]], None if row["whole"] else HEIGHT, row["subroot"]
-
-
-def _node_paths(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    nodes = nodes.sort_values("pos")
-    path, height, subroot = _split(outer)
-    local = _local_paths(_levels(nodes["digest"].tolist(), height))
-    whole = [[{"before": b, "after": a} for b, a in [*own, *path]] for own in local]
-    return pd.DataFrame({"tree": nodes["tree"], "pos": nodes["pos"], "subroot": subroot, "path": whole})
-
-
-def _proofs(leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    leaves = leaves.sort_values("pos")
-    path, height, subroot = _split(outer)
-    beyond = "".join(before + after for before, after in path)
-    proofs, folded = [], []
-    for shown, own in zip(leaves["shown"], _local_paths(_levels(leaves["digest"].tolist(), height)), strict=True):
-        proofs.append(_hash("".join(before + after for before, after in own) + beyond))
-        for before, after in (*own, *path):
-            shown = _hash(before + shown + after)
-        folded.append(shown)
-    return pd.DataFrame(
-        {"key": leaves["key"], "leaf": leaves["digest"], "subroot": subroot, "proof_sha256": proofs, "folded_root": folded}
-    )
+    return [(p["before"], p["after"]) for p in row["path"]], None if row["whole"] else height, row["subroot"]
+
+
+def _node_paths(height: int):
+    def paths(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("pos")
+        path, levels, subroot = _split(outer, height)
+        local = _local_paths(_levels(nodes["digest"].tolist(), levels))
+        whole = [[{"before": b, "after": a} for b, a in [*own, *path]] for own in local]
+        return pd.DataFrame({"tree": nodes["tree"], "pos": nodes["pos"], "subroot": subroot, "path": whole})
+
+    return paths
+
+
+def _proofs(height: int):
+    def proofs(leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        leaves = leaves.sort_values("pos")
+        path, levels, subroot = _split(outer, height)
+        beyond = "".join(before + after for before, after in path)
+        hashes, folded = [], []
+        for shown, own in zip(leaves["shown"], _local_paths(_levels(leaves["digest"].tolist(), levels)), strict=True):
+            hashes.append(_hash("".join(before + after for before, after in own) + beyond))
+            for before, after in (*own, *path):
+                shown = _hash(before + shown + after)
+            folded.append(shown)
+        return pd.DataFrame(
+            {"key": leaves["key"], "leaf": leaves["digest"], "subroot": subroot, "proof_sha256": hashes, "folded_root": folded}
+        )
+
+    return proofs
 
 
 def _outer_rows(paths: DataFrame, ends: DataFrame, end_paths: DataFrame) -> DataFrame:
@@ -136,17 +145,17 @@ def _outer_rows(paths: DataFrame, ends: DataFrame, end_paths: DataFrame) -> Data
     return ended.unionByName(inner)
 
 
-def _descend(rounds: list[DataFrame], ends: list[DataFrame], end_paths: DataFrame) -> DataFrame:
+def _descend(rounds: list[DataFrame], ends: list[DataFrame], end_paths: DataFrame, height: int) -> DataFrame:
     """Outer rows of the lowest round's superblocks."""
     paths = end_paths.withColumn("pos", F.lit(0).cast("long")).where(F.lit(False))
     for nodes, ended in zip(rounds[:0:-1], ends[:0:-1], strict=True):
         outer = _outer_rows(paths, ended, end_paths)
-        both = _in_blocks(nodes).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
-        paths = materialise(both.applyInPandas(_node_paths, f"tree string, pos long, subroot string, path {_PATH}"), "paths")
+        both = _in_blocks(nodes, height).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
+        paths = materialise(both.applyInPandas(_node_paths(height), f"tree string, pos long, subroot string, path {_PATH}"), "paths")
     return _outer_rows(paths, ends[0], end_paths)
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
+def manifest(leaves: DataFrame, *, height: int = HEIGHT) -> DataFrame:
     """Proofs of the rows of ``leaves(tree, key, digest, shown)``.
 
     Gives key, leaf, subroot, root, proof_sha256, folded_root, verified: the root folded from ``shown``
@@ -154,41 +163,43 @@ def manifest(leaves: DataFrame) -> DataFrame:
     then digest, so that rows with one key have a defined order (equal leaves can stand for each other);
     a null key comes first. Trees ascend bytewise, a null tree first. A row that is its whole tree is
     its subroot; if that is the only tree it is the root, with a proof of nothing. No rows give none.
+    ``height`` is that of a superblock, 8^height nodes of which a task holds at once.
     """
     # a null tree gets a name before all others
     named = leaves.select(
         F.coalesce(F.concat(F.lit("="), "tree"), F.lit("")).alias("tree"), "key", "digest", "shown", F.lit(1).alias("one")
     )
     placed = materialise(running_totals(named, ["key", "digest"], {"pos": "one"}, by="tree").drop("one"), "leaves")
-    rounds, ends = _climb(placed.select("tree", "pos", "digest"))
+    rounds, ends = _climb(placed.select("tree", "pos", "digest"), height)
     subroots = ends[0]
     for more in ends[1:]:
         subroots = subroots.union(more)
     ordered = running_totals(subroots.withColumn("one", F.lit(1)), ["tree"], {"pos": "one"})
     ordered = materialise(ordered.select(F.lit("").alias("tree"), "pos", "digest", F.col("tree").alias("name")), "subroots")
-    top_rounds, top_ends = _climb(ordered.select("tree", "pos", "digest"))
+    top_rounds, top_ends = _climb(ordered.select("tree", "pos", "digest"), height)
     root = top_ends[-1].first()  # one row at most: the trees' own tree
     above = top_ends[-1].select("tree", F.col("digest").alias("subroot"), F.array().cast(_PATH).alias("path"))
-    outer = _descend(top_rounds, top_ends, above)
-    tops = _in_blocks(top_rounds[0]).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
-    tops = tops.applyInPandas(_node_paths, f"tree string, pos long, subroot string, path {_PATH}")
+    outer = _descend(top_rounds, top_ends, above, height)
+    tops = _in_blocks(top_rounds[0], height).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
+    tops = tops.applyInPandas(_node_paths(height), f"tree string, pos long, subroot string, path {_PATH}")
     end_paths = materialise(
         ordered.join(tops.select("pos", "path"), "pos").select(
             F.col("name").alias("tree"), F.col("digest").alias("subroot"), "path"
         ),
         "subroot-paths",
     )
-    outer = _descend(rounds, ends, end_paths).groupBy("tree", "block")
-    key = placed.schema["key"].dataType.simpleString()
+    outer = _descend(rounds, ends, end_paths, height).groupBy("tree", "block")
+    # as text, since a column of whole numbers with a null among them is one of floats to pandas
+    key = placed.schema["key"].dataType
     found = (
-        _in_blocks(placed)
+        _in_blocks(placed.withColumn("key", F.col("key").cast("string")), height)
         .groupBy("tree", "block")
         .cogroup(outer)
-        .applyInPandas(_proofs, f"key {key}, leaf string, subroot string, proof_sha256 string, folded_root string")
+        .applyInPandas(_proofs(height), "key string, leaf string, subroot string, proof_sha256 string, folded_root string")
     )
     root = F.lit(root["digest"] if root else None).cast("string")
     return found.select(
-        "key", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified")
+        F.col("key").cast(key).alias("key"), "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified")
     )
 
 
