@@ -86,16 +86,17 @@ def search(
     """``(query_id, ref_id, similarity, rank)``: the k nearest stored references of every query, exactly.
 
     ``queries(query_id, vector)``; ``upto`` leaves out later loads. Only cells that a query is sent to are read.
+    An index that was never created or has no loads finds nothing.
     """
     pivots, most_k = _pivots(spark, base)
-    if k > most_k:
+    if len(pivots) and k > most_k:
         raise ValueError(f"the index bounds the {most_k} nearest at most")
     counted = {n: a for n, a in loads(spark, base).items() if upto is None or n <= upto}
     of_loads = [(F.col("load") == n) & (F.col("attempt") == a) for n, a in sorted(counted.items())]
     summary = _read(spark, f"{base}/summary", _SUMMARY).where(F.col("cell") != _COMMIT)
     cells = summary.where(reduce(or_, of_loads, F.lit(False)))
     cells = retrieval.merged_cells(cells, most_k).orderBy("cell").toPandas()  # one row per pivot at most
-    if not len(cells):
+    if not len(cells):  # so too without pivots
         ref_id = spark.createDataFrame([], "ref_id long")
         return retrieval.ranked(spark.createDataFrame([], retrieval.pair_schema(queries, ref_id)), k)
     stored = spark.read.parquet(f"{base}/cells").where(reduce(or_, of_loads))

@@ -63,7 +63,9 @@ def _bucketed(df: DataFrame, id_column: str, directions: np.ndarray, tables: int
 
 
 def _sides(queries: DataFrame, refs: DataFrame, tables: int, bits: int, probes: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    width = retrieval.vector_width(refs)
+    # where no reference has a vector, that of the queries
+    known = refs if not refs.where(F.col("vector").isNotNull()).isEmpty() else queries
+    width = retrieval.vector_width(known)
     directions = _directions(width, tables, bits, seed)
     asked = _bucketed(retrieval.with_vectors(queries, "query_id", width), "query_id", directions, tables, probes)
     known = _bucketed(retrieval.with_vectors(refs, "ref_id", width), "ref_id", directions, tables, 1)

@@ -161,11 +161,14 @@ def _vectors(references: DataFrame) -> DataFrame:
 
 
 def index_references(spark: SparkSession, tables: RunTables, run_id: int) -> None:
-    """Put a run's references into the cell index, in place of an earlier attempt's."""
+    """Put a run's references into the cell index, in place of an earlier attempt's.
+
+    The first run that has a vector creates the index; until then nothing is indexed.
+    """
     stored = tables.of_run(spark, "references", run_id)
     base = tables.index_path()
     if not cell_index.exists(spark, base):
-        if stored.isEmpty():
+        if stored.where(F.col("embedding").isNotNull()).isEmpty():
             return
         cell_index.create(spark, base, _vectors(stored))
     cell_index.append(spark, base, _vectors(stored), run_id)
