@@ -21,6 +21,7 @@ from snapgrade.llm.catalogue import QUERIES, SQL
 NAMES = {
     "op1_harmonic_packing", "op2_winnowing", "op3_context_tree_scores", "op4_secret_spans", "op5_source_mix",
     "op6_language_centroids", "op7_host_rules", "op8_length_histogram", "op9_simhash_components", "op10_warc_round_trip",
+    "op11_jaccard_components", "op12_fill_in_middle", "op13_merkle_manifest",
 }
 
 
