@@ -19,7 +19,7 @@ from snapgrade.plans.standins import (
 )
 from snapgrade.session import scratch_path
 from snapgrade.sources import landed, sinks
-from snapgrade.streaming.landing import land_snapshot, landed_stream, reference_job, snapshot_job
+from snapgrade.streaming.landing import land_snapshot, reference_job, snapshot_job
 
 _FILE_ROWS = 5000
 
@@ -257,9 +257,8 @@ def stream_references(spark: SparkSession, sf: str) -> DataFrame:
     stored = f"{base}/table"
     for part in (events.filter(F.col("event_id") <= half), events.filter(F.col("event_id") > half)):
         part.write.mode("append").parquet(f"{base}/in")
-        stream = landed_stream(spark, f"{base}/in", landed_schema)
         reference_job(
-            stream, table=stored, checkpoint=f"{base}/checkpoint", schema=landed_schema,
+            spark, f"{base}/in", landed_schema, table=stored, checkpoint=f"{base}/checkpoint",
             keys=["user", "event_type"], order=["event_id"],
         ).start().awaitTermination()
     return spark.read.parquet(stored).select(F.col("user").cast("long").alias("user_id"), "event_type", "event_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -87,24 +88,68 @@ def snapshot_job(
     )
 
 
+def _new_keys(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Keys that no earlier trigger saw, each with the place of its first row in this one.
+
+    A keyed streaming aggregate: its state is one narrow row per key, and rows of a key are combined before
+    the shuffle, so a hot key is one row per task. The trigger's time is the same for all its rows and in a
+    replay; a key is new if no row of it came at another time, whichever way the clock went in between.
+    """
+    row = [F.col(f"`{c}`") for c in stream.columns]
+    located = stream.select(*row, F.col("_metadata.file_path").alias("_file"), F.current_timestamp().alias("_at"))
+    tie = F.xxhash64(*row).alias("tie")
+    place = F.struct(*[F.col(c).isNull().alias(f"null_{i}") for i, c in enumerate(order)], *order, tie, F.col("_file").alias("file"))
+    placed = located.withColumn("_place", place)
+    seen = clean_keys(placed, keys).groupBy(*keys).agg(
+        F.min("_at").alias("since"), F.max("_at").alias("until"), F.min("_place").alias("place")
+    )
+    is_new = (F.col("since") == F.current_timestamp()) & (F.col("until") == F.current_timestamp())
+    return seen.filter(is_new).select(*keys, F.col("place.tie").alias("_tie"), F.col("place.file").alias("_file"))
+
+
 def reference_job(
-    stream: DataFrame, *, table: str, checkpoint: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str]
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    *,
+    table: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    format: str = "parquet",
+    files_per_trigger: int | None = None,
 ) -> DataStreamWriter:
-    """Append only references that no earlier trigger stored; replays replace their folder."""
+    """Append references landed in ``folder`` whose key no earlier trigger stored; replays replace their folder.
+
+    Known keys are the stream's own state, so a trigger reads its new files and never the stored table. Of
+    several rows of a key in one trigger the first by ``order`` counts (nulls last), then the least by hash.
+    The state has keys and places only; the rows are taken from the files they came in, which are
+    read again without the others. It keeps every key for good: for more keys than executors hold, set
+    ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider.
+    """
+    new = _new_keys(
+        landed_stream(spark, folder, schema, format=format, files_per_trigger=files_per_trigger), keys, order
+    )
+    columns = [F.col(f"`{c}`") for c in schema.names]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = first_per_key(clean_keys(batch, keys), keys, list(order))
-        if batch_id > 0:
-            stored = spark.read.schema(_with_version(schema)).parquet(table)
-            earlier = stored.filter(F.col("version") < batch_id).select(*keys)
-            fresh = fresh.join(earlier, list(keys), "left_anti")
-        fresh.select(*[f.name for f in schema.fields]).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            # one path per file of this trigger, which the source lists on the driver as well
+            files = [row[0] for row in batch.select("_file").distinct().collect()]
+            landed = spark.read.schema(schema).option("multiLine", format == "json").format(format).load(folder)
+            landed = landed.filter(F.col("_metadata.file_path").isin(files))
+            rows = landed.select(*columns, F.xxhash64(*columns).alias("_tie"), F.col("_metadata.file_path").alias("_file"))
+            wanted = clean_keys(rows, keys).join(batch, [*keys, "_tie", "_file"], "left_semi")
+            first = wanted.dropDuplicates(list(keys))  # rows of one hash in one file are equal
+            first.select(*columns).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
-        stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        new.writeStream.outputMode("update")
+        .foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
     )
-
-
-def _with_version(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("version", T.LongType())])
