@@ -37,13 +37,15 @@ CLASSES = (
     EntropyClass(DIGITS + "abcdefABCDEF", 3.0),
     EntropyClass(DIGITS + LOWER + LOWER.upper() + "+/_=-", 4.0),
 )
-# Candidates that are no secrets: no digit or no letter, identifiers with dashes, marked placeholders.
+# Candidates that are no secrets: no digit or no letter, identifiers with dashes.
 ALLOWED = (
     r"(?i)[^0-9]*",
     r"(?i)[^a-z]*",
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    r"(?i).*(?:example|placeholder|dummy|redacted).*",
 )
+# A segment between separators that has one of these words is a placeholder; what stands beside it is none.
+SEPARATORS = "/_="  # and the dash
+PLACEHOLDERS = ("example", "placeholder", "dummy", "redacted")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -172,11 +174,42 @@ def hot_range(string: Column, kind: EntropyClass, window: int = WINDOW) -> Colum
     )
 
 
-def entropy_spans(text: Column, base: Column, classes: tuple = CLASSES, allowed: tuple = ALLOWED, window: int = WINDOW) -> Column:
+def pieces(run: Column, words: tuple = PLACEHOLDERS) -> Column:
+    """What a run (start, rank, end, value) is without the segments that have one of the words, in the same form."""
+    letter = rf"[^{SEPARATORS}\-]"
+    # looked for at the starts of segments only, so that a long run takes one pass
+    segment = rf"(?i)(?<!{letter}){letter}*?(?:{'|'.join(words)}){letter}*"
+
+    def between(cuts: Column) -> Column:
+        def one(i: Column) -> Column:
+            first = F.when(i > 0, F.get(cuts, i - 1)["end"]).otherwise(0)
+            last = F.when(i < F.size(cuts), F.get(cuts, i)["start"]).otherwise(F.length(run["value"]))
+            return F.struct(
+                (run["start"] + first).alias("start"),
+                run["rank"].alias("rank"),
+                (run["start"] + last).alias("end"),
+                F.substring(run["value"], first + 1, last - first).alias("value"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.size(cuts)), one)
+
+    return let(matches(run["value"], segment, 0), between)
+
+
+def entropy_spans(
+    text: Column,
+    base: Column,
+    classes: tuple = CLASSES,
+    allowed: tuple = ALLOWED,
+    window: int = WINDOW,
+    words: tuple = PLACEHOLDERS,
+) -> Column:
     """Hot parts of candidate strings that no base span holds and no allowed pattern covers.
 
-    A candidate is a run of at least ``window`` characters of a class; what is reported goes from the
-    start of its first hot window to the end of its last.
+    A candidate is a run of at least ``window`` characters of a class, or what is left of one beside
+    segments with a placeholder word, if that is long enough; what is reported goes from the
+    start of its first hot window to the end of its last. An allowed pattern has to cover the whole candidate. A span
+    that a base span holds is not reported; one that it only overlaps is.
     """
     def hot_part(kind: EntropyClass) -> Callable[[Column], Column]:
         return lambda s: let(
@@ -198,7 +231,10 @@ def entropy_spans(text: Column, base: Column, classes: tuple = CLASSES, allowed:
     found = []
     for kind in classes:
         letters = "".join("\\-" if c == "-" else c for c in kind.alphabet)
-        strings = matches(text, f"[{letters}]{{{window},}}", 3)
+        runs = matches(text, f"[{letters}]{{{window},}}", 3)
+        strings = runs
+        if words:
+            strings = F.filter(F.flatten(F.transform(runs, lambda s: pieces(s, words))), lambda s: F.length(s["value"]) >= window)
         found.append(F.filter(F.transform(F.filter(strings, suspect), hot_part(kind)), lambda s: s.isNotNull()))
     inside = lambda s: F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     return F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda s: ~inside(s))))

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import string
 import tempfile
 from itertools import combinations
@@ -242,6 +243,28 @@ def test_entropy_spans_by_brute_force(spark):
         assert tuple(r.h) == ((hot[0], hot[-1]) if hot else (0, 0))
 
 
+def test_placeholder_words_hide_their_segment_only(spark):
+    key = "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MGFiY2RlZg"
+    texts = [
+        (f"repo/examples/keys/{key}", True),
+        (f"repo/things/keys/{key}", True),
+        (f"{key}/EXAMPLE", True),
+        (f"a_Dummy-{key}=redacted", True),
+        (f"example{key}", False),  # one segment
+        (f"{key[:20]}Placeholder{key[20:]}", False),
+        (f"{key[:20]}/example/{key[20:]}", False),  # what is left is too short
+        ("example/" * 5000 + key, True),
+        ("x" * 200000 + "/dummy", False),
+    ]
+    df = spark.createDataFrame([(t,) for t, _ in texts], "text string")
+    for r in secrets.scan_secrets(df).collect():
+        found = r.secrets.spans
+        assert bool(found) == dict(texts)[r.text]
+        for s in found:
+            assert r.text[s.start : s.end] == s.value and s.end - s.start >= secrets.WINDOW
+            assert not re.search("example|dummy|redacted", s.value, re.I) and key[-20:] in s.value
+
+
 def test_secrets_odd_rows(spark, odd, none):
     got = {r.doc_id: r for r in secrets.scan_secrets(odd, output="mix").collect()}
     assert got[-3].mix.base[0].value == "abcdef123456" and got[-3].row == "r"

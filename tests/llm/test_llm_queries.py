@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 
 import duckdb
@@ -11,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
 from conftest import SF, TABLES
-from snapgrade.llm import ctw, simhash, tokens, winnow
+from snapgrade.llm import ctw, secrets, simhash, tokens, winnow
 from snapgrade.llm.catalogue import QUERIES, SQL
 
 NAMES = {
@@ -211,6 +214,62 @@ def test_base_secrets(result, docs):
         assert set(text.split(",")) <= set(r.spans.split(","))
 
 
+def bits(window):
+    return -sum(n / len(window) * math.log2(n / len(window)) for n in collections.Counter(window).values())
+
+
+def entropy_spans(text, base):
+    found = set()
+    for alphabet, least in (("0-9a-fA-F", 3.0), ("0-9a-zA-Z+/_=\\-", 4.0)):
+        for run in re.finditer(f"[{alphabet}]{{24,}}", text):
+            start = run.start()
+            # segments and separators in turn; segments with a placeholder word end a candidate
+            candidates, at = [[start, start]], start
+            for piece in re.split("([/_=-])", run[0]):
+                if re.search("example|placeholder|dummy|redacted", piece, re.I):
+                    candidates.append([at + len(piece)] * 2)
+                else:
+                    candidates[-1][1] = at + len(piece)
+                at += len(piece)
+            for a, b in candidates:
+                part = text[a:b]
+                if not re.search("[0-9]", part) or not re.search("[a-zA-Z]", part) or re.fullmatch("[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", part, re.I):
+                    continue
+                hot = [i for i in range(a, b - 23) if bits(text[i : i + 24]) >= least - 1e-9]
+                if hot and not any(x <= hot[0] and hot[-1] + 24 <= y for x, _, y in base):
+                    found.add((hot[0], 3, hot[-1] + 24))
+    return found
+
+
+def all_spans(text):
+    base = base_spans(text)
+    kinds = ("assign", "access", "hex", "entropy")
+    return ",".join(f"{kinds[k]}:{a}:{e}" for a, k, e in sorted([*base, *entropy_spans(text, base)]))
+
+
+def test_all_secret_spans_by_brute_force(result, docs):
+    for r in result("op4_secret_spans"):
+        assert r.spans == all_spans(docs[r.doc_id].text or "")
+
+
+def test_secret_spans_of_made_texts_by_brute_force(spark):
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits + "+/_=-"
+    parts = [" ", "\n", "é🎉", "/", "-", "example", "/Dummy/", "token=", "password: ", "AKIA", "123e4567-e89b-12d3-a456-426614174000"]
+    texts = []
+    for _ in range(150):
+        pieces = []
+        for _ in range(rng.randint(1, 12)):
+            alphabet = rng.choice((letters, "0123456789ABCDEF", "0123456789abcdef", "abcdefgh", "0123456789"))
+            pieces += [rng.choice(parts), "".join(rng.choices(alphabet, k=rng.choice((3, 10, 23, 24, 25, 40, 120))))]
+        texts.append("".join(pieces))
+    found = secrets.scan_secrets(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = found.select("text", secrets.spans_text(F.col("secrets.spans")).alias("spans")).collect()
+    assert len(got) == len(texts) and sum("entropy" in r.spans for r in got) > 50
+    for r in got:
+        assert r.spans == all_spans(r.text)
+
+
 def test_language_of_held_out_documents(result, docs):
     out = [r for r in result("op6_language_centroids") if r.held_out]
     assert len(result("op6_language_centroids")) == len(docs) and all(crc_rest(r.doc_id, 4) == 2 for r in out)
