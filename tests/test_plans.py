@@ -12,7 +12,7 @@ from snapgrade.sources import landed, sinks
 
 # one-row totals, and the window over one row per range partition
 BOUNDED_SINGLE = {
-    "diff_counts", "run_result", "diff_scaled", "null_check", "length_check", "width_check", "snapshot_run",
+    "diff_counts", "digested_counts", "run_result", "diff_scaled", "null_check", "length_check", "width_check", "snapshot_run",
     "drift_check", "drift_check_prior_only", "assign_batches", "batch_text", "judge_text", "change_batch_text",
     "variant_texts", "run_filter_sort", "load_references", "variant_scores", "bulk_append", "topk_lsh_recall",
 }
