@@ -2,8 +2,9 @@
 
 Grams of GRAM words are hashed by a polynomial of the words' hashes (the value that rolling from word
 to word gives); of every WINDOW grams in a row the smallest hash is kept, the rightmost if some tie,
-with its position. Two texts that share GRAM + WINDOW - 1 words in a row share a kept hash. Words in
-lower case are the letters of the method: native functions work on arrays of them.
+with its position. Two texts that share GRAM + WINDOW - 1 letters in a row share a kept hash. Letters
+of the method are words in lower case, and the single characters of a word of more than LONG_WORD, so
+that scripts without blanks, minified code and encoded data are cut as finely as they can be shared.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from snapgrade.llm.secrets import let
 
 GRAM = 3
 WINDOW = 4
+LONG_WORD = 24  # code points; longer words give their characters as letters
 PRIME = (1 << 31) - 1
 BASE = 0x2F0B4C47  # below 2**30, so that a product and a sum stay in 63 bits
 BUCKETS_PER_PARTITION = 4
@@ -32,10 +34,32 @@ def _least_with(by: int):
     return shifted
 
 
-def gram_hashes(text: Column, gram: int = GRAM) -> Column:
-    """Hashes (31 bits) of all grams of a text; one of all its words if it has fewer; none without words."""
+def letter_hashes(text: Column, long_word: int = LONG_WORD) -> Column:
+    """Hashes (31 bits) of the words of a text in lower case, and of each character of a long word.
+
+    Characters are read at their place in UTF-32, as numbers only: no string is made for each of them.
+    """
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(PRIME)) % PRIME)
+    reduced = lambda value: F.xxhash64(value).bitwiseAND(F.lit(PRIME)) % PRIME
+
+    def characters(bits: Column) -> Column:
+        last = F.shiftright(F.octet_length(bits), 2) - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: reduced(F.substring(bits, i * 4 + 1, F.lit(4))))
+
+    def letters(word: Column) -> Column:
+        long = let(F.encode(word, "UTF-32"), characters)
+        return F.when(F.length(word) > long_word, long).otherwise(F.array(reduced(word)))
+
+    def all_letters(words: Column) -> Column:
+        mixed = F.exists(words, lambda w: F.length(w) > long_word)
+        return F.when(mixed, F.flatten(F.transform(words, letters))).otherwise(F.transform(words, reduced))
+
+    return let(words, all_letters)
+
+
+def gram_hashes(text: Column, gram: int = GRAM) -> Column:
+    """Hashes (31 bits) of all grams of a text; one of all its letters if it has fewer; none without words."""
+    hashes = letter_hashes(text)
 
     def next_word(place: int):
         def roll(s: Column) -> Column:
@@ -64,7 +88,7 @@ def gram_hashes(text: Column, gram: int = GRAM) -> Column:
 
 
 def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The kept grams in text order: hash * 2**32 + (2**32 - 1 - position), position in words from 0.
+    """The kept grams in text order: hash * 2**32 + (2**32 - 1 - position), position in letters from 0.
 
     Smaller is a smaller hash, then a later position, so a window's least value is its rightmost
     minimum. A text with fewer grams than a window keeps its one minimum; one without words none.
@@ -155,7 +179,8 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
     The edited text has its last third (n_chars div 3 code points) replaced by the first as many
     characters of the next document's text, or all of them. A null text counts as empty; an empty text
-    has an empty fingerprint, and two empty ones are alike. A table of one row is its own next; rows
+    has an empty fingerprint, and two empty ones are alike. A word of very many characters, or a whole text
+    without blanks, is cut by its characters. A table of one row is its own next; rows
     that repeat are rows of their own; an empty table gives none.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

@@ -145,6 +145,22 @@ def test_winnowing_finds_shared_runs_and_right_ties(spark):
     assert [p.split(":")[1] for p in same.split()] == ["3", "4", "5", "6"]
 
 
+def test_winnowing_texts_without_blanks(spark):
+    rng = random.Random(5)
+    japanese = "".join(chr(rng.randrange(0x3041, 0x3097)) for _ in range(2403))
+    token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60_000))
+    texts = {4: japanese, 3: "z" * 3000, 2: token, 1: "few words " + token[20_000:20_040] + " around"}
+    rows = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in winnow.fingerprints(rows).collect()}
+    assert 0.6 < got[4].near_edited < 0.7 and 0.6 < got[2].near_edited < 0.7  # what replaces the third adds next to no hash
+    assert got[3].near_edited > 0 and len(set(p.split(":")[0] for p in got[3].fingerprint.split())) == 1
+    sets = {d: {p.split(":")[0] for p in r.fingerprint.split()} for d, r in got.items()}
+    assert len(sets[1] & sets[2]) >= 5  # 40 characters of the long token, anywhere in it
+    exact = "b" * winnow.LONG_WORD
+    kept = spark.createDataFrame([(exact,), (exact + "b",)], "t string").select(F.size(winnow.gram_hashes(F.col("t"))).alias("n"))
+    assert [r.n for r in kept.collect()] == [1, winnow.LONG_WORD + 1 - winnow.GRAM + 1]
+
+
 def test_next_text_over_many_buckets(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:

@@ -116,7 +116,8 @@ def test_length_histogram(result, docs):
 
 def kept_grams(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
-    hashes = [(xxhash.xxh64_intdigest(w.encode(), 42) & winnow.PRIME) % winnow.PRIME for w in words]
+    letters = [x for w in words for x in ([w.encode()] if len(w) <= winnow.LONG_WORD else [c.encode("utf-32-be") for c in w])]
+    hashes = [(xxhash.xxh64_intdigest(x, 42) & winnow.PRIME) % winnow.PRIME for x in letters]
     size, grams = min(winnow.GRAM, len(hashes)), []
     for i in range(len(hashes) - size + 1 if hashes else 0):
         value = 0
