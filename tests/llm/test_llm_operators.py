@@ -152,7 +152,8 @@ def test_winnowing_texts_without_blanks(spark):
     texts = {4: japanese, 3: "z" * 3000, 2: token, 1: "few words " + token[20_000:20_040] + " around"}
     rows = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     got = {r.doc_id: r for r in winnow.fingerprints(rows).collect()}
-    assert 0.6 < got[4].near_edited < 0.7 and 0.6 < got[2].near_edited < 0.7  # what replaces the third adds next to no hash
+    # what replaces the third adds next to no hash; hashes of the token repeat, so more than two thirds are shared
+    assert 0.6 < got[4].near_edited < 0.7 and 0.7 < got[2].near_edited < 0.8
     assert got[3].near_edited > 0 and len(set(p.split(":")[0] for p in got[3].fingerprint.split())) == 1
     sets = {d: {p.split(":")[0] for p in r.fingerprint.split()} for d, r in got.items()}
     assert len(sets[1] & sets[2]) >= 5  # 40 characters of the long token, anywhere in it
