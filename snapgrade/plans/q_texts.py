@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snapgrade.functions.text import content_text, num_to_text, preview, question_text
 from snapgrade.operators import retrieval, texts
+from snapgrade.operators.answers import ask_missing
 from snapgrade.operators.batches import assign_batches
 from snapgrade.operators.diff import snapshot_diff
 from snapgrade.plans.q_diff import CUSTOMER_DIFF_SQL
@@ -13,6 +14,8 @@ from snapgrade.plans.q_retrieval import _ENTITY_SQL, _own_label
 from snapgrade.plans.registry import number_text, query, table
 from snapgrade.plans.run import change_batches, label_texts
 from snapgrade.plans.standins import CUSTOMER_FIELDS, ORDER_ENTITIES_SQL, clean_customers, order_entities
+from snapgrade.session import scratch_path
+from snapgrade.sources.sinks import read_or_empty
 
 
 @query(
@@ -47,6 +50,32 @@ def batch_text(spark: SparkSession, sf: str) -> DataFrame:
     return texts.batch_text(lines, batch="batch", position="position", line="line", header="HEAD", footer="END")
 
 
+@query(
+    "answers_kept",
+    f"""WITH {ORDER_ENTITIES_SQL}, lines AS (SELECT {_LINE_SQL} AS line,
+        row_number() OVER (ORDER BY planet_name) - 1 AS position FROM given),
+    sent AS (SELECT position // 50 AS batch, 'HEAD' || chr(10) || string_agg(line, chr(10) ORDER BY position) || chr(10)
+        || 'END' || chr(10) AS text FROM lines GROUP BY 1)
+    SELECT batch, CASE WHEN length(text) % 3 = 0 THEN 'second' ELSE 'first' END || ':' || sha256(text) AS answer,
+      length(text) % 3 = 0 AS asked_again FROM sent""",
+)
+def answers_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Label batches asked twice: what got no answer at first is asked again, nothing else is."""
+    sent = batch_text(spark, sf).select("batch", "text")
+    store, asked = scratch_path(spark, "answers"), scratch_path(spark, "asked")
+    answer = lambda name: F.concat(F.lit(f"{name}:"), F.sha2("text", 256))
+    refused = F.length("text") % 3 == 0
+
+    def second(open_batches: DataFrame) -> DataFrame:
+        open_batches.select("batch").write.parquet(asked)
+        return open_batches.select("batch", answer("second").alias("text"))
+
+    ask_missing(sent, store, lambda s: s.select("batch", F.when(~refused, answer("first")).alias("text")), model="m")
+    answers = ask_missing(sent, store, second, model="m").withColumnRenamed("text", "answer")
+    again = read_or_empty(spark, asked, sent.select("batch").schema).withColumn("asked_again", F.lit(True))
+    return answers.join(again, "batch", "left").select("batch", "answer", F.coalesce("asked_again", F.lit(False)).alias("asked_again"))
+
+
 @query(
     "change_batch_text",
     f"""WITH {_ENTITY_SQL}, changes AS ({CUSTOMER_DIFF_SQL}),

@@ -1,7 +1,7 @@
 """Whole runs as driver functions over tables in one base folder.
 
-Every stage reads tables and writes tables. What a stage leaves is one partition per run and stage,
-which the same stage replaces when it runs again, so a failed run can be repeated from any stage.
+Every stage reads tables and writes tables. What a stage leaves is committed as a whole and replaced
+when the same stage runs again, so a failed run can be repeated from any stage.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from snapgrade import schemas
 from snapgrade.functions.text import content_text
 from snapgrade.operators import cell_index, checks, drift, labels as label_ops, ledger, retrieval, texts
+from snapgrade.operators.answers import ask_missing
 from snapgrade.operators.batches import assign_batches
 from snapgrade.operators.dedupe import clean_keys, first_per_key
 from snapgrade.operators.diff import (
@@ -67,6 +68,15 @@ class RunTables:
     def state_path(self, run_id: int, name: str = "state") -> str:
         return f"{self.base}/{name}/run={run_id}"
 
+    def answers_path(self) -> str:
+        return f"{self.base}/answers"
+
+    def asking(self, ask: Ask, task: str, model: str | None, at: Column) -> Ask:
+        """``ask`` for texts without a kept answer; without a model's name for all, and nothing is kept."""
+        if model is None:
+            return ask
+        return lambda sent: ask_missing(sent, self.answers_path(), ask, model=f"{task}:{model}", at=at)
+
     def index_path(self) -> str:
         return f"{self.base}/reference_cells"
 
@@ -342,6 +352,7 @@ def whole_run(
     ask_vectors: Ask | None = None,
     question_vectors: Callable[[DataFrame], DataFrame] | None = None,
     context: DataFrame | None = None,
+    keep_answers: str | None = None,
 ) -> DataFrame:
     """Ingest, catalogue, references, retrieval, label, report, grade, drift, judge; gives the run counters.
 
@@ -349,6 +360,8 @@ def whole_run(
     model is called, outside this library. ``layout`` adds the catalogue tables,
     ``references`` with ``ask_vectors`` the reference load, and ``question_vectors`` (from the
     changed entities to ``name, vector``) the retrieval that gives the label texts their context.
+    ``keep_answers`` names the model: label and judge answers are then stored by the text they were
+    asked with, and a repeated, resumed or later run asks only texts without an answer.
     A run without changes is not labelled and has no report; its drift row is written all the same.
     """
     result = ingest(
@@ -368,6 +381,8 @@ def whole_run(
         context = retrieve(spark, tables, run_id, question_vectors(touched), name=name, at=at)
     batches = materialise(change_batches(changes, name=name), "batches")
     sent = label_texts(batches, state, name=name, line=label_line, context=context)
+    ask_labels = tables.asking(ask_labels, "label", keep_answers, at)
+    ask_judge = tables.asking(ask_judge, "judge", keep_answers, at)
     answers = ask_labels(sent) if changed else sent.select("batch", "text").filter(F.lit(False))
     labelled_path = tables.state_path(run_id, "labelled")
     entities = label(spark, tables, run_id, state, batches, answers, name=name, at=at, updated=updated)

@@ -114,6 +114,9 @@ REFERENCES = _schema(
     "id long, planet_name string, reference_name string, pub_date string, content string, embedding array<float>, "
     "created_utc timestamp"
 )
+ANSWERS = _schema("digest string, answer string, asked_at timestamp, model string")
+# One row per valid attempt of a stage; of one stage the greatest number counts.
+STAGE_COMMITS = _schema("ingest_run_id int, stage string, attempt string, number long")
 LEGACY_CATALOGUE = _schema(
     "id long, planet_name string, host_star string, discovery_year int, created_utc timestamp, "
     "updated_utc timestamp"

@@ -26,14 +26,15 @@ def element(rest):
 def go(spark, tables, run_id, stored, snapshot, broken=False, **more):
     label = element('"classification": "CONFIRMED", "reasoning": "r", "plavalova_code": "mFtg"')
     fields = (("name", "name", None), ("mass", "mass", 2))
+    asks = {"ask_labels": answer(label, broken), "ask_judge": answer(element('"score": 8'), broken), **more}
     return runs.whole_run(
         spark, tables, run_id, stored, spark.createDataFrame(snapshot, SNAPSHOT), name="name", required=["host"],
         fields=["host", "mass"], order=["row"], at=F.lit(f"2024-01-0{run_id} 00:00:00").cast("timestamp"),
         label_line=texts.entity_line(fields), judge_line=texts.judge_line("name", "classification", fields[1:]),
-        expected_label=F.lit("CONFIRMED"), expected_code=F.lit("mFtg"), ask_labels=answer(label, broken),
-        ask_judge=answer(element('"score": 8'), broken), created="created", updated="updated",
+        expected_label=F.lit("CONFIRMED"), expected_code=F.lit("mFtg"),
+        created="created", updated="updated",
         ask_report=lambda sent: sent.select("ingest_run_id", F.lit("ok").alias("report_text"), F.lit(1).alias("tokens_used")),
-        **more,
+        **asks,
     ).first()
 
 
