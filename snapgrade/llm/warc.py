@@ -25,14 +25,14 @@ _END = END.encode()
 
 
 def base32_sha1(payload: Column) -> Column:
-    """SHA-1 of binary data in upper-case base 32: five hexadecimal digits give four characters."""
+    """SHA-1 of binary data in upper-case base 32: five hexadecimal digits give four characters; null for null."""
     digits = F.sha1(payload)
     part = lambda i: F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
     four = lambda v: F.concat(
         *(F.substring(F.lit(BASE32), F.shiftright(v, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0))
     )
     groups = F.transform(F.sequence(F.lit(0), F.lit(7)), part)
-    return F.array_join(F.transform(groups, four), "")
+    return F.when(digits.isNotNull(), F.array_join(F.transform(groups, four), ""))
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -55,8 +55,12 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def _header(name: str, value: Column) -> Column:
-    """A header line without line breaks in its value; no line for null."""
+    """A header line without line breaks in its value; no line for null.
+
+    A blank, which readers strip, follows a value that would make the magic with its line end.
+    """
     flat = F.regexp_replace(value.cast("string"), r"[\r\n]+", " ")
+    flat = F.when(flat.endswith(MAGIC.rstrip()), F.concat(flat, F.lit(" "))).otherwise(flat)
     return F.coalesce(F.concat(F.lit(f"{name}: "), flat, F.lit("\r\n")), F.lit(""))
 
 

@@ -1,6 +1,8 @@
 """The text operators on hand-made rows: nulls, empty and very long texts, ties, repeats, clashing names, no rows."""
 
+import base64
 import collections
+import hashlib
 import math
 import random
 import re
@@ -520,3 +522,20 @@ def test_archive_of_no_pages_and_small_payload_bound(spark):
     assert plain(warc.read_archive(spark, f"{path}/a"), "page_id", "record_type") == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
     warc.write_archive(pages.limit(0), f"{path}/b")
     assert warc.read_archive(spark, f"{path}/b").count() == 0
+
+
+def test_archive_query_on_copies_and_urls_that_end_in_the_magic(spark):
+    from snapgrade.llm.q_pages import op10_warc_round_trip
+
+    urls = ["u/WARC/1.0", "a\r\nWARC/1.0\r\n", None, "u"]
+    rows = [(i, urls[i % 4], None if i == 8 else ["", "same", "é"][i % 3]) for i in range(-4, 12)]
+    sf = tempfile.mkdtemp()
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    payload = {i: (html or "").encode() for i, _, html in rows}
+    first = {p: min(i for i in payload if payload[i] == p) for p in payload.values()}
+    wanted = []
+    for i, p in payload.items():
+        digest = base64.b32encode(hashlib.sha1(p).digest()).decode()
+        again = first[p] != i
+        wanted.append((i, len(p), digest, "revisit" if again else "response", first[p] if again else None))
+    assert sorted(tuple(r) for r in op10_warc_round_trip(spark, sf).collect()) == wanted
