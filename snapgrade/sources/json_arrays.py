@@ -61,13 +61,14 @@ def _running(df: DataFrame, column: str, by: list[str], order: list[str]) -> Col
 def _with_sums(pieces: DataFrame, column: str, total: str) -> DataFrame:
     """Add the sum of ``column`` over all pieces of the file before this one.
 
-    A window of the first kind holds a split, one of the second a row per split of a file.
+    A window of the first kind holds a split, one of the second a row per split of a file. Only the latter,
+    a row per split as Spark's own list of splits, is broadcast; pieces never are, however small their files.
     """
     at = ["source_file", "split"]
     sums = pieces.groupBy(*at).agg(F.sum(column).alias("_sum"))
     before = sums.select(*(F.col(c).alias(f"_{c}") for c in at), _running(sums, "_sum", at[:1], at[1:]).alias("_before"))
     local = pieces.withColumn("_local", _running(pieces, column, at, ["seq"]))
-    joined = local.join(before, (F.col("source_file") == F.col("_source_file")) & (F.col("split") == F.col("_split")))
+    joined = local.join(F.broadcast(before), (F.col("source_file") == F.col("_source_file")) & (F.col("split") == F.col("_split")))
     return joined.select(*pieces.columns, (F.col("_before") + F.col("_local")).alias(total))
 
 
@@ -110,11 +111,12 @@ def json_arrays(spark: SparkSession, path: str) -> DataFrame:
     ends = ((F.col("depth") + F.col("change") == 1) & ((F.col("quotes_before") + F.col("quotes")) % 2 == 0)).cast("long")
     parted = materialise(_with_sums(placed.select(*_AT, ends.alias("ends")), "ends", "part").select(*_AT, "part"), "parts")
     last = parted.groupBy("source_file").agg(F.max("part").alias("last_part"), F.max(F.struct("split", "seq")).alias("last_piece"))
-    wanted = parted.join(last.withColumnRenamed("source_file", "_file"), F.col("source_file") == F.col("_file")).select(
+    wanted = parted.join(F.broadcast(last.withColumnRenamed("source_file", "_file")), F.col("source_file") == F.col("_file")).select(
         *_AT, "part", (F.col("part") == F.col("last_part")).alias("last"),
         (F.struct("split", "seq") == F.col("last_piece")).alias("no_brace"),
     )
-    both = pieces.select(*_AT, "piece").join(wanted, _AT)
+    # files of places are a hundredth of what their rows take: by file size Spark would broadcast them
+    both = pieces.select(*_AT, "piece").join(wanted.hint("merge"), _AT)
     text = F.concat("piece", F.when(F.col("no_brace"), "").otherwise("}"))
     parts = both.groupBy("source_file", "part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "seq", text.alias("text")))), lambda p: p["text"]), "").alias("text"),
@@ -128,10 +130,10 @@ def json_arrays(spark: SparkSession, path: str) -> DataFrame:
     sized = read.select("source_file", "part", size.alias("size"), F.floor(F.col("part") / 4096).alias("split"), F.col("part").alias("seq"))
     numbered = _with_sums(sized, "size", "first")
     bad = sized.groupBy("source_file").agg(F.max(F.col("size").isNull()).alias("bad"))
-    state = numbered.join(bad.withColumnRenamed("source_file", "_file"), F.col("source_file") == F.col("_file")).select(
+    state = numbered.join(F.broadcast(bad.withColumnRenamed("source_file", "_file")), F.col("source_file") == F.col("_file")).select(
         "source_file", "part", "first", "bad"
     )
-    sound = read.join(state.where("not bad"), ["source_file", "part"]).select(
+    sound = read.join(state.where("not bad").hint("merge"), ["source_file", "part"]).select(
         "source_file", F.posexplode("elements").alias("at", "element"), "first"
     )
     rows = sound.select("source_file", (F.col("first") + F.col("at")).alias("source_row"), "element")

@@ -1,9 +1,10 @@
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import plan_of, rows
 from snapgrade import schemas
 from snapgrade.functions.text import CONTENT_MEASURES
 from snapgrade.operators import ledger
@@ -181,3 +182,14 @@ def test_run_keeps_a_ledger_and_fails_visibly(spark, tmp_path):
     assert latest == {1: ("COMPLETED", 1), 2: ("FAILED", None)}
     only_a = runs.ingest(spark, tables, 3, stored, incoming, entity_filter=F.lower("k") == "a", **how).first()
     assert only_a.fetched == 1
+
+
+def test_places_of_json_pieces_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Their files are small for very many rows, so their size on disk must not decide."""
+    (tmp_path / "a.json").write_text(json.dumps([{"n": i} for i in range(50)]))
+    plans, module = {}, sys.modules[json_arrays.__module__]
+    kept = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, label: plans.update({label: plan_of(df)}) or kept(df, label))
+    rows_read = json_arrays(spark, str(tmp_path))
+    assert "SortMergeJoin" in plans["elements"] and "SortMergeJoin" in plan_of(rows_read)
+    assert [r.source_row for r in rows_read.orderBy("source_row").collect()] == list(range(50))
