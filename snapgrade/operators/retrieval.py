@@ -42,6 +42,7 @@ PIVOTS = 256  # default number of pivots
 SALTS = 64  # parts in which an entity's references are ranked
 BLOCK_BYTES = 8 << 20  # of vectors per side of one task
 MATRIX_CELLS = 4 << 20
+_GROUP = 16  # references of which the best is taken to screen the others
 _SLACK = 1e-6  # radians; covers rounding of angles and of ranked similarities
 
 
@@ -63,13 +64,56 @@ def _similarities(queries: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return sims
 
 
+def _dense(queries: np.ndarray, refs: np.ndarray, id_order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(reference, similarity) of the k best of each query, from all similarities.
+
+    Rounded similarity and id order are packed into one whole number per pair, so a partial
+    sort settles ties exactly.
+    """
+    sims = _similarities(queries, refs)
+    keys = -np.rint(sims * 10**RANK_DECIMALS).astype(np.int64) * len(refs) + id_order
+    cols = np.argpartition(keys, k - 1, axis=1)[:, :k]
+    best = np.take_along_axis(cols, np.argsort(np.take_along_axis(keys, cols, axis=1), axis=1), axis=1)
+    return best, np.take_along_axis(sims, best, axis=1)
+
+
+def _screened(
+    queries: np.ndarray, refs: np.ndarray, short: np.ndarray, id_order: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray] | None:
+    """The same from exact similarities of those only that single precision leaves; None if it leaves too many.
+
+    References are taken in k groups or more. The k-th of the groups' best similarities is one that k
+    references reach, so one below it by more than single precision can err is not among the k best.
+    """
+    count, width = refs.shape
+    sims = queries.astype(np.float32) @ short.T
+    empty = ~refs.any(axis=1)
+    sims[:, empty] = NO_SIMILARITY
+    whole = count // _GROUP * _GROUP
+    best = sims[:, :whole].reshape(len(sims), _GROUP, -1).max(axis=1)
+    reached = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+    mask = sims >= (reached - 4 * (width + 8) * np.finfo(np.float32).eps)[:, None]
+    if np.count_nonzero(mask) > mask.size // 8:
+        return None
+    row, col = np.divmod(np.flatnonzero(mask), count)
+    exact = np.empty(len(row))
+    for at in range(0, len(row), 1 << 16):
+        to = slice(at, at + (1 << 16))
+        exact[to] = np.einsum("ij,ij->i", queries[row[to]], refs[col[to]])
+    exact = np.round(exact, RANK_DECIMALS)
+    exact[empty[col]] = NO_SIMILARITY
+    order = np.lexsort((id_order[col], -np.rint(exact * 10**RANK_DECIMALS), row))
+    first = np.searchsorted(row, np.arange(len(queries)))[:, None] + np.arange(k)
+    found = order[first]  # rows ascend, also after the sort
+    return col[found], exact[found]
+
+
 def _nearest(
     query_ids: np.ndarray, queries: np.ndarray, ref_ids: np.ndarray, refs: np.ndarray, k: int
 ) -> pd.DataFrame:
     """The k best references (similarity down, id up) of every query among the given ones.
 
-    Rounded similarity and id order are packed into one whole number per pair, so a partial
-    sort settles ties exactly. Queries are taken in slices to bound the matrix in memory.
+    Queries are taken in slices to bound the matrix in memory.
     """
     count = len(ref_ids)
     k = min(k, count)
@@ -77,19 +121,20 @@ def _nearest(
         return pd.DataFrame({"query_id": query_ids[:0], "ref_id": ref_ids[:0], "score": np.zeros(0)})
     id_order = np.empty(count, dtype=np.int64)
     id_order[np.argsort(ref_ids, kind="stable")] = np.arange(count)
+    short = refs.astype(np.float32)
     step = max(1, MATRIX_CELLS // count)
     parts = []
     for start in range(0, len(query_ids), step):
-        sims = _similarities(queries[start : start + step], refs)
-        keys = -np.rint(sims * 10**RANK_DECIMALS).astype(np.int64) * count + id_order
-        cols = np.argpartition(keys, k - 1, axis=1)[:, :k]
-        best = np.take_along_axis(cols, np.argsort(np.take_along_axis(keys, cols, axis=1), axis=1), axis=1)
+        asked = queries[start : start + step]
+        # single precision pays for many references; a query without a direction is like all of them
+        screen = count >= 4 * _GROUP * k and asked.any(axis=1).all()
+        best, sims = (screen and _screened(asked, refs, short, id_order, k)) or _dense(asked, refs, id_order, k)
         parts.append(
             pd.DataFrame(
                 {
                     "query_id": np.repeat(query_ids[start : start + step], k),
                     "ref_id": ref_ids[best.ravel()],
-                    "score": np.take_along_axis(sims, best, axis=1).ravel(),
+                    "score": sims.ravel(),
                 }
             )
         )
@@ -260,8 +305,11 @@ def search_cells(
         keep[~units.any(axis=1), :] = True
         return pd.Series([cell_ids[row].tolist() for row in keep])
 
-    routed = materialise(queries.select("query_id", "vector", F.explode(reachable("vector")).alias("cell")), "routed")
-    demand = dict(map(tuple, routed.groupBy("cell").count().collect()))  # one row per pivot at most
+    # vectors are written once, and copied to their cells only by the exchange
+    sent = materialise(queries.select("query_id", "vector", reachable("vector").alias("cells")), "routed")
+    demand_of = sent.select(F.explode("cells").alias("cell"))
+    routed = sent.select("query_id", "vector", F.explode("cells").alias("cell"))
+    demand = dict(map(tuple, demand_of.groupBy("cell").count().collect()))  # one row per pivot at most
     layout = [
         (int(c), int(b), max(1, -(-demand[int(c)] // block_rows))) for c, b in zip(cell_ids, blocks) if int(c) in demand
     ]
@@ -323,6 +371,11 @@ def rows_of_block(width: int) -> int:
 STRATEGIES = ("pivots", "broadcast_refs", "broadcast_queries")
 
 
+def small_refs_strategy(refs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> str:
+    """``broadcast_refs`` for references that fit the budget, else the pivot search: both are exact."""
+    return "broadcast_refs" if _fits(refs, vector_width(refs), broadcast_bytes) else "pivots"
+
+
 def topk_cosine(
     queries: DataFrame,
     refs: DataFrame,

@@ -22,6 +22,10 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _found(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    return retrieval.topk_cosine(queries, refs, strategy=retrieval.small_refs_strategy(refs), pivots=32)
+
+
 def _shown(found: DataFrame) -> DataFrame:
     return found.withColumns({"similarity": F.round("similarity", 4), "rank": F.col("rank").cast("long")})
 
@@ -35,13 +39,14 @@ _GLOBAL_SQL = f"""SELECT query_id, ref_id, round(s, 4) AS similarity, rank FROM
 
 @query("topk_global", _GLOBAL_SQL)
 def topk_global(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(retrieval.topk_cosine(*_sides(spark, sf), strategy="broadcast_refs"))
+    """Every reference to every task while they fit a broadcast, else by pivots."""
+    return _shown(_found(*_sides(spark, sf)))
 
 
 @query("topk_global_pivots", _GLOBAL_SQL)
 def topk_global_pivots(spark: SparkSession, sf: str) -> DataFrame:
     """The same by the default way, with nothing broadcast but pivots."""
-    return _shown(retrieval.topk_cosine(*_sides(spark, sf), pivots=32, block_rows=1024))
+    return _shown(retrieval.topk_cosine(*_sides(spark, sf), pivots=32))
 
 
 @query("topk_stored_cells", _GLOBAL_SQL)
@@ -54,14 +59,14 @@ def topk_stored_cells(spark: SparkSession, sf: str) -> DataFrame:
     cell_index.append(spark, base, refs.where(early), 1)
     for _ in range(2):
         cell_index.append(spark, base, refs.where(~early), 2)
-    return _shown(cell_index.search(spark, base, queries, block_rows=1024))
+    return _shown(cell_index.search(spark, base, queries))
 
 
 @query("topk_lsh_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings")
 def topk_lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the search by hashing finds nine tenths of the exact search's rows or more."""
     queries, refs = _sides(spark, sf)
-    exact = retrieval.topk_cosine(queries, refs, strategy="broadcast_refs").select("query_id", "ref_id")
+    exact = _found(queries, refs).select("query_id", "ref_id")
     found = hashed_search.topk_hashed(queries, refs).select("query_id", "ref_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["query_id", "ref_id"], "left")
     return both.agg(
@@ -95,7 +100,7 @@ def topk_same_entity(spark: SparkSession, sf: str) -> DataFrame:
 def retrieval_log(spark: SparkSession, sf: str) -> DataFrame:
     """The global search's log rows as stored by a run that was tried twice."""
     queries, refs = _sides(spark, sf)
-    found = retrieval.topk_cosine(queries, refs, strategy="broadcast_refs").withColumn(
+    found = _found(queries, refs).withColumn(
         "entity", F.concat(F.lit("vector "), F.col("query_id").cast("string"))
     )
     names = refs.select("ref_id", F.concat(F.lit("reference "), F.col("ref_id").cast("string")).alias("reference_name"))

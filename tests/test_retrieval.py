@@ -154,3 +154,27 @@ def test_context_and_log(spark):
     assert [(c["rank"], c["content"], c["similarity"]) for c in row.context] == [(1, "c1", 0.9), (2, "c2", 0.5)]
     log = retrieval.retrieval_log(found, names, run_id=4, entity="entity").orderBy("reference_id").collect()
     assert [tuple(r) for r in log] == [(4, "a", 1, "one", 0.9, False), (4, "a", 2, "two", 0.5, False)]
+
+
+def test_screened_search_equals_the_dense_one():
+    rng = np.random.default_rng(4)
+    refs = retrieval._unit(rng.normal(size=(900, 12)))
+    refs[100:140] = refs[7]  # copies: ties by id
+    refs[300:310] = 0.0
+    queries = np.vstack([refs[:60], retrieval._unit(rng.normal(size=(60, 12)))])
+    order = rng.permutation(900)
+    best, sims = retrieval._dense(queries, refs, order, 5)
+    found = retrieval._screened(queries, refs, refs.astype(np.float32), order, 5)
+    assert (found[0] == best).all() and np.allclose(found[1], sims, rtol=0, atol=2e-9)
+    # where nearly all are alike, screening gives up
+    assert retrieval._screened(queries[:9], refs[[7] * 900], refs[[7] * 900].astype(np.float32), order, 5) is None
+
+
+def test_references_above_the_budget_are_searched_by_pivots(spark, monkeypatch):
+    from snapgrade.plans import q_retrieval
+
+    queries, refs = sides(spark, [[1.0, 0.0], [0.6, 0.8]], [[1.0, 0.1], [0.0, 1.0], [1.0, 1.0], [0.5, 0.5]])
+    wanted = rows(q_retrieval._found(queries, refs))
+    assert retrieval.small_refs_strategy(refs) == "broadcast_refs" and retrieval.small_refs_strategy(refs, 32) == "pivots"
+    monkeypatch.setattr(retrieval, "small_refs_strategy", lambda refs, most=32, of=retrieval.small_refs_strategy: of(refs, most))
+    assert rows(q_retrieval._found(queries, refs)) == wanted and len(wanted) == 6
