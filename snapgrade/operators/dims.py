@@ -118,6 +118,19 @@ def link_once(pairs: DataFrame, stored_links: DataFrame) -> DataFrame:
     return anti_existing(pairs.distinct(), stored_links, ["planet_id", "star_id"])
 
 
+def link_once_by_group(pairs: DataFrame, planets: DataFrame, stars: DataFrame, group: str) -> DataFrame:
+    """Pairs that are not linked yet, where every planet is linked with every star of its group.
+
+    ``planets(planet_id, group)``, ``stars(star_id, group)``; a null group links nothing. The links of a group
+    grow with the product of its sides, so they are not listed: each pair is looked up, in work that grows with
+    the pairs and the two sides.
+    """
+    asked = materialise(pairs.distinct(), "pairs")
+    grouped = asked.join(planets.select("planet_id", group).distinct(), "planet_id")
+    linked = grouped.join(stars.select("star_id", group).distinct(), ["star_id", group], "left_semi")
+    return link_once(asked, linked.select("planet_id", "star_id"))
+
+
 def star_with_system(stars: DataFrame, systems: DataFrame) -> DataFrame:
     """Every star with its system's columns."""
     renamed = systems.select(

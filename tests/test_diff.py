@@ -160,3 +160,12 @@ def test_checks(spark):
     assert rows(checks.outside_domain(df, "k", ["b"])) == [("a", 2)]
     vectors = frame(spark, [([1.0],), ([1.0, 2.0],)], "e array<float>")
     assert tuple(checks.vector_widths(vectors, "e").first()) == (1, 2, False)
+
+
+def test_links_by_group_are_those_of_the_listed_links(spark):
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (3, 1), (4, 9), (None, 1), (5, 3)], "planet_id int, star_id int")
+    planets = spark.createDataFrame([(1, 7), (2, 8), (2, 7), (3, None), (5, 8)], "planet_id int, g int")
+    stars = spark.createDataFrame([(1, 7), (1, 7), (2, 8), (3, 8), (9, None)], "star_id int, g int")
+    found = dims.link_once_by_group(pairs, planets, stars, "g")
+    assert rows(found) == rows(dims.link_once(pairs, planets.join(stars, "g").select("planet_id", "star_id")))
+    assert rows(found) == sorted([(1, 2), (3, 1), (4, 9), (None, 1)], key=repr)
