@@ -10,17 +10,22 @@ have, dealt to buckets by their nearest context bytes. Where a bucket's grams ar
 weighted and the grams of all texts scored; only the nodes above, of up to two context bytes, go to the
 driver and from there to all tasks. Then each batch gets the scores of its grams and sums its texts'. A
 context that no learning text has predicts like the next shorter one.
+
+The words of the unigram base go the same way: a batch sends its distinct words, in slices of their hashes, and
+gets their counts. Grams and words do not come back with scores and counts: a batch's texts give them
+again, in the same order.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,8 +43,9 @@ _AT_ONCE = 1 << 16
 _TEXTS = 500
 _BATCH_GRAMS = 1 << 21  # distinct grams at which a batch of texts ends
 _BATCH_BYTES = 1 << 25
+_BATCH_WORDS = 1 << 19  # distinct words at which it ends
 _BUCKET_BITS = 12
-_TABLE_BITS = 22
+_SLICE_BITS = 12
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 4096
 _U = np.uint64
@@ -278,30 +284,79 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel())
 
 
+def _joined(texts: Iterable[bytes]) -> bytes:
+    """Texts, each with its end, compressed together."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(t + bytes([END]) for t in texts))
+
+
+def _parted(data: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data).split(bytes([END]))[:-1]
+
+
+def _packed_scores(scores: np.ndarray) -> bytes:
+    """Scores byte by byte: the first two bytes of each compress."""
+    return zlib.compress(scores.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked_scores(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.float32).ravel()
+
+
 def _buckets(grams: np.ndarray) -> np.ndarray:
     """Grams with the same nearest context bytes share a bucket."""
     near = grams >> _U(8) & _U((1 << (8 * LOCAL_DEPTH)) - 1)
     return (near * _HASH >> _U(64 - _BUCKET_BITS)).astype(np.int32)
 
 
+def _by_bucket(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by bucket of grams that rise, and the buckets in that order."""
+    bucket = _buckets(grams)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    return order, bucket[order]
+
+
+def _spans(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of equal numbers."""
+    starts = np.flatnonzero(np.concatenate((np.ones(min(len(places), 1), bool), places[1:] != places[:-1])))
+    return starts, np.append(starts[1:], len(places)).astype(np.int64)
+
+
+def _hashes(words: Iterable[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64)
+
+
 class _Batch:
-    """Pieces of texts and their distinct grams, with how often learning texts have them."""
+    """Texts with their distinct grams and words, and how often learning texts have these."""
 
     def __init__(self, number: int, depth: int):
         self.number, self.depth, self.bytes = number, depth, 0
-        self.pieces: list[tuple[int, bytes]] = []
+        self.texts: list[tuple[int | None, bool, bytes]] = []
+        self.words: Counter[bytes] = Counter()
         self.new: dict[bool, list] = {False: [], True: []}
         self.new_bytes = self.held = 0
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
 
-    def add(self, row: int, before: bytes, body: bytes, held_out: bool) -> None:
-        self.pieces.append((row, before + body))
-        self.new[held_out].append((row, before, body))
-        self.bytes += len(body)
-        self.new_bytes += len(body)
-        if self.new_bytes >= _CHUNK:
-            self.count()
+    def add(self, doc_id: int | None, held_out: bool, found: list[bytes]) -> None:
+        text = b" ".join(found)
+        self.texts.append((doc_id, held_out, text))
+        if held_out:
+            for word in found:
+                self.words.setdefault(word, 0)
+        else:
+            self.words.update(found)
+        for item in _items([text], self.depth):
+            self.new[held_out].append(item)
+            self.new_bytes += len(item[2])
+            if self.new_bytes >= _CHUNK:
+                self.count()
+        self.bytes += len(text) + 1
 
     def count(self) -> None:
         for held_out, items in self.new.items():
@@ -322,32 +377,40 @@ class _Batch:
 
     @property
     def full(self) -> bool:
-        return self.bytes >= _BATCH_BYTES or self.held >= _BATCH_GRAMS and len(self.keys) == 1
+        many = self.held >= _BATCH_GRAMS and len(self.keys) == 1 or len(self.words) >= _BATCH_WORDS
+        return many or self.bytes >= _BATCH_BYTES
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.count()
-        for at in range(0, len(self.pieces), _TEXTS):
-            rows, data = zip(*self.pieces[at : at + _TEXTS], strict=True)
-            yield _batch(batch=pa.array([self.number] * len(rows), pa.int64()), row=pa.array(rows, pa.int64()), data=pa.array(data, pa.binary()))
+        for at in range(0, len(self.texts), _TEXTS):
+            ids, held, data = zip(*self.texts[at : at + _TEXTS], strict=True)
+            columns = {"doc_ids": pa.array([ids], pa.list_(pa.int64())), "held_out": pa.array([held], pa.list_(pa.bool_()))}
+            yield self._rows(1, data=pa.array([_joined(data)], pa.binary()), **columns)
         self.merge()
-        grams, counts = self.keys[0], self.counts[0]
-        bucket = _buckets(grams)
-        order = np.argsort(bucket, kind="stable")
-        grams, counts, bucket = grams[order], counts[order], bucket[order]
-        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = np.append(starts[1:], len(grams))
+        order, bucket = _by_bucket(self.keys[0])
+        yield from self._keyed("bucket", bucket, self.keys[0][order], self.counts[0][order], _packed)
+        if self.words:
+            word, times = merged([_hashes(self.words)], [np.fromiter(self.words.values(), np.int64)])
+            yield from self._keyed("slice", (word >> _U(64 - _SLICE_BITS)).astype(np.int32), word, times, np.ndarray.tobytes)
+
+    def _keyed(self, name: str, places: np.ndarray, keys: np.ndarray, counts: np.ndarray, pack) -> Iterator[pa.RecordBatch]:
+        starts, ends = _spans(places)
         for at in range(0, len(starts), 1024):
             spans = list(zip(starts[at : at + 1024].tolist(), ends[at : at + 1024].tolist(), strict=True))
-            yield _batch(
-                batch=pa.array([self.number] * len(spans), pa.int64()),
-                bucket=pa.array(bucket[starts[at : at + 1024]], pa.int32()),
-                grams=pa.array([_packed(grams[a:b]) for a, b in spans], pa.binary()),
-                counts=pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in spans], pa.binary()),
-            )
+            columns = {
+                name: pa.array(places[starts[at : at + 1024]], pa.int32()),
+                "keys": pa.array([pack(keys[a:b]) for a, b in spans], pa.binary()),
+                "counts": pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in spans], pa.binary()),
+            }
+            yield self._rows(len(spans), **columns)
+
+    def _rows(self, size: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["batch"] = pa.array(np.full(size, self.number, np.int64))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in READ], schema=READ)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (bucket, batch, grams, counts) that come by bucket, in pieces that hold whole buckets."""
+    """Rows (bucket, batch, keys, counts) that come by bucket, in pieces that hold whole buckets."""
     held, size, last = [], 0, None
     for part in batches:
         for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -402,6 +465,30 @@ def _model_of(weighed: dict[int, tuple], above_level: tuple | None, depth: int,
     return ContextModel(depth, SLOT_BITS, slot, payload, weight, above)
 
 
+VALUES = "batch long, place int, values binary"
+
+
+def _values(rows: list[tuple], values: list[bytes], **more: pa.Array) -> pa.RecordBatch:
+    columns = {
+        "batch": pa.array([r[1] for r in rows], pa.int64()),
+        "place": pa.array([r[0] for r in rows], pa.int32()),
+        "values": pa.array(values, pa.binary()),
+    }
+    return pa.RecordBatch.from_pydict(columns | more)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of a slice how often learning texts have its words, and of the first how many words of its piece they have."""
+    for group in _groups(batches):
+        words = [np.frombuffer(r[2], np.uint64) for r in group]
+        key, n = merged(words, [np.frombuffer(zlib.decompress(r[3]), np.int64) for r in group])
+        seen = np.zeros(len(group), np.int64)
+        seen[0] = np.count_nonzero(n)
+        for at in range(0, len(group), 1024):
+            to = slice(at, at + 1024)
+            yield _values(group[to], [n[np.searchsorted(key, w)].tobytes() for w in words[to]], seen=pa.array(seen[to]))
+
+
 def _score_grams(depth: int, shared):
     """For each row of a bucket the scores of its grams, in their order."""
 
@@ -415,48 +502,65 @@ def _score_grams(depth: int, shared):
             found = found.astype(np.float32)
             for at in range(0, len(group), 1024):
                 rows = group[at : at + 1024]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.binary()),
-                        pa.array([found[np.searchsorted(key, _unpacked(r[2]))].tobytes() for r in rows], pa.binary()),
-                    ],
-                    names=["batch", "grams", "scores"],
-                )
+                yield _values(rows, [_packed_scores(found[np.searchsorted(key, _unpacked(r[2]))]) for r in rows])
 
     return scores
 
 
-def _sum_pieces(depth: int):
-    def sums(pieces: pa.Table, scored: pa.Table) -> pa.Table:
-        """Scores of a batch's pieces by row, from its grams' scores."""
-        grams = np.concatenate([_unpacked(g) for g in scored.column("grams").to_pylist()])
-        values = np.concatenate([np.frombuffer(v, np.float32) for v in scored.column("scores").to_pylist()])
-        order = np.argsort(grams)
-        grams, values = grams[order], values[order]
-        # most grams are found by their hash, the others by search
-        place = lambda g: (g * _HASH >> _U(64 - _TABLE_BITS)).astype(np.int64)
-        keys, table = np.full(1 << _TABLE_BITS, (1 << 64) - 1, np.uint64), np.zeros(1 << _TABLE_BITS, np.float32)
-        at = place(grams)
-        keys[at] = grams
-        own = keys[at] == grams
-        table[at[own]] = values[own]
-        rows, data = pieces.column("row").to_numpy(), pieces.column("data")
-        totals, held, size, first = np.zeros(len(rows)), [], 0, 0
-        for i, piece in enumerate(data):
-            piece = piece.as_py()
-            held.append((i, piece[:depth], piece[depth:]))
-            size += len(piece)
-            if size >= _CHUNK or i == len(rows) - 1:
-                found = _grams(held, depth)
-                at = place(found)
-                score = table[at].astype(np.float64)
-                other = np.flatnonzero(keys[at] != found)
-                score[other] = values[np.searchsorted(grams, found[other])]
-                ends = np.cumsum([len(body) for _, _, body in held])
-                totals[first : i + 1] = np.add.reduceat(score, np.concatenate(([0], ends[:-1])))
-                held, size, first = [], 0, i + 1
-        return pa.table({"_scored": pa.array(rows), "part": pa.array(totals)})
+TEXTS = "doc_id long, held_out boolean, n_words long, bytes long, score double, logs double, known long"
+
+
+def _sum_grams(texts: list[bytes], values: list[bytes], depth: int) -> np.ndarray:
+    """Score of each of a batch's texts, from its grams' scores by bucket."""
+    keys, size = [], 0
+    for _, found in gram_batches(texts, depth):
+        keys.append(_distinct([found]))
+        size += len(keys[-1])
+        if size > 2 * _BATCH_GRAMS:
+            keys = [_distinct(keys)]
+            size = len(keys[0])
+    grams = _distinct(keys)
+    scores = np.empty(len(grams), np.float32)
+    scores[_by_bucket(grams)[0]] = np.concatenate([_unpacked_scores(v) for v in values])
+    totals = np.zeros(len(texts))
+    for held, found in gram_batches(texts, depth):
+        key, place = np.unique(found, return_inverse=True)
+        score = scores[np.searchsorted(grams, key)].astype(np.float64)[place]
+        ends = np.cumsum([len(body) for _, _, body in held])
+        np.add.at(totals, [i for i, _, _ in held], np.add.reduceat(score, np.concatenate(([0], ends[:-1]))))
+    return totals
+
+
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    key = np.sort(np.concatenate(keys))  # much faster than by np.unique, which hashes
+    return key[np.concatenate(([True], key[1:] != key[:-1]))]
+
+
+def _sum_words(texts: list[bytes], values: list[bytes]) -> Iterator[tuple[int, float, int]]:
+    """Words of each of a batch's texts, the sum of log10(count + 1) over them and how many are known."""
+    words: defaultdict[bytes, int] = defaultdict()
+    words.default_factory = words.__len__
+    places = [np.fromiter(map(words.__getitem__, t.split()), np.int32) for t in texts]
+    hashes = _hashes(words)
+    counts = np.concatenate([np.frombuffer(v, np.int64) for v in values]) if values else np.zeros(0, np.int64)
+    log = np.log10(counts + 1.0)[np.unique(hashes, return_inverse=True)[1]]
+    for place in places:
+        logs = log[place]
+        yield len(logs), float(logs.sum()), int(np.count_nonzero(logs))
+
+
+def _sum_texts(depth: int):
+    def sums(rows: pa.Table, found: pa.Table) -> pa.Table:
+        """A batch's texts with their sums over the scores of its grams and the counts of its words."""
+        texts = [t for data in rows.column("data").to_pylist() for t in _parted(data)]
+        found = found.sort_by("place")
+        values = [found.column("values").filter(m).to_pylist() for m in (pc.greater_equal(found.column("place"), 0), pc.less(found.column("place"), 0))]
+        score = _sum_grams(texts, values[0], depth)
+        n, logs, known = zip(*_sum_words(texts, values[1]), strict=True)
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        columns = [pa.array(n, pa.int64()), sizes, pa.array(score), pa.array(logs), pa.array(known, pa.int64())]
+        names = ["doc_id", "held_out", "n_words", "bytes", "score", "logs", "known"]
+        return pa.table([pc.list_flatten(rows.column("doc_ids")), pc.list_flatten(rows.column("held_out")), *columns], names=names)
 
     return sums
 
@@ -476,123 +580,59 @@ def _upper(tops: pa.Table, depth: int) -> tuple[tuple | None, ContextModel]:
     return levels[LOCAL_DEPTH - 1], _model_of(weigh(levels, (nodes, children)), None, depth)
 
 
-def _row_scores(made: DataFrame, depth: int) -> DataFrame:
-    """Rows (_scored, score): log10 of the probability of each text and its end, from what ``_read`` makes.
+def _dealt(made: DataFrame, place: str, count: int) -> DataFrame:
+    """The rows of keys that have this place, each place in one task."""
+    rows = made.where(F.col(place).isNotNull()).select(place, "batch", "keys", "counts")
+    return rows.repartition(count, place).sortWithinPartitions(place)
+
 
-    The driver gets the nodes of two context bytes. A task holds the grams of some buckets, packed for
-    each batch of texts that has them.
+def _text_sums(made: DataFrame, depth: int) -> tuple[DataFrame, int]:
+    """One row per text (``TEXTS``), from what ``_read`` makes, and how many words learning texts have.
+
+    The driver gets the nodes of two context bytes. A task holds the grams of some buckets, or the words of
+    some slices, packed for each batch of texts that has them.
     """
     spark = made.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = made.where("bucket is not null").select("bucket", "batch", "grams", "counts")
-    packed = packed.repartition(count, "bucket").sortWithinPartitions("bucket")
+    packed = _dealt(made, "bucket", count)
     tops = packed.mapInArrow(_top_nodes(depth), "node long, zeros long, ones long, children double")
     sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "children")]
     shared = spark.sparkContext.broadcast(_upper(tops.groupBy("node").agg(*sums).toArrow(), depth))
-    scored = packed.mapInArrow(_score_grams(depth, shared), "batch long, grams binary, scores binary")
-    pieces = made.where("data is not null").select("batch", "row", "data")
-    parts = pieces.groupBy("batch").cogroup(scored.groupBy("batch")).applyInArrow(_sum_pieces(depth), "_scored long, part double")
-    return parts.groupBy("_scored").agg(F.sum("part").alias("score"))
+    scored = packed.mapInArrow(_score_grams(depth, shared), VALUES)
+    counted = materialise(_dealt(made, "slice", count).mapInArrow(_count_words, VALUES + ", seen long"), "words")
+    # slices stand before all buckets, in their order
+    found = scored.unionByName(counted.select("batch", (F.col("place") - (1 << _SLICE_BITS)).alias("place"), "values"))
+    texts = made.where("data is not null").select("batch", "doc_ids", "held_out", "data")
+    summed = texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(_sum_texts(depth), TEXTS)
+    return summed, counted.agg(F.sum("seen").alias("seen")).first().seen or 0
 
 
 READ = pa.schema(
-    [("word", pa.int64()), ("learned", pa.int64()), ("rows", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
-    + [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64())]
-    + [("bytes", pa.int64()), ("batch", pa.int64()), ("data", pa.binary()), ("bucket", pa.int32())]
-    + [("grams", pa.binary()), ("counts", pa.binary())]
-)
-READ_SCHEMA = (
-    "word long, learned long, rows array<int>, times array<int>, row long, doc_id long, held_out boolean, "
-    "n_words long, bytes long, batch long, data binary, bucket int, grams binary, counts binary"
+    [("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("data", pa.binary())]
+    + [("bucket", pa.int32()), ("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
 )
-
-
-def _batch(**columns: pa.Array) -> pa.RecordBatch:
-    size = len(columns["row"] if "row" in columns else columns["batch"])
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in READ], schema=READ)
-
-
-def _word_hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    value = xxh64_intdigest(word)
-    return value - (1 << 64) if value >= 1 << 63 else value
+READ_SCHEMA = "batch long, doc_ids array<long>, held_out array<boolean>, data binary, bucket int, slice int, keys binary, counts binary"
 
 
 def _read(depth: int):
-    """Rows of texts, of words, of pieces of texts and of packed grams, from rows (doc_id, text, held_out)."""
+    """Rows of texts, of packed grams and of packed words, from rows (doc_id, text, held_out)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         number = TaskContext.get().partitionId() << 33
         part = _Batch(number, depth)
         for batch in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
-            ids, texts, held = (c.to_pylist() for c in batch.columns)
-            words: dict[bytes, int] = {}
-            entries = array("i")  # word, text, times
-            learned: list[int] = []
-            sizes, spelled = [], []
-            for i, (text, out) in enumerate(zip(texts, held, strict=True)):
-                own: dict[bytes, int] = {}
-                found = normal_words(text)
-                for word in found:
-                    own[word] = own.get(word, 0) + 1
-                for word, n in own.items():
-                    number_of = words.setdefault(word, len(words))
-                    if number_of == len(learned):
-                        learned.append(0)
-                    if not out:
-                        learned[number_of] += n
-                    entries.extend((number_of, i, n))
-                sizes.append(len(found))
-                spelled.append(b" ".join(found))
-            n = len(texts)
-            yield _batch(
-                row=pa.array(range(row, row + n), pa.int64()), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()),
-                n_words=pa.array(sizes, pa.int64()), bytes=pa.array([len(s) for s in spelled], pa.int64()),
-            )
-            for i, before, body in _items(spelled, depth):
-                part.add(row + i, before, body, bool(held[i]))
+            for doc_id, text, held_out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part.add(doc_id, bool(held_out), normal_words(text))
                 if part.full:
                     yield from part.rows()
                     number += 1
                     part = _Batch(number, depth)
-            if entries:
-                word_of, rows, times = np.frombuffer(entries, np.int32).reshape(-1, 3).T
-                order = np.argsort(word_of, kind="stable")
-                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(word_of)))), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (rows, times)]
-                yield _batch(
-                    word=pa.array(map(_word_hash, words), pa.int64()), learned=pa.array(learned, pa.int64()),
-                    rows=lists[0], times=lists[1], row=pa.array(np.full(len(words), row)),
-                )
-            row += n
-        if part.pieces:
+        if part.texts:
             yield from part.rows()
 
     return read
 
 
-def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row of the texts: sums over its words of times * log10(count + 1), and of times of known words."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        count, first, rows, times = batch.columns
-        lengths = np.diff(rows.offsets.to_numpy())
-        each = np.repeat(count.to_numpy(), lengths)
-        n = times.flatten().to_numpy()
-        row, place = np.unique(np.repeat(first.to_numpy(), lengths) + rows.flatten().to_numpy(), return_inverse=True)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(row),
-                pa.array(np.bincount(place, weights=n * np.log10(each + 1.0), minlength=len(row))),
-                pa.array(np.bincount(place, weights=n * (each > 0), minlength=len(row)).astype(np.int64)),
-            ],
-            names=["_row", "logs", "known"],
-        )
-
-
 def score_texts(docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bytes, bits_per_byte.
 
@@ -601,35 +641,25 @@ def score_texts(docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str
     and empty texts are an end alone; rows that repeat are scored each; without learning rows every
     bit has chance 1/2.
 
-    Words of the base are counted by the 64-bit hash of each word. For a batch of texts a word is one
-    row that lists the texts it is in (their places in the batch), so a word that all texts hold is a row per batch; the join with
-    the counts is one that Spark splits when it is skewed.
+    Words of the base are counted by the 64-bit hash of each word. A word is one number per batch of
+    texts, so one that all texts hold is a number per batch.
     """
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), held_out.alias("held_out")
     )
     made = materialise(rows.mapInArrow(_read(DEPTH), READ_SCHEMA), "read")
-    texts = made.where("n_words is not null").select("row", "doc_id", "held_out", "n_words", "bytes")
-    texts = texts.join(_row_scores(made, DEPTH), F.col("row") == F.col("_scored")).drop("_scored")
-    texts = materialise(texts, "scored")
-    lists = made.where("word is not null").select("word", "learned", "row", "rows", "times")
-    counts = lists.groupBy(F.col("word").alias("_word")).agg(F.sum("learned").alias("count")).where("count > 0")
-    counts = materialise(counts, "words")
-    size = counts.agg(F.sum("count").alias("words"), F.count("*").alias("distinct")).first()
-    learning = texts.where("not held_out").count()
-    tokens, distinct = (size.words or 0) + learning, size.distinct + (learning > 0)
-    joined = lists.join(counts, F.col("word") == F.col("_word"), "left")
-    sums = joined.select(F.coalesce("count", F.lit(0)).alias("count"), "row", "rows", "times").mapInArrow(
-        _sum_words, "_row long, logs double, known long"
-    )
-    sums = sums.groupBy("_row").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
+    summed, distinct = _text_sums(made, DEPTH)
+    texts = materialise(summed, "scored")
+    size = texts.where("not held_out").agg(F.sum("n_words").alias("words"), F.count("*").alias("texts")).first()
+    learning = size.texts
+    tokens, distinct = (size.words or 0) + learning, distinct + (learning > 0)
     n_tokens = F.col("n_words") + 1
-    logs = F.coalesce("logs", F.lit(0.0)) + F.lit(math.log10(learning + 1))
-    return texts.join(sums, F.col("row") == F.col("_row"), "left").select(
+    logs = F.col("logs") + F.lit(math.log10(learning + 1))
+    return texts.select(
         "doc_id",
         "held_out",
         n_tokens.alias("n_tokens"),
-        (F.coalesce("known", F.lit(0)) + F.lit(int(learning > 0))).alias("n_known"),
+        (F.col("known") + F.lit(int(learning > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (logs - n_tokens * F.lit(math.log10(tokens + distinct + 1))).alias("base_score"),
         "score",

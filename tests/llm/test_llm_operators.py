@@ -8,9 +8,11 @@ import random
 import re
 import string
 import tempfile
+import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -188,6 +190,25 @@ def test_scores_odd_rows(odd, none):
     assert untaught.train_tokens == 0 and untaught.score == pytest.approx(8 * math.log10(0.5) * (untaught.bytes + 1))
 
 
+def test_a_batch_sends_each_word_and_gram_once():
+    batch = ctw._Batch(0, ctw.DEPTH)
+    for i in range(1200):
+        batch.add(i, i % 4 == 0, [b"the", b"word%d" % (i % 50), b"the"])
+    rows = pa.Table.from_batches(batch.rows()).to_pylist()
+    unpacked = lambda r: np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    words = [r for r in rows if r["slice"] is not None]
+    assert sorted(x for r in words for x in np.frombuffer(r["keys"], np.uint64)) == sorted(
+        ctw._hashes([b"the", *(b"word%d" % i for i in range(50))])
+    )
+    assert sum(unpacked(r).sum() for r in words) == 900 * 3
+    grams = np.concatenate([ctw._unpacked(r["keys"]) for r in rows if r["bucket"] is not None])
+    assert len(grams) == len(np.unique(grams))
+    texts = [(i, t) for r in rows if r["data"] for i, t in zip(r["doc_ids"], ctw._parted(r["data"]), strict=True)]
+    assert texts == [(i, b"the word%d the" % (i % 50)) for i in range(1200)]
+    scores = np.linspace(-9, -0.001, 777).astype(np.float32)
+    assert (ctw._unpacked_scores(ctw._packed_scores(scores)) == scores).all()
+
+
 def test_weights_are_those_of_the_definition():
     """Log mixed probability of the root, by recursion over all contexts."""
     text = b"abracadabra abracadabra"
