@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snapgrade.llm.components import components
-from snapgrade.session import materialise
+from snapgrade.session import materialise, scratch_path
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -382,14 +382,19 @@ def shingle_sets(
     ``n`` is the number of distinct shingles, ``set`` names the set (equal sets have equal names), ``alone``
     counts the shingles that no other document has. ``shingles`` are the others, in the global order;
     null where ``alone`` leaves no room for a partner of the similarity asked for. ``marks`` are parity bits of them.
+    The rows are a table; the blocks that they come from, the largest table of the operator, are emptied.
     """
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     heavy, total = _heavy_counters(texts, words)
     slices = max(SLICES, total // SLICE_SHINGLES)
-    blocks = materialise(texts.mapInArrow(_pack(words, heavy, slices), _BLOCK), "blocks")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "blocks")
+    texts.mapInArrow(_pack(words, heavy, slices), _BLOCK).write.parquet(path)
+    blocks = spark.read.schema(_BLOCK).parquet(path)
     shared = blocks.where("slice >= 0").groupBy("slice").applyInArrow(_shared, _BLOCK)
     rows = shared.unionByName(blocks.where("slice < 0"))
-    return rows.groupBy("block").applyInArrow(_assemble(percent), SETS)
+    sets = materialise(rows.groupBy("block").applyInArrow(_assemble(percent), SETS), "sets")
+    spark.createDataFrame([], _BLOCK).write.mode("overwrite").parquet(path)
+    return sets
 
 
 def _required(na: Column, nb: Column, percent: int) -> Column:
@@ -456,17 +461,24 @@ def similar_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = materialise(links.unionByName(_verified(_expanded(starred, parts, "f", "e"), sets, percent)), "links")
     # what is left: pairs of different components in one list
     parts, spread = _open_lists(entries, member, links)
-    marked = parts.join(sets.select("set", "alone", "marks"), "set").select(
-        F.col("group").alias("_group"), F.col("part").alias("_part"), "set", "alone", "marks"
+    marked = parts.join(prefixed.select("set", "alone", "marks", "prefix"), "set").select(
+        F.col("group").alias("_group"), F.col("part").alias("_part"), "set", "alone", "marks", "prefix"
     )
     spread = spread.join(marked, (F.col("e.group") == F.col("_group")) & (F.col("e.part") == F.col("_part")))
-    side = lambda name: spread.select("shingle", F.struct("e.n", "e.pos", "e.part", "set", "alone", "marks").alias(name))
-    may = (F.col("x.part") < F.col("y.part")) & _can_meet("x", "y", percent) & _marks_allow("x", "y", percent)
-    across = side("x").join(side("y"), "shingle").where(may)
-    left = across.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    left = _across(spread.select("shingle", "e.n", "e.pos", "e.part", "set", "alone", "marks", "prefix"), percent)
     return components(links.unionByName(_verified(left, sets, percent)))
 
 
+def _across(listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that can be similar; each pair where it first meets, so one
+    row however many lists both sets are in. ``listed(shingle, n, pos, part, set, alone, marks, prefix)``."""
+    before = F.slice("prefix", 1, (F.col("pos") - F.col("alone")).cast("int")).alias("before")
+    side = lambda name: listed.select("shingle", F.struct("n", "pos", "part", "set", "alone", "marks", before).alias(name))
+    may = (F.col("x.part") < F.col("y.part")) & _can_meet("x", "y", percent) & _marks_allow("x", "y", percent)
+    met = side("x").join(side("y"), "shingle").where(may & ~F.arrays_overlap("x.before", "y.before"))
+    return met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+
+
 def _spot(group: str, *seed: str | Column, part: Column | None = None) -> Column:
     """A group's place in a list, for the least by hash of the seed."""
     prefix = group[: -len("group")]
@@ -510,7 +522,7 @@ def jaccard_components(
     null doc_id counts as none, so a component only of such rows has a null id. Repeated rows give a row each;
     an empty table none; further columns are ignored. Texts of any length are taken whole.
     """
-    rows = materialise(shingle_sets(docs, doc_id=doc_id, text=text, words=words, percent=percent), "sets")
+    rows = shingle_sets(docs, doc_id=doc_id, text=text, words=words, percent=percent)
     able = rows.where(F.col("shingles").isNotNull())
     sets = able.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "alone", "shingles", "marks")))
     roots = materialise(similar_sets(materialise(sets, "distinct-sets"), percent), "roots")

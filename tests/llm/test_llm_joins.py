@@ -84,6 +84,25 @@ def test_join_of_repeated_and_null_ids_and_no_rows(spark):
     assert jaccard.jaccard_components(table(spark, [])).collect() == []
 
 
+def test_sets_of_many_common_lists_are_paired_once(spark):
+    prefixes = {"a": ("p", 1, [1, 2, 3, 4]), "b": ("q", 0, [0, 1, 2, 3, 4]), "c": ("p", 0, [2, 4])}
+    rows = [
+        (shingle, 40, alone + at, part, name, alone, [0] * jaccard.MARK_WORDS, prefix)
+        for name, (part, alone, prefix) in prefixes.items() for at, shingle in enumerate(prefix)
+    ]
+    listed = spark.createDataFrame(
+        rows, "shingle long, n long, pos long, part string, set string, alone long, marks array<long>, prefix array<long>"
+    )
+    assert sorted(map(tuple, jaccard._across(listed, 80).collect())) == [("a", "b"), ("c", "b")]
+
+
+def test_blocks_of_shingles_do_not_stay(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "scratch_path", lambda spark, label: str(tmp_path / label))
+    docs = table(spark, [(i, f"one two three four five six {i % 3}", "en", "a", 1) for i in range(9)])
+    assert jaccard.shingle_sets(docs).count() == 9
+    assert spark.read.schema(jaccard._BLOCK).parquet(str(tmp_path / "blocks")).count() == 0
+
+
 def test_hashes_of_pieces_are_those_of_whole_texts(texts, monkeypatch):
     data = [(t or "").encode() for t in texts]
     offsets = np.cumsum([0, *map(len, data)])
