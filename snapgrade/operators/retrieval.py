@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -42,7 +43,8 @@ PIVOTS = 256  # default number of pivots
 SALTS = 64  # parts in which an entity's references are ranked
 BLOCK_BYTES = 8 << 20  # of vectors per side of one task
 MATRIX_CELLS = 4 << 20
-_GROUP = 16  # references of which the best is taken to screen the others
+SLICE, TILE = 512, 2048  # queries and references of one product, so that its cells stay in the processor's cache
+_GROUP = 16  # references of which the best is taken to screen the others; a power of two
 _SLACK = 1e-6  # radians; covers rounding of angles and of ranked similarities
 
 
@@ -50,6 +52,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64)
 
 
+def _table_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The same from an Arrow column, without an object per row."""
+    rows = column.combine_chunks()
+    widths = np.unique(rows.value_lengths())
+    if len(widths) != 1:
+        raise ValueError(f"vectors of one width wanted, not of {widths.tolist()}")
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), widths[0]).astype(np.float64)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; rows without a direction become zero rows."""
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -77,25 +88,51 @@ def _dense(queries: np.ndarray, refs: np.ndarray, id_order: np.ndarray, k: int)
     return best, np.take_along_axis(sims, best, axis=1)
 
 
+def _true_cells(mask: np.ndarray) -> np.ndarray:
+    """Positions of the few true cells in the flattened mask: 64 cells are one word, and words without any are passed over."""
+    flat = mask.reshape(-1)
+    whole = len(flat) // 64 * 64
+    words = np.flatnonzero(np.packbits(flat[:whole]).view(np.uint64))
+    at, bit = np.divmod(np.flatnonzero(flat[:whole].reshape(-1, 64)[words].reshape(-1)), 64)
+    return np.concatenate([words[at] * 64 + bit, whole + np.flatnonzero(flat[whole:])])
+
+
 def _screened(
     queries: np.ndarray, refs: np.ndarray, short: np.ndarray, id_order: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray] | None:
     """The same from exact similarities of those only that single precision leaves; None if it leaves too many.
 
-    References are taken in k groups or more. The k-th of the groups' best similarities is one that k
-    references reach, so one below it by more than single precision can err is not among the k best.
+    References come in tiles. Those of the first are taken in k groups or more: the k-th of the groups' best
+    similarities is one that k references reach, so one of any tile below it by more than single precision
+    can err is not among the k best. ``short`` is ``refs`` in single precision.
     """
     count, width = refs.shape
-    sims = queries.astype(np.float32) @ short.T
-    empty = ~refs.any(axis=1)
-    sims[:, empty] = NO_SIMILARITY
-    whole = count // _GROUP * _GROUP
-    best = sims[:, :whole].reshape(len(sims), _GROUP, -1).max(axis=1)
-    reached = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
-    mask = sims >= (reached - 4 * (width + 8) * np.finfo(np.float32).eps)[:, None]
-    if np.count_nonzero(mask) > mask.size // 8:
-        return None
-    row, col = np.divmod(np.flatnonzero(mask), count)
+    empty = ~short.any(axis=1)  # rows of length 1 or 0
+    asked = queries.astype(np.float32)
+    tile = max(TILE, 4 * _GROUP * k)
+    rows, cols = [], []
+    left, most = 0, len(asked) * count // 8
+    product = np.empty(len(asked) * min(tile, count), dtype=np.float32)
+    above = np.empty(len(product), dtype=bool)
+    for start in range(0, count, tile):
+        part = short[start : start + tile]
+        size = len(asked) * len(part)
+        sims = np.matmul(asked, part.T, out=product[:size].reshape(len(asked), -1))
+        sims[:, empty[start : start + tile]] = NO_SIMILARITY
+        if not start:
+            best = sims[:, : len(part) // _GROUP * _GROUP]
+            for _ in range(_GROUP.bit_length() - 1):  # halves: a group's members are as far apart as there are groups
+                best = np.maximum(*np.split(best, 2, axis=1))
+            reached = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+            least = (reached - 4 * (width + 8) * np.finfo(np.float32).eps)[:, None]
+        mask = np.greater_equal(sims, least, out=above[:size].reshape(sims.shape))
+        left += np.count_nonzero(mask)
+        if left > most:
+            return None
+        row, col = np.divmod(_true_cells(mask), len(part))
+        rows.append(row)
+        cols.append(col + start)
+    row, col = np.concatenate(rows), np.concatenate(cols)
     exact = np.empty(len(row))
     for at in range(0, len(row), 1 << 16):
         to = slice(at, at + (1 << 16))
@@ -103,8 +140,8 @@ def _screened(
     exact = np.round(exact, RANK_DECIMALS)
     exact[empty[col]] = NO_SIMILARITY
     order = np.lexsort((id_order[col], -np.rint(exact * 10**RANK_DECIMALS), row))
-    first = np.searchsorted(row, np.arange(len(queries)))[:, None] + np.arange(k)
-    found = order[first]  # rows ascend, also after the sort
+    first = np.searchsorted(row[order], np.arange(len(queries)))[:, None] + np.arange(k)
+    found = order[first]
     return col[found], exact[found]
 
 
@@ -113,32 +150,32 @@ def _nearest(
 ) -> pd.DataFrame:
     """The k best references (similarity down, id up) of every query among the given ones.
 
-    Queries are taken in slices to bound the matrix in memory.
+    Queries are taken in slices to bound the matrix in memory, references in an order without a meaning, so
+    that the first of them screen the others also where like ones come together.
     """
     count = len(ref_ids)
     k = min(k, count)
     if not k or not len(query_ids):
         return pd.DataFrame({"query_id": query_ids[:0], "ref_id": ref_ids[:0], "score": np.zeros(0)})
+    mixed = np.random.default_rng(count).permutation(count)
+    ref_ids, refs = ref_ids[mixed], refs[mixed]
     id_order = np.empty(count, dtype=np.int64)
     id_order[np.argsort(ref_ids, kind="stable")] = np.arange(count)
     short = refs.astype(np.float32)
-    step = max(1, MATRIX_CELLS // count)
+    step = max(SLICE, SLICE * TILE // count)
     parts = []
     for start in range(0, len(query_ids), step):
         asked = queries[start : start + step]
         # single precision pays for many references; a query without a direction is like all of them
         screen = count >= 4 * _GROUP * k and asked.any(axis=1).all()
-        best, sims = (screen and _screened(asked, refs, short, id_order, k)) or _dense(asked, refs, id_order, k)
-        parts.append(
-            pd.DataFrame(
-                {
-                    "query_id": np.repeat(query_ids[start : start + step], k),
-                    "ref_id": ref_ids[best.ravel()],
-                    "score": sims.ravel(),
-                }
-            )
-        )
-    return pd.concat(parts)
+        found = _screened(asked, refs, short, id_order, k) if screen else None
+        if found:
+            parts.append(found)
+        else:
+            few = max(1, MATRIX_CELLS // count)
+            parts += [_dense(asked[at : at + few], refs, id_order, k) for at in range(0, len(asked), few)]
+    best, sims = (np.concatenate(column).ravel() for column in zip(*parts))
+    return pd.DataFrame({"query_id": np.repeat(query_ids, k), "ref_id": ref_ids[best], "score": sims})
 
 
 def _ids(column: pd.Series) -> np.ndarray:
@@ -340,17 +377,18 @@ def rank_blocks(
         .select(*cell, "block", "chunk", "ref_id", "vector")
     )
 
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            # ids keep their type: an empty column of floats is no column of strings
-            return pd.DataFrame({"query_id": _ids(left["query_id"])[:0], "ref_id": _ids(right["ref_id"])[:0], "score": np.zeros(0)})
-        return _nearest(
-            _ids(left["query_id"]), _unit(_matrix(left["vector"])),
-            _ids(right["ref_id"]), _unit(_matrix(right["vector"])), k,
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = pa.schema([left.schema.field("query_id"), right.schema.field("ref_id"), ("score", pa.float64())])
+        if not len(left) or not len(right):
+            return ids.empty_table()
+        found = _nearest(
+            _ids(left["query_id"].to_pandas()), _unit(_table_matrix(left["vector"])),
+            _ids(right["ref_id"].to_pandas()), _unit(_table_matrix(right["vector"])), k,
         )
+        return pa.Table.from_pandas(found, schema=ids, preserve_index=False)
 
     at = (*cell, "block", "chunk")
-    return query_side.groupBy(*at).cogroup(ref_side.groupBy(*at)).applyInPandas(rank, schema)
+    return query_side.groupBy(*at).cogroup(ref_side.groupBy(*at)).applyInArrow(rank, schema)
 
 
 def vector_width(df: DataFrame) -> int:

@@ -178,3 +178,44 @@ def test_references_above_the_budget_are_searched_by_pivots(spark, monkeypatch):
     assert retrieval.small_refs_strategy(refs) == "broadcast_refs" and retrieval.small_refs_strategy(refs, 32) == "pivots"
     monkeypatch.setattr(retrieval, "small_refs_strategy", lambda refs, most=32, of=retrieval.small_refs_strategy: of(refs, most))
     assert rows(q_retrieval._found(queries, refs)) == wanted and len(wanted) == 6
+
+
+def test_screening_holds_no_matrix_of_all_pairs_and_finds_late_copies():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    refs = retrieval._unit(rng.normal(size=(20_001, 16)))
+    refs[15_000:15_050] = refs[3]  # ties of a later tile
+    queries = np.vstack([refs[:40], retrieval._unit(rng.normal(size=(160, 16)))])
+    order = rng.permutation(len(refs))
+    short = refs.astype(np.float32)
+    tracemalloc.start()
+    found = retrieval._screened(queries, refs, short, order, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best, sims = retrieval._dense(queries, refs, order, 3)
+    assert (found[0] == best).all() and np.allclose(found[1], sims, rtol=0, atol=2e-9)
+    assert peak < 200 * 20_001 * 4  # one single-precision matrix of all pairs
+
+
+def test_search_by_slices_and_tiles_equals_the_dense_one(monkeypatch):
+    rng = np.random.default_rng(8)
+    refs = retrieval._unit(np.repeat(rng.normal(size=(90, 8)), 40, axis=0) + rng.normal(scale=0.05, size=(3600, 8)))
+    refs[50:90], refs[2000:2030] = refs[7], 0.0
+    queries = np.vstack([refs[::9], np.zeros((1, 8))])
+    ids, ref_ids = np.arange(len(queries)), rng.permutation(3600)
+    sorted_rows = lambda df: df.sort_values(["query_id", "score", "ref_id"], ascending=[True, False, True]).to_numpy()
+    monkeypatch.setattr(retrieval, "SLICE", 64)
+    monkeypatch.setattr(retrieval, "TILE", 256)
+    got = sorted_rows(retrieval._nearest(ids, queries, ref_ids, refs, 3))
+    monkeypatch.setattr(retrieval, "_screened", lambda *all: None)
+    wanted = sorted_rows(retrieval._nearest(ids, queries, ref_ids, refs, 3))
+    assert (got[:, :2] == wanted[:, :2]).all() and np.allclose(got, wanted, rtol=0, atol=2e-9)
+
+
+def test_vectors_of_unlike_widths_are_refused():
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="one width"):
+        retrieval._table_matrix(pa.chunked_array([[[1.0, 2.0], [3.0]], [[4.0, 5.0, 6.0]]]))
+    assert retrieval._table_matrix(pa.chunked_array([[[1.0, 2.0]], [[3.0, None]]])).shape == (2, 2)
