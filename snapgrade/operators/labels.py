@@ -1,4 +1,8 @@
-"""Answers to labels, labels to change rows, labels to grades."""
+"""Answers to labels, labels to change rows, labels to grades.
+
+Sides with a row per entity or change are joined by merge: their columns compress so well that Spark, which
+judges by the files' size, would send them whole through the driver.
+"""
 
 from __future__ import annotations
 
@@ -168,7 +172,7 @@ def previous_value(
     inside = F.lag(wrapped).over(Window.partitionBy(group, "_span").orderBy(order))
     return (
         spanned.withColumn("_inside", inside)
-        .join(carry, [group, "_span"])
+        .join(carry.hint("merge"), [group, "_span"])
         .withColumn(output, F.coalesce("_inside", "_carry")["v"])
         .drop("_inside", "_carry", "_span")
     )
@@ -209,15 +213,15 @@ def apply_labels(
     groups = named.groupBy(name, batch).agg(F.min(seq).alias("_first"))
     labelled = materialise(
         groups.withColumn("name_key", key_of_name(F.col(name)))
-        .join(labels.select(batch, "name_key", F.col("label").alias("_label"), "reason"), [batch, "name_key"])
-        .join(entities.select(name, F.col(label).alias("_stored")), name),
+        .join(labels.select(batch, "name_key", F.col("label").alias("_label"), "reason").hint("merge"), [batch, "name_key"])
+        .join(entities.select(name, F.col(label).alias("_stored")).hint("merge"), name),
         "labelled",
     )
     chained = previous_value(labelled, name, batch, "_label", "_before")
     before = F.coalesce("_before", "_stored")
     per_group = chained.select(name, batch, "_first", "_label", "reason", before.alias("_old"))
     final = labelled.groupBy(name).agg(F.max_by("_label", batch).alias("_final"))
-    rows = named.join(per_group, [name, batch]).select(
+    rows = named.join(per_group.hint("merge"), [name, batch]).select(
         name,
         batch,
         seq,
@@ -228,7 +232,7 @@ def apply_labels(
         F.col("_label").alias("ai_classification"),
         F.col("reason").alias("ai_reasoning"),
     )
-    state = entities.join(final, name, "left")
+    state = entities.join(final.hint("merge"), name, "left")
     replaced = {label: F.coalesce("_final", label)}
     if updated:
         replaced[updated] = F.when(F.col("_final").isNotNull(), now).otherwise(F.col(updated))
@@ -244,7 +248,7 @@ def labelled_entities(
     entities: DataFrame, changes: DataFrame, name: str = "planet_name", label: str = "classification"
 ) -> DataFrame:
     """Entities with a label that was set in these change rows."""
-    return entities.filter(F.col(label).isNotNull()).join(labelled_names(changes, name), name, "left_semi")
+    return entities.filter(F.col(label).isNotNull()).join(labelled_names(changes, name).hint("merge"), name, "left_semi")
 
 
 def grade_labels(
@@ -298,7 +302,7 @@ def judge_rows(entities: DataFrame, judgments: DataFrame, *, name: str, batch: s
     return (
         entities.withColumn("name_key", key_of_name(F.col(name)))
         .select(name, *keys)
-        .join(judgments.select(*keys, "score", "reasoning"), keys)
+        .join(judgments.select(*keys, "score", "reasoning").hint("merge"), keys)
         .select(
             name,
             F.lit("LLM_JUDGE").alias("eval_type"),

@@ -289,9 +289,10 @@ def label_texts(
 
     Change rows without an entity drop out, repeated entities stay. ``context(name, context)``.
     """
-    lines = batches.select(name, "batch", "seq").join(entities, name)
+    # by merge: see operators.labels
+    lines = batches.select(name, "batch", "seq").join(entities.hint("merge"), name)
     if context is not None:
-        lines = lines.join(context, name, "left")
+        lines = lines.join(context.hint("merge"), name, "left")
         line = F.concat_ws("\n", line, texts.context_block(F.col("context")))
     return texts.batch_text(
         lines.select("batch", "seq", line.alias("line")), batch="batch", position="seq", line="line", header=header
