@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,6 +46,28 @@ def anti_existing(
     return first.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
+@dataclass(frozen=True)
+class GroupedPairs:
+    """Stored pairs that are not listed: every key of ``left(key, group)`` with every key of ``right(key, group)`` in its group.
+
+    Listed, the pairs of a group grow with the product of its sides. A null group pairs nothing.
+    """
+
+    left: DataFrame
+    right: DataFrame
+    group: str
+
+    def among(self, asked: DataFrame) -> DataFrame:
+        """The asked pairs that are stored, in work that grows with the asked pairs and the two sides.
+
+        Both sides have a row per key in small files, so they are not left to a broadcast.
+        """
+        first, second = (next(c for c in side.columns if c != self.group) for side in (self.left, self.right))
+        left = self.left.select(first, self.group).distinct().hint("merge")
+        right = self.right.select(second, self.group).distinct().hint("merge")
+        return asked.select(first, second).join(left, first).join(right, [second, self.group], "left_semi").select(first, second)
+
+
 def key_set(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).distinct()
 

@@ -11,6 +11,7 @@ from snapgrade.functions.text import json_field, num_to_text
 from snapgrade.functions.vectors import text_to_vector, vector_to_text
 from snapgrade.operators import texts
 from snapgrade.operators.batches import assign_batches
+from snapgrade.operators.dedupe import GroupedPairs
 from snapgrade.plans import run as runs
 from snapgrade.plans.q_diff import CUSTOMER_DIFF_SQL
 from snapgrade.plans.registry import query, table
@@ -121,13 +122,15 @@ def _read_part_references(spark: SparkSession, sf: str) -> DataFrame:
 def load_references(spark: SparkSession, sf: str) -> DataFrame:
     """New references with their content text in embedding batches."""
     rows = _read_part_references(spark, sf)
-    stored = (
-        table(spark, sf, "part")
-        .join(table(spark, sf, "supplier"), F.col("p_size") == F.col("s_nationkey"))
-        .select(
-            F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("planet_name"),
-            F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("reference_name"),
-        )
+    # a part is stored with each supplier of the nation that its size numbers
+    stored = GroupedPairs(
+        table(spark, sf, "part").select(
+            F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("planet_name"), F.col("p_size").alias("number")
+        ),
+        table(spark, sf, "supplier").select(
+            F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("reference_name"), F.col("s_nationkey").alias("number")
+        ),
+        "number",
     )
     loaded = runs.load_references(
         rows, stored, order=("pub_date", "planet_mass", "discovery_method"),

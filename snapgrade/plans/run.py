@@ -16,7 +16,7 @@ from snapgrade.functions.text import content_text
 from snapgrade.operators import cell_index, checks, drift, labels as label_ops, ledger, retrieval, texts
 from snapgrade.operators.answers import ask_missing
 from snapgrade.operators.batches import assign_batches
-from snapgrade.operators.dedupe import clean_keys, first_per_key
+from snapgrade.operators.dedupe import GroupedPairs, clean_keys, first_per_key
 from snapgrade.operators.diff import (
     carried_columns, changes_of, counts_of, pair_snapshots, run_result, state_of,
 )
@@ -400,7 +400,7 @@ def whole_run(
 
 def load_references(
     rows: DataFrame,
-    stored: DataFrame,
+    stored: DataFrame | GroupedPairs,
     *,
     order: Sequence[str] = ("source_file", "source_row"),
     measures: Sequence[tuple[str, str, int, str]] = (),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snapgrade import schemas
 from snapgrade.functions.text import is_blank, json_field, split_first_comma, trim_all
-from snapgrade.operators.dedupe import first_per_key
+from snapgrade.operators.dedupe import GroupedPairs, first_per_key
+from snapgrade.session import materialise
 from snapgrade.sources.json_arrays import json_arrays
 
 Fields = Sequence[tuple[str, str, str]]
@@ -99,11 +100,12 @@ def changes_of_run(changes: DataFrame, run_id: int, *, run: str = "ingest_run_id
 
 
 def new_references(
-    rows: DataFrame, stored: DataFrame, order: Sequence[str] = ("source_file", "source_row")
+    rows: DataFrame, stored: DataFrame | GroupedPairs, order: Sequence[str] = ("source_file", "source_row")
 ) -> DataFrame:
     """Rows whose (name, reference) is neither stored nor earlier in the load.
 
-    The untrimmed names stay available as ``raw_name, raw_reference`` for the content text.
+    Stored pairs are a list, or two sides by group, in which each pair of the load is looked up. The untrimmed
+    names stay available as ``raw_name, raw_reference`` for the content text.
     """
     keys = ["planet_name", "reference_name"]
     kept = rows.filter(~is_blank(F.col(keys[0])) & ~is_blank(F.col(keys[1])))
@@ -116,4 +118,7 @@ def new_references(
         }
     )
     first = first_per_key(trimmed, keys, list(order))
+    if isinstance(stored, GroupedPairs):
+        first = materialise(first, "first-references")  # asked twice
+        stored = stored.among(first)
     return first.join(stored.select(*keys).distinct(), keys, "left_anti")

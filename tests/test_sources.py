@@ -8,7 +8,7 @@ from conftest import plan_of, rows
 from snapgrade import schemas
 from snapgrade.functions.text import CONTENT_MEASURES
 from snapgrade.operators import ledger
-from snapgrade.operators.dedupe import clean_keys, first_per_key
+from snapgrade.operators.dedupe import GroupedPairs, clean_keys, first_per_key
 from snapgrade.plans import run as runs
 from snapgrade.sources import landed, sinks
 from snapgrade.sources.json_arrays import json_arrays
@@ -119,6 +119,45 @@ def test_references(spark, tmp_path):
     assert got == [("a", "R1", "2001", " a, R1, mass=1.00 Earth masses", 0), ("a", "R2", "", "a, R2", 1)]
 
 
+def test_stored_references_by_group_are_looked_up(spark):
+    """300 names of a group with 300 references: 90,000 stored pairs, of which none but those of the load are made."""
+    loads = [(f" n{i % 400}", f"r{i % 350}\t", "2001", i) for i in range(2000)] + [("n401", "r1", "2002", 0), ("n402", "r402", "2003", 0)]
+    found = spark.createDataFrame(loads, "planet_name string, reference_name string, pub_date string, at int")
+    names = spark.createDataFrame(
+        [(f"n{i}", 1) for i in range(300)] * 2 + [("n7", 2), ("n401", None)], "planet_name string, number int"
+    )
+    titles = spark.createDataFrame(
+        [(f"r{i}", 1) for i in range(300)] + [("r320", 2), ("r1", None), ("r402", 2)], "reference_name string, number int"
+    )
+    listed = names.join(titles, "number").select("planet_name", "reference_name")
+    pairs = GroupedPairs(names, titles, "number")
+    asked = found.selectExpr("trim(planet_name) AS planet_name", "trim(BOTH '\t' FROM reference_name) AS reference_name").distinct()
+    assert rows(pairs.among(asked).distinct()) == rows(asked.join(listed.distinct(), ["planet_name", "reference_name"], "left_semi"))
+    load = lambda stored: runs.load_references(found, stored, order=("at",), size=7)
+    assert rows(load(pairs)) == rows(load(listed))
+    # no list is shuffled that is longer than the load
+    kept = materialised_rows(pairs.among(asked))
+    assert kept and max(kept) <= asked.count() * 2
+
+
+def materialised_rows(df):
+    """Rows that the joins of a plan give, after it has run."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def test_two_column_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('planet_name,content\n"HD 1","one, two ""x"""\nno comma\n  ,blank name\nname,""\n\nb , plain \n')
     (tmp_path / "b.csv").write_text('planet_name,content\nc,"d"\n')
