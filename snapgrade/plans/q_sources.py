@@ -31,7 +31,7 @@ def _land_arrays(rows: DataFrame, order: list[str], element: Column, folder: str
     rows = F.array_sort(F.collect_list(F.struct("position", element.alias("element"))))
     arrays = placed.groupBy("chunk").agg(rows.alias("rows"))
     text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["element"]), ",\n"), F.lit("]"))
-    arrays.select("chunk", text.alias("value")).write.partitionBy("chunk").text(folder)
+    arrays.select("chunk", text.alias("value")).write.partitionBy("chunk").text(folder, compression="gzip")
 
 
 def _part_element() -> Column:

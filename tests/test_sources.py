@@ -98,6 +98,40 @@ def test_an_array_larger_than_one_value_may_be(spark, tmp_path):
     assert rows(found) == [("r", 150_000, 149_999), ("s", 1, 0)]
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_chunks_may_be_cut_behind_any_brace(spark, tmp_path, monkeypatch, size):
+    """Elements across chunks, escapes at their borders, files that end early: rows and places are the same."""
+    monkeypatch.setattr(sys.modules[json_arrays.__module__], "CHUNK_BYTES", size)
+    elements = ODD * 2 + [{"t": '\\"}\\', "u": ["}", {"v": '"'}]}, "\\", {"deep": [[{"x": [{}]}]]}, 3, 4]
+    (tmp_path / "a.json").write_text(json.dumps(elements))
+    (tmp_path / "b.json").write_text("[" + ", ".join(json.dumps({"n": i}) for i in range(30)) + " ]\n")
+    for i, text in enumerate(['[{"a": 1}', '[{"a": 1}}', '[{"a": {}}', '[{"a": "\\}"}]', "[] []", '[{"a": 1}, ]', '[{"a": "}]']):
+        (tmp_path / f"lost{i}.json").write_text(text)
+    found = json_arrays(spark, str(tmp_path)).select("source_file", "source_row", F.to_json("element").alias("e")).collect()
+    got = {f: sorted((r.source_row, r.e) for r in found if r.source_file.endswith(f) and r.source_row is not None) for f in ("a.json", "b.json")}
+    assert [n for n, _ in got["a.json"]] == list(range(len(elements)))
+    assert [json.loads(e) if e else None for _, e in got["a.json"]] == elements
+    assert got["b.json"] == [(i, f'{{"n":{i}}}') for i in range(30)]
+    lost = [r for r in found if "lost" in r.source_file]
+    assert len(lost) == 7 and all(r.source_row is None for r in lost)
+
+
+def test_elements_within_a_chunk_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """What is written on the way: texts once, packed, and parsed elements; no text or element is exchanged."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([{"pl_name": f"n{i}", "t": "text of some length"} for i in range(20_000)]))
+    plans, module = {}, sys.modules[json_arrays.__module__]
+    kept = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, label: plans.update({label: plan_of(df)}) or kept(df, label))
+    found = json_arrays(spark, str(folder))
+    assert found.count() == 20_000 and "Exchange" not in plans["chunks"]
+    # exchanges hold the chunks' levels and sums, never their texts
+    exchanged = "\n".join(plan_part for plan_part in plans["elements"].split("Exchange hashpartitioning")[1:])
+    assert "text#" not in exchanged.split("FileScan")[0]
+    assert rows(found.groupBy().agg(F.min("source_row"), F.max("source_row"), F.count_distinct("source_row"))) == [(0, 19_999, 20_000)]
+
+
 def test_references_of_damaged_files_can_stop_the_job(spark, tmp_path):
     (tmp_path / "r.json").write_text('[{"pl_name": "a", "pl_refname": "r"}')
     entities = spark.createDataFrame([("a",)], "planet_name string")
