@@ -20,7 +20,7 @@ has no similarity (null) and comes last.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -376,18 +376,24 @@ def rank_blocks(
         .withColumn("chunk", F.explode(upto("chunks")))
         .select(*cell, "block", "chunk", "ref_id", "vector")
     )
+    return rank_dealt(query_side, ref_side, (*cell, "block", "chunk"), k, schema)
+
+
+def rank_dealt(
+    query_side: DataFrame, ref_side: DataFrame, at: Sequence[str], k: int, schema: T.StructType, nearest: Callable = _nearest
+) -> DataFrame:
+    """What ``nearest`` finds among the queries and references dealt to each place, which is a task's work."""
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = pa.schema([left.schema.field("query_id"), right.schema.field("ref_id"), ("score", pa.float64())])
         if not len(left) or not len(right):
             return ids.empty_table()
-        found = _nearest(
+        found = nearest(
             _ids(left["query_id"].to_pandas()), _unit(_table_matrix(left["vector"])),
             _ids(right["ref_id"].to_pandas()), _unit(_table_matrix(right["vector"])), k,
         )
         return pa.Table.from_pandas(found, schema=ids, preserve_index=False)
 
-    at = (*cell, "block", "chunk")
     return query_side.groupBy(*at).cogroup(ref_side.groupBy(*at)).applyInArrow(rank, schema)
 
 

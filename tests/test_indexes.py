@@ -89,6 +89,46 @@ def test_hashing_finds_most_and_compares_few(spark):
     assert "CartesianProduct" not in plan_of(found) and "NestedLoop" not in plan_of(found)
 
 
+def sharing_by_force(queries, ids, refs, directions, tables, probes, k):
+    """The k best (similarity, id) among the references that share a bucket, from all pairs."""
+    queries, refs = (retrieval._unit(np.asarray(v, float)) for v in (queries, refs))
+    own = hashed_search._own_codes(hashed_search._projected(refs, directions, tables))
+    asked = hashed_search._probed_codes(hashed_search._projected(queries, directions, tables), probes)
+    sims, found = retrieval._similarities(queries, refs), []
+    for i in range(len(queries)):
+        met = np.flatnonzero((own[:, :, None] == asked[i][None]).any(axis=(1, 2)))
+        found += [(i, b, -a) for a, b in sorted((-sims[i, j], ids[j]) for j in met)[:k]]
+    return found
+
+
+def test_blocks_find_what_shares_a_bucket():
+    """Copies, vectors without a direction, fewer references than asked for."""
+    rng = np.random.default_rng(5)
+    some, empty = rng.normal(size=(700, 16)), np.zeros((40, 16))
+    hot = np.repeat(some[:2], 400, axis=0)
+    cases = [(some[:150], some, 3), (np.vstack([empty, some[:60]]), np.vstack([some, empty]), 5), (hot[::9], np.vstack([hot, some]), 3), (some[:20], some[:2], 4)]
+    for tables, bits, probes in ((12, 8, 12), (2, 3, 2)):
+        directions = hashed_search._directions(16, tables, bits, 1)
+        nearest = hashed_search._sharing(directions, tables, probes)
+        for queries, refs, k in cases:
+            ids = rng.permutation(len(refs)) + 1000
+            got = nearest(np.arange(len(queries)), retrieval._unit(queries), ids, retrieval._unit(refs), k)
+            want = sharing_by_force(queries, ids, refs, directions, tables, probes, k)
+            assert list(zip(got.query_id, got.ref_id, got.score)) == want
+
+
+def test_hashing_copies_vectors_to_blocks_or_to_buckets(spark, monkeypatch):
+    """A vector goes to the blocks of the other side, not to every bucket it looks into; both ways find the same."""
+    vectors = np.random.default_rng(6).normal(size=(300, 8))
+    queries, known = sides(spark, vectors, vectors)
+    by_blocks = hashed_search.topk_hashed(queries, known)
+    plan = plan_of(by_blocks)
+    assert "code" not in plan and "chunk" in plan and "NestedLoop" not in plan
+    monkeypatch.setattr(hashed_search, "LEAST_BLOCKS", 1000)
+    by_buckets = hashed_search.topk_hashed(queries, known)
+    assert "code" in plan_of(by_buckets) and shown(by_blocks) == shown(by_buckets)
+
+
 def test_hashing_no_rows_and_wrong_settings(spark):
     queries, known = sides(spark, [[1.0, 0.0]], [[1.0, 0.0]])
     assert hashed_search.topk_hashed(queries, known.where("false")).collect() == []
